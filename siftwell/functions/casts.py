@@ -47,45 +47,51 @@ def parse_float(text: Column) -> Column:
     )
 
 
-def _number_text(c: Column, number_format: str) -> Column:
+def cast_text(c: Column, target: str, number_format: str = "en") -> Column:
+    """First step of a cast: the stripped text, NULL when blank."""
     text = blank_to_null(c)
-    return spanish_number(text) if number_format == "es" else text
+    return spanish_number(text) if number_format == "es" and target in ("integer", "double") else text
 
 
-def to_varchar(c: Column) -> Checked:
-    return blank_to_null(c), F.lit(None).cast("string")
-
-
-def to_double(c: Column, number_format: str = "en") -> Checked:
-    text = _number_text(c, number_format)
-    value = parse_float(text)
-    return value, _failed(text, value, quoted("could not convert string to float:", text))
+def cast_parse(text: Column, target: str) -> Column:
+    """Second step: the text read as the target's kind, NULL when it cannot be."""
+    if target in ("integer", "double"):
+        return parse_float(text)
+    if target == "boolean":
+        return _words(text, TRUE_WORDS, FALSE_WORDS)
+    return iso_date(text) if target == "date" else text
 
 
-def to_integer(c: Column, number_format: str = "en") -> Checked:
-    """Truncates toward zero, so '12.9' is 12 and '1e3' is 1000."""
-    text = _number_text(c, number_format)
-    number = parse_float(text)
-    value = F.when(~F.isnan(number), number.try_cast("bigint"))
+def cast_finish(text: Column, parsed: Column, target: str) -> Checked:
+    """Last step: value and error. Integers truncate toward zero, so '12.9' is 12 and '1e3' is 1000."""
+    if target == "varchar":
+        return text, F.lit(None).cast("string")
+    if target == "boolean":
+        return parsed, _failed(text, parsed, quoted("not a boolean:", text))
+    if target == "date":
+        return parsed, _failed(text, parsed, quoted("Invalid isoformat string:", text))
+    not_a_number = quoted("could not convert string to float:", text)
+    if target == "double":
+        return parsed, _failed(text, parsed, not_a_number)
+    value = F.when(~F.isnan(parsed), parsed.try_cast("bigint"))
     reason = (
-        F.when(number.isNull(), quoted("could not convert string to float:", text))
-        .when(F.isnan(number), F.lit("cannot convert float NaN to integer"))
-        .otherwise(quoted("integer out of range:", text))
-    )
+        F.when(parsed.isNull(), not_a_number)
+        .when(F.isnan(parsed), F.lit("cannot convert float NaN to integer"))
+        .otherwise(quoted("integer out of range:", text)))
     return value, _failed(text, value, reason)
 
 
+def cast_to(c: Column, target: str, number_format: str = "en") -> Checked:
+    """The three steps in one go, for a single column."""
+    text = cast_text(c, target, number_format)
+    return cast_finish(text, cast_parse(text, target), target)
+
+
 def _words(text: Column, true_words: list[str], false_words: list[str]) -> Column:
     word = F.lower(text)
     return F.when(word.isin(true_words), F.lit(True)).when(word.isin(false_words), F.lit(False))
 
 
-def to_boolean(c: Column) -> Checked:
-    text = blank_to_null(c)
-    value = _words(text, TRUE_WORDS, FALSE_WORDS)
-    return value, _failed(text, value, quoted("not a boolean:", text))
-
-
 _WEEK_RE = r"^([0-9]{4})-?W(0[1-9]|[1-4][0-9]|5[0-3])(?:-?([1-7]))?"
 _DATE_RE = r"^([0-9]{4})(-?)([0-9]{2})\2([0-9]{2})"
 _OFFSET = r"(?:Z|[+-](?:[01][0-9]|2[0-3])(?::?[0-5][0-9](?::?[0-5][0-9](?:[.,][0-9]+)?)?)?)?"
@@ -109,19 +115,6 @@ def iso_date(text: Column) -> Column:
     return F.when(text.rlike(_DATE_RE + _TIME_TAIL), calendar).when(text.rlike(_WEEK_RE + _TIME_TAIL), by_week)
 
 
-def to_date(c: Column) -> Checked:
-    text = blank_to_null(c)
-    value = iso_date(text)
-    return value, _failed(text, value, quoted("Invalid isoformat string:", text))
-
-
-def cast_to(c: Column, target: str, number_format: str = "en") -> Checked:
-    """The `cast` operation of a mapping."""
-    if target in ("integer", "double"):
-        return {"integer": to_integer, "double": to_double}[target](c, number_format)
-    return {"varchar": to_varchar, "boolean": to_boolean, "date": to_date}[target](c)
-
-
 _TIMESTAMP_RE = _DATE_RE + _TIME_TAIL
 
 

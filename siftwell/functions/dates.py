@@ -111,15 +111,16 @@ def ambiguous_pair(formats: list[str]) -> tuple[str, str] | None:
     return None
 
 
-def apply_resolution(c: Column, resolution: Column, formats: list[str]) -> tuple[Column, Column]:
-    """Value and error of a date column whose (mode, format) was settled by the column's evidence."""
-    text = blank_to_null(c)
+def parse_resolved(text: Column, resolution: Column, formats: list[str]) -> Column:
+    """Date of a text in the (mode, format) its column's evidence settled."""
     epochs = [F.when((resolution["mode"] == "serial") & (resolution["format"] == e), serial_date(text, e)) for e in EPOCHS]
     parsed = [F.when((resolution["mode"] == "format") & (resolution["format"] == f), parse_with(text, f)) for f in formats]
-    value = F.coalesce(*parsed, *epochs)
+    return F.coalesce(*parsed, *epochs)
+
+
+def resolved_error(text: Column, parsed: Column, resolution: Column) -> Column:
     reason = (
         F.when(resolution["error"].isNotNull(), resolution["error"])
         .when(resolution["mode"] == "serial", F.concat(F.lit("not a plausible serial date: '"), text, F.lit("'")))
-        .otherwise(F.concat(F.lit("time data '"), text, F.lit("' does not match format '"), resolution["format"], F.lit("'")))
-    )
-    return value, F.when(text.isNotNull() & value.isNull(), reason)
+        .otherwise(F.concat(F.lit("time data '"), text, F.lit("' does not match format '"), resolution["format"], F.lit("'"))))
+    return F.when(text.isNotNull() & parsed.isNull(), reason)

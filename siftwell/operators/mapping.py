@@ -1,21 +1,18 @@
 """Declared mapping: a chain of column operations per field, then valid rows and rejects.
 
 A mapping is a list of {"origen"?, "destino", "operaciones": [{"tipo": ...}, ...]}. Every
-operation is a function (value, options, row context) -> (value, error) over columns, so the
-whole mapping is one projection.
+operation gives a value and an error as columns, so a mapping is a few projections and no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.functions.casts import cast_to
-from siftwell.functions.dates import apply_resolution
-from siftwell.functions.text import strip
+from siftwell.functions.casts import cast_finish, cast_parse, cast_text
+from siftwell.functions.dates import parse_resolved, resolved_error
+from siftwell.functions.text import blank_to_null, strip
 from siftwell.session import key_join
 
 REJECT_TYPE = T.StructType([T.StructField("field", T.StringType()), T.StructField("reason", T.StringType())])
@@ -33,47 +30,78 @@ def _no_error() -> Column:
     return F.lit(None).cast("string")
 
 
-def _rename(value, op, ctx):
-    return value, _no_error()
+class Operation:
+    """Three steps, each a projection of its own so that no step is computed twice.
+
+    text(value) prepares the input, parse(text) reads it, finish(text, parsed) gives the value and
+    the error. All of them must be built from column expressions.
+    """
+
+    def text(self, value: Column, op: dict, ctx: RowContext) -> Column:
+        return value
+
+    def parse(self, text: Column, op: dict, ctx: RowContext) -> Column:
+        return text
+
+    def finish(self, text: Column, parsed: Column, op: dict, ctx: RowContext) -> tuple[Column, Column]:
+        return parsed, _no_error()
 
 
-def _trim(value, op, ctx):
-    return strip(value), _no_error()
+class Trim(Operation):
+    def text(self, value, op, ctx):
+        return strip(value.cast("string"))
 
 
-def _cast(value, op, ctx):
-    return cast_to(value.cast("string"), op["tipo_destino"], op.get("formato_numerico", "en"))
+class Cast(Operation):
+    def text(self, value, op, ctx):
+        return cast_text(value.cast("string"), op["tipo_destino"], op.get("formato_numerico", "en"))
 
+    def parse(self, text, op, ctx):
+        return cast_parse(text, op["tipo_destino"])
 
-def _const(value, op, ctx):
-    return F.lit(op["valor"]), _no_error()
+    def finish(self, text, parsed, op, ctx):
+        return cast_finish(text, parsed, op["tipo_destino"])
 
 
-def _parameter(value, op, ctx):
-    return F.lit(ctx.parameters.get(op["nombre"])), _no_error()
+class Const(Operation):
+    def text(self, value, op, ctx):
+        return F.lit(op["valor"])
 
 
-def _cell(value, op, ctx):
-    cells, ref = F.col("_cells"), F.lit(op["referencia"])
-    present = F.coalesce(F.map_contains_key(cells, ref), F.lit(False))
-    return F.try_element_at(cells, ref), F.when(~present, F.lit(f"header cell {op['referencia']} could not be read"))
+class Parameter(Operation):
+    def text(self, value, op, ctx):
+        return F.lit(ctx.parameters.get(op["nombre"]))
 
 
-def _date_format(value, op, ctx):
-    return apply_resolution(value.cast("string"), ctx.resolution, op["formatos"])
+class Cell(Operation):
+    def text(self, value, op, ctx):
+        return F.try_element_at(F.col("_cells"), F.lit(op["referencia"]))
 
+    def finish(self, text, parsed, op, ctx):
+        present = F.coalesce(F.map_contains_key(F.col("_cells"), F.lit(op["referencia"])), F.lit(False))
+        return parsed, F.when(~present, F.lit(f"header cell {op['referencia']} could not be read"))
+
+
+class DateFormat(Operation):
+    def text(self, value, op, ctx):
+        return blank_to_null(value.cast("string"))
+
+    def parse(self, text, op, ctx):
+        return parse_resolved(text, ctx.resolution, op["formatos"])
+
+    def finish(self, text, parsed, op, ctx):
+        return parsed, resolved_error(text, parsed, ctx.resolution)
 
-Operation = Callable[[Column, dict, RowContext], tuple[Column, Column]]
 
 # The closed vocabulary of operations.
 OPERATIONS: dict[str, Operation] = {
-    "rename": _rename, "trim": _trim, "cast": _cast, "const": _const,
-    "parametro": _parameter, "celda": _cell, "date_format": _date_format,
+    "rename": Operation(), "trim": Trim(), "cast": Cast(), "const": Const(),
+    "parametro": Parameter(), "celda": Cell(), "date_format": DateFormat(),
 }
 
 
 def register_operation(name: str, operation: Operation) -> None:
-    """Extension point. The operation must be built from column expressions."""
+    """Extension point."""
     OPERATIONS[name] = operation
 
 
@@ -110,17 +138,29 @@ def attach_cells(rows: DataFrame, cells: DataFrame, refs: list[str], file_col: s
     return key_join(rows, maps, [(F.col(file_col), F.col("_cell_file"))]).drop("_cell_file")
 
 
-def field_columns(field: dict, parameters: dict | None = None) -> tuple[Column, Column]:
-    """(value, first error) of one mapped field."""
-    value = F.col(f"`{field['origen']}`") if "origen" in field else F.lit(None).cast("string")
-    resolution = F.col("_dates")[field["destino"]] if any(
-        op["tipo"] == "date_format" for op in field.get("operaciones", [])) else None
-    ctx = RowContext(parameters, resolution)
-    errors = []
-    for op in field.get("operaciones", []):
-        value, error = OPERATIONS[op["tipo"]](value, op, ctx)
-        errors.append(error)
-    return value, F.coalesce(*errors) if errors else _no_error()
+def _run_chains(rows: DataFrame, mapping: list[dict], parameters: dict | None) -> DataFrame:
+    """Adds `_v<i>` (value) and `_e<i>` (first error) for every field, one projection per step.
+
+    Fields advance together: the k-th operation of every field shares its projections.
+    """
+    chains = [f.get("operaciones", []) for f in mapping]
+    values = [F.col(f"`{f['origen']}`") if "origen" in f else F.lit(None).cast("string") for f in mapping]
+    contexts = [
+        RowContext(parameters, F.col("_dates")[f["destino"]] if any(o["tipo"] == "date_format" for o in c) else None)
+        for f, c in zip(mapping, chains)]
+    rows = rows.withColumns({f"_v{i}": v for i, v in enumerate(values)})
+    rows = rows.withColumns({f"_e{i}": _no_error() for i in range(len(mapping))})
+    for k in range(max((len(c) for c in chains), default=0)):
+        live = [(i, c[k], OPERATIONS[c[k]["tipo"]], contexts[i]) for i, c in enumerate(chains) if k < len(c)]
+        rows = rows.withColumns({f"_t{i}": o.text(F.col(f"_v{i}"), op, x) for i, op, o, x in live})
+        rows = rows.withColumns({f"_p{i}": o.parse(F.col(f"_t{i}"), op, x) for i, op, o, x in live})
+        step = {}
+        for i, op, o, x in live:
+            value, error = o.finish(F.col(f"_t{i}"), F.col(f"_p{i}"), op, x)
+            step[f"_v{i}"] = value
+            step[f"_e{i}"] = F.coalesce(F.col(f"_e{i}"), error) if k else error
+        rows = rows.withColumns(step)
+    return rows
 
 
 def map_rows(
@@ -129,21 +169,23 @@ def map_rows(
     parameters: dict | None = None,
     run_id: Column | None = None,
 ) -> DataFrame:
-    """One projection: target fields, `extra_fields`, `_reject` (first failing field) and `_raw`.
+    """Target fields, `extra_fields`, `_reject` (first failing field) and `_raw`; no shuffle.
 
     Columns that start with an underscore are row metadata and travel along untouched.
+    `_split` names the input partition. Being non-deterministic to the optimizer, it keeps a filter
+    on `_reject` above the projections; pushed below them it would repeat every conversion.
     """
     check_mapping(mapping)
     sources = [c for c in rows.columns if not c.startswith("_")]
-    meta = [c for c in rows.columns if c.startswith("_") and c not in ("_dates", "_cells")]
+    meta = [c for c in rows.columns if c.startswith("_") and c not in ("_dates", "_cells", "_split")]
     declared = {f["origen"] for f in mapping if "origen" in f}
     undeclared = sorted(c for c in sources if c not in declared)
 
-    fields, rejects = [], []
-    for field in mapping:
-        value, error = field_columns(field, parameters)
-        fields.append(value.alias(field["destino"]))
-        rejects.append(F.when(error.isNotNull(), F.struct(F.lit(field["destino"]).alias("field"), error.alias("reason"))))
+    chained = _run_chains(rows, mapping, parameters)
+    fields = [F.col(f"_v{i}").alias(f["destino"]) for i, f in enumerate(mapping)]
+    rejects = [
+        F.when(F.col(f"_e{i}").isNotNull(), F.struct(F.lit(f["destino"]).alias("field"), F.col(f"_e{i}").alias("reason")))
+        for i, f in enumerate(mapping)]
     if undeclared and "extra_fields" not in {f["destino"] for f in mapping}:
         fields.append(as_json(undeclared).alias("extra_fields"))
     if run_id is not None:
@@ -151,7 +193,7 @@ def map_rows(
 
     reject = F.coalesce(*rejects) if rejects else F.lit(None).cast(REJECT_TYPE)
     raw = F.when(reject.isNotNull(), as_json(sources))
-    return rows.select(*meta, *fields, reject.alias("_reject"), raw.alias("_raw"))
+    return chained.select(*meta, *fields, reject.alias("_reject"), raw.alias("_raw"), F.spark_partition_id().alias("_split"))
 
 
 def as_json(columns: list[str]) -> Column:
@@ -162,13 +204,13 @@ def as_json(columns: list[str]) -> Column:
 
 
 def valid_rows(mapped: DataFrame) -> DataFrame:
-    return mapped.filter(F.col("_reject").isNull()).drop("_reject", "_raw")
+    return mapped.filter(F.col("_reject").isNull() & (F.col("_split") >= 0)).drop("_reject", "_raw", "_split")
 
 
 def rejected_rows(mapped: DataFrame) -> DataFrame:
     """Rejects with their place in the file, the failing field, the reason and the whole raw row."""
-    meta = [c for c in mapped.columns if c.startswith("_") and c not in ("_reject", "_raw")]
-    return mapped.filter(F.col("_reject").isNotNull()).select(
+    meta = [c for c in mapped.columns if c.startswith("_") and c not in ("_reject", "_raw", "_split")]
+    return mapped.filter(F.col("_reject").isNotNull() & (F.col("_split") >= 0)).select(
         *meta, F.col("_reject.field").alias("field"), F.col("_reject.reason").alias("reason"), F.col("_raw").alias("raw"))
 
 

@@ -41,7 +41,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer estimate of the result size (never below the size of the files it scans)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def broadcast_limit(spark: SparkSession) -> int:
