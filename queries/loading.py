@@ -1 +1,261 @@
+"""Replacement of blocks, staging tables, rules, variables and whole loads."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from queries import Tables, query
+from queries.mapping import SPANISH_CENTS
+from siftwell.operators import date_evidence, lookup, mapping, replace, rules, variables
+
+SALES_MAPPING = [
+    {"origen": "fecha", "destino": "sale_date", "operaciones": [{"tipo": "date_format", "formatos": ["%d/%m/%Y", "%m/%d/%Y"]}]},
+    {"origen": "socio", "destino": "party", "operaciones": [{"tipo": "cast", "tipo_destino": "integer"}]},
+    {"origen": "importe", "destino": "amount", "operaciones": [{"tipo": "cast", "tipo_destino": "double", "formato_numerico": "es"}]},
+    {"destino": "origin", "operaciones": [{"tipo": "const", "valor": "lineas"}]},
+]
+SALES_KEYS = ["sale_date", "party"]
+
+
+def raw_sales(t: Tables) -> DataFrame:
+    """lineitem as two text files, one per line status; returned lines carry no amount."""
+    cents = "cast(round(l_extendedprice * 100) as bigint)"
+    return t.lineitem.selectExpr(
+        "l_linestatus as _file", "date_format(l_shipdate, 'dd/MM/yyyy') as fecha", "concat(' ', l_suppkey, ' ') as socio",
+        f"case l_returnflag when 'R' then 'pendiente' else {SPANISH_CENTS.format(c=cents)} end as importe")
+
+
+def sales(t: Tables) -> DataFrame:
+    """The valid typed rows of those files."""
+    raw = raw_sales(t)
+    settled = date_evidence.settle_dates(raw, mapping.date_fields(SALES_MAPPING))
+    return mapping.valid_rows(mapping.map_rows(date_evidence.attach_dates(raw, settled), SALES_MAPPING)).drop("_file")
+
+
+def sales_target(t: Tables) -> DataFrame:
+    return t.orders.select(
+        F.col("o_orderdate").cast("date").alias("sale_date"), F.col("o_custkey").alias("party"),
+        F.col("o_totalprice").alias("amount"), F.lit("pedidos").alias("origin"))
+
+
+SALES_SQL = """
+WITH incoming AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS sale_date, l_suppkey AS party,
+    CAST(round(l_extendedprice * 100) AS BIGINT) / 100.0::DOUBLE AS amount, 'lineas' AS origin
+  FROM lineitem WHERE l_returnflag <> 'R'),
+target AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS sale_date, o_custkey AS party, o_totalprice AS amount, 'pedidos' AS origin FROM orders)"""
+
+
+@query(SALES_SQL + """
+SELECT * FROM target t WHERE NOT EXISTS (SELECT 1 FROM incoming i
+  WHERE i.sale_date IS NOT DISTINCT FROM t.sale_date AND i.party IS NOT DISTINCT FROM t.party)
+UNION ALL SELECT * FROM incoming""")
+def replace_block(t: Tables) -> DataFrame:
+    """Flagship: text rows typed, dates settled by evidence, their keys replaced in the target."""
+    result = replace.replace_block(sales_target(t), sales(t), SALES_KEYS)
+    return result.withColumn("sale_date", F.col("sale_date").cast("string"))
+
+
+@query(SALES_SQL + """
+SELECT (SELECT count(*) FROM incoming) AS promoted, (SELECT count(*) FROM target t WHERE EXISTS (SELECT 1 FROM incoming i
+  WHERE i.sale_date IS NOT DISTINCT FROM t.sale_date AND i.party IS NOT DISTINCT FROM t.party)) AS replaced""")
+def replace_counts(t: Tables) -> DataFrame:
+    return replace.replace_counts(sales_target(t), sales(t), SALES_KEYS)
+
+
+def accounts(t: Tables) -> DataFrame:
+    """Customers per segment and nation; the first nation is unknown."""
+    return t.customer.select(
+        F.col("c_mktsegment").alias("segment"), F.nullif("c_nationkey", F.lit(0)).alias("nation"),
+        F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+
+
+def supplier_accounts(t: Tables) -> DataFrame:
+    return t.supplier.select(
+        F.lit("BUILDING").alias("segment"), F.nullif("s_nationkey", F.lit(0)).alias("nation"),
+        F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+
+
+@query("""
+WITH target AS (SELECT c_mktsegment AS segment, nullif(c_nationkey, 0) AS nation, c_name AS name, c_acctbal AS balance FROM customer),
+incoming AS (SELECT 'BUILDING' AS segment, nullif(s_nationkey, 0) AS nation, s_name AS name, s_acctbal AS balance FROM supplier)
+SELECT segment, CAST(nation AS VARCHAR) AS nation, name, balance FROM (
+SELECT * FROM target t WHERE NOT EXISTS (SELECT 1 FROM incoming i
+  WHERE i.segment IS NOT DISTINCT FROM t.segment AND i.nation IS NOT DISTINCT FROM t.nation)
+UNION ALL SELECT * FROM incoming)""")
+def replace_null_key(t: Tables) -> DataFrame:
+    """NULL is a key value like any other."""
+    result = replace.replace_block(accounts(t), supplier_accounts(t), ["segment", "nation"])
+    return result.withColumn("nation", F.col("nation").cast("string"))
+
+
+@query("""
+SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer
+UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier""")
+def append_only(t: Tables) -> DataFrame:
+    """No keys: the load adds; columns only one side has are NULL or dropped."""
+    target = accounts(t).select("name", "balance", "segment")
+    return replace.replace_block(target, supplier_accounts(t).drop("segment").withColumn("work", F.lit(1)), [])
+
+
+@query("""
+SELECT NULL AS brand, c_name AS name, c_mktsegment AS segment FROM customer
+UNION ALL SELECT p_brand, p_name, NULL FROM part""")
+def bulk_union(t: Tables) -> DataFrame:
+    return replace.bulk_union(
+        t.customer.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")),
+        t.part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")))
+
+
+@query("""
+SELECT o_orderpriority AS priority, count(*) AS rows_at_risk FROM orders o
+WHERE o_orderpriority <> '1-URGENT' AND EXISTS (SELECT 1 FROM orders i WHERE i.o_orderpriority = '1-URGENT'
+  AND i.o_orderdate = o.o_orderdate AND i.o_orderstatus = o.o_orderstatus)
+GROUP BY 1""")
+def crossed_parameters(t: Tables) -> DataFrame:
+    """The priority is a mandatory parameter, yet the key is only day and status."""
+    columns = {"o_orderdate": "day", "o_orderstatus": "status", "o_orderpriority": "priority"}
+    target = t.orders.select(*[F.col(c).alias(a) for c, a in columns.items()])
+    return replace.crossed_parameters(target, target.filter("priority = '1-URGENT'"), ["day", "status"], "priority")
+
+
+HALL = {"day": "date", "supplier": "string", "nation": "string", "units": "int", "amount": "double", "extra_fields": "string"}
+
+
+def hall(t: Tables) -> DataFrame:
+    """Staging rows: names instead of ids, upper case, with a buyer nobody knows for returned lines."""
+    incoming = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left").select(
+        F.col("l_shipdate").cast("date").alias("day"),
+        F.when(F.col("l_returnflag") == "R", F.concat("s_name", F.lit(" bis"))).otherwise(F.upper("s_name")).alias("supplier"),
+        F.concat(F.lit("Nation_"), F.col("s_nationkey").cast("string")).alias("nation"),
+        F.col("l_quantity").alias("units"), F.col("l_extendedprice").alias("amount"), F.lit("x").alias("work"))
+    return replace.full_photo(incoming, HALL)
+
+
+TRANSFORM = """
+SELECT h.day, s.s_suppkey AS supplier_id, n.n_nationkey AS nation_id, h.units, h.amount
+FROM hall_lines h LEFT JOIN supplier s ON lower(s.s_name) = lower(h.supplier)
+LEFT JOIN nation n ON lower(n.n_name) = lower(h.nation) WHERE h.units IS NOT NULL"""
+
+
+@query("""
+SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, CASE WHEN l_returnflag <> 'R' THEN CAST(l_suppkey AS VARCHAR) END AS supplier_id,
+       s_nationkey AS nation_id, CAST(l_quantity AS INT) AS units, l_extendedprice AS amount
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""")
+def hall_transform(t: Tables) -> DataFrame:
+    """Staging rows turned into target rows by a SELECT with label joins."""
+    hall(t).createOrReplaceTempView("hall_lines")
+    t.supplier.createOrReplaceTempView("supplier")
+    t.nation.createOrReplaceTempView("nation")
+    result = variables.bound(t.spark, TRANSFORM)
+    return result.withColumn("day", F.col("day").cast("string")).withColumn("supplier_id", F.col("supplier_id").cast("string"))
+
+
+@query("""
+SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, CASE WHEN l_returnflag <> 'R' THEN CAST(l_suppkey AS VARCHAR) END AS supplier_id,
+       l_extendedprice AS amount FROM lineitem""")
+def label_left_join(t: Tables) -> DataFrame:
+    """The same lookup through the DataFrame API."""
+    dimension = t.supplier.select(F.col("s_suppkey").alias("supplier_id"), "s_name")
+    found = lookup.label_join(hall(t), F.col("supplier"), dimension, "s_name")
+    return found.select(F.col("day").cast("string").alias("day"), F.col("supplier_id").cast("string").alias("supplier_id"), "amount")
+
+
+LINE_RULES = [
+    rules.Rule("negative_amount", rules.STOP, "A line amount is below zero.", "SELECT line_id, cents FROM _entrante WHERE cents < 0"),
+    rules.Rule("huge_amount", rules.STOP, "A line amount is above the limit.",
+               "SELECT line_id, cents FROM _entrante WHERE cents > :p_limit ORDER BY cents DESC, line_id, part"),
+    rules.Rule("full_box", rules.ALARM, "Lines of exactly one full box.",
+               "SELECT line_id, part FROM _entrante WHERE units = 50 ORDER BY line_id, part, cents", 3),
+]
+
+
+def entrante(t: Tables) -> DataFrame:
+    lines = t.lineitem.selectExpr(
+        "concat(l_orderkey, '-', l_linenumber) as line_id", "l_partkey as part", "cast(l_quantity as int) as units",
+        "cast(round(l_extendedprice * 100) as bigint) as cents")
+    lines.createOrReplaceTempView("_entrante")
+    return lines
+
+
+RULES_SQL = """
+WITH inc AS (SELECT l_orderkey || '-' || l_linenumber AS line_id, l_partkey AS part, CAST(l_quantity AS INT) AS units,
+  CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem),
+counts AS (SELECT 'negative_amount' AS name, 'stop' AS kind, count(*) AS affected FROM inc WHERE cents < 0
+  UNION ALL SELECT 'huge_amount', 'stop', count(*) FROM inc WHERE cents > 10000000
+  UNION ALL SELECT 'full_box', 'alarma', count(*) FROM inc WHERE units = 50)"""
+
+
+@query(RULES_SQL + " SELECT name, kind, CAST(affected > 0 AS VARCHAR) AS fired, affected FROM counts")
+def rule_results(t: Tables) -> DataFrame:
+    entrante(t)
+    found = rules.evaluate(t.spark, LINE_RULES, variables.context({"limit": 10_000_000}))
+    return found.select("name", "kind", F.col("fired").cast("string").alias("fired"), "affected")
+
+
+@query(RULES_SQL + """,
+details AS (
+  SELECT 'huge_amount' AS name, CAST(to_json(list(d ORDER BY cents DESC, line_id, part)) AS VARCHAR) AS detail FROM (
+    SELECT {'line_id': line_id, 'cents': cents} AS d, cents, line_id, part FROM inc WHERE cents > 10000000 ORDER BY cents DESC, line_id, part LIMIT 5)
+  UNION ALL SELECT 'full_box', CAST(to_json(list(d ORDER BY line_id, part, cents)) AS VARCHAR) FROM (
+    SELECT {'line_id': line_id, 'part': part} AS d, line_id, part, cents FROM inc WHERE units = 50 ORDER BY line_id, part, cents LIMIT 3))
+SELECT CAST(7 AS BIGINT) AS run_id, 'carga:lineas' AS origin, c.name, c.kind, CASE c.name WHEN 'huge_amount'
+  THEN 'A line amount is above the limit.' ELSE 'Lines of exactly one full box.' END AS message, c.affected, d.detail
+FROM counts c JOIN details d USING (name) WHERE c.affected > 0""")
+def rule_log(t: Tables) -> DataFrame:
+    entrante(t)
+    found = rules.evaluate(t.spark, LINE_RULES, variables.context({"limit": 10_000_000}))
+    return rules.fired_log(found, 7, "carga:lineas")
+
+
+@query("""
+SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier""")
+def invariant_guard(t: Tables) -> DataFrame:
+    """A candidate that breaks a stop is not published: the table stays as it was."""
+    current = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    candidate = current.withColumn("name", F.when(F.col("balance") < 0, F.lit(None)).otherwise(F.col("name")))
+    invariant = rules.Rule("named", rules.STOP, "Every supplier has a name.", "SELECT id FROM proveedor WHERE name IS NULL")
+    try:
+        return rules.guard_write(candidate, "proveedor", [invariant])[0]
+    except rules.StopError:
+        return current
+
+
+@query("""
+SELECT o_orderstatus AS status, count(*) AS orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
+FROM orders, (SELECT max(o_orderdate) AS last_day, CAST(avg(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS mean_cents FROM orders) v
+WHERE o_orderdate >= v.last_day - INTERVAL 365 DAY AND CAST(round(o_totalprice * 100) AS BIGINT) > v.mean_cents GROUP BY 1""")
+def scalar_variables(t: Tables) -> DataFrame:
+    """Variables captured from a one-row query and bound into the next one."""
+    t.orders.createOrReplaceTempView("pedido")
+    captured = variables.capture(t.spark, """SELECT cast(max(o_orderdate) as date) AS last_day,
+        cast(round(avg(cast(round(o_totalprice * 100) as bigint))) as bigint) AS mean_cents FROM pedido""")
+    return variables.bound(t.spark, """SELECT o_orderstatus AS status, count(*) AS orders, sum(cast(round(o_totalprice * 100) as bigint)) AS cents
+        FROM pedido WHERE o_orderdate >= date_sub(:v_last_day, :p_days) AND cast(round(o_totalprice * 100) as bigint) > :v_mean_cents
+        GROUP BY o_orderstatus""", variables.context({"days": 365}, captured))
+
+
+@query("""
+SELECT p_type AS genre, CAST(sum(l_quantity) AS BIGINT) AS units,
+       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100.0::DOUBLE AS amount
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type""")
+def report_by_group(t: Tables) -> DataFrame:
+    """Units and amount per genre, largest first. Lines are summed per part before they meet the parts."""
+    per_part = t.lineitem.groupBy("l_partkey").agg(
+        F.sum("l_quantity").alias("q"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("c"))
+    return per_part.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("genre")).agg(
+        F.sum("q").cast("bigint").alias("units"), (F.sum("c") / 100).alias("amount")).orderBy(F.col("amount").desc())
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, c_name AS customer, n_name AS nation, r_name AS region, o_totalprice AS amount
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
+LEFT JOIN region ON r_regionkey = n_regionkey""")
+def star_view(t: Tables) -> DataFrame:
+    """The consumption view: facts with the labels of their dimensions."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(
+        t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(
+        t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return rows.select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("c_name").alias("customer"),
+        F.col("n_name").alias("nation"), F.col("r_name").alias("region"), F.col("o_totalprice").alias("amount"))

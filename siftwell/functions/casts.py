@@ -39,12 +39,17 @@ def spanish_number(text: Column) -> Column:
 
 
 def parse_float(text: Column) -> Column:
-    """NULL where the text is not a number; signs, exponents, digit underscores, nan and inf count."""
-    return (
+    """NULL where the text is not a number; signs, exponents, digit underscores, nan and inf count.
+
+    Plain numbers take the built-in cast. Its type suffixes (5d) and hexadecimal forms are no
+    numbers here; those and whatever it cannot read are judged by pattern, a path only odd values take.
+    """
+    suffixed = F.right(text, F.lit(1)).isin("d", "D", "f", "F") | F.contains(text, F.lit("x")) | F.contains(text, F.lit("X"))
+    odd = (
         F.when(text.rlike(FINITE_RE), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
         .when(text.rlike(NAN_RE), F.lit(float("nan")))
-        .when(text.rlike(INFINITE_RE), F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-    )
+        .when(text.rlike(INFINITE_RE), F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))))
+    return F.coalesce(F.when(~suffixed, text.try_cast("double")), odd)
 
 
 def cast_text(c: Column, target: str, number_format: str = "en") -> Column:
@@ -92,6 +97,24 @@ def _words(text: Column, true_words: list[str], false_words: list[str]) -> Colum
     return F.when(word.isin(true_words), F.lit(True)).when(word.isin(false_words), F.lit(False))
 
 
+def fixed_date(text: Column, layout: str) -> Column:
+    """Date of a zero-padded layout such as 'd/m/Y', cut by position; NULL for any other text.
+
+    The common spelling needs no pattern this way. A part that is not digits fails the cast.
+    """
+    at, parts, here = 1, {}, F.lit(True)
+    for mark in layout:
+        if mark in "dmY":
+            width = 4 if mark == "Y" else 2
+            parts[mark] = F.substring(text, at, width)
+            at += width
+        else:
+            here = here & (F.substring(text, at, 1) == mark)
+            at += 1
+    iso = F.concat(parts["Y"], F.lit("-"), parts["m"], F.lit("-"), parts["d"])
+    return F.when((F.length(text) == at - 1) & here, iso.try_cast("date"))
+
+
 _WEEK_RE = r"^([0-9]{4})-?W(0[1-9]|[1-4][0-9]|5[0-3])(?:-?([1-7]))?"
 _DATE_RE = r"^([0-9]{4})(-?)([0-9]{2})\2([0-9]{2})"
 _OFFSET = r"(?:Z|[+-](?:[01][0-9]|2[0-3])(?::?[0-5][0-9](?::?[0-5][0-9](?:[.,][0-9]+)?)?)?)?"
@@ -112,7 +135,8 @@ def iso_date(text: Column) -> Column:
     by_week = F.date_add(monday, (week - 1) * 7 + day - 1)
     by_week = F.when(F.weekofyear(by_week) == week, by_week)
 
-    return F.when(text.rlike(_DATE_RE + _TIME_TAIL), calendar).when(text.rlike(_WEEK_RE + _TIME_TAIL), by_week)
+    odd = F.when(text.rlike(_DATE_RE + _TIME_TAIL), calendar).when(text.rlike(_WEEK_RE + _TIME_TAIL), by_week)
+    return F.coalesce(fixed_date(text, "Y-m-d"), fixed_date(text, "Ymd"), odd)
 
 
 _TIMESTAMP_RE = _DATE_RE + _TIME_TAIL

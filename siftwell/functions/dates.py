@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftwell.functions.casts import parse_float
+from siftwell.functions.casts import fixed_date, parse_float
 from siftwell.functions.text import blank_to_null
 
 # Fixed values.
@@ -90,7 +90,11 @@ def parse_with(text: Column, fmt: str) -> Column:
         iso = F.replace(iso, F.lit(" "), F.lit(""))
     else:
         iso = F.concat(year, F.lit("-"), month, F.lit("-"), day)
-    return F.when(text.rlike(pattern), iso.try_cast("date"))
+    odd = F.when(text.rlike(pattern), iso.try_cast("date"))
+    layout = re.sub("%([dmY])", r"\1", fmt)
+    if set(groups) == {"d", "m", "Y"} and not re.search(r"[dmY%\s]", re.sub("%[dmY]", "", fmt)):
+        return F.coalesce(fixed_date(text, layout), odd)
+    return odd
 
 
 def serial_number(text: Column) -> Column:

@@ -15,11 +15,13 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+ASCII_WHITESPACE = "".join(x for x in WHITESPACE if x.isascii())
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind; an empty text stays empty."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    plain = F.octet_length(c) == F.char_length(c)
+    return F.when(plain, F.btrim(c, F.lit(ASCII_WHITESPACE))).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def is_blank(c: Column) -> Column:
@@ -28,8 +30,7 @@ def is_blank(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    text = strip(c)
-    return F.when(text != "", text)
+    return F.nullif(strip(c), F.lit(""))
 
 
 def match_key(c: Column) -> Column:

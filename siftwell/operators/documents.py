@@ -42,7 +42,7 @@ def register(registry: DataFrame, incoming: DataFrame) -> DataFrame:
 def link_once(links: DataFrame, incoming: DataFrame) -> DataFrame:
     """Links after adding those whose (run, hash, tag) is not there yet."""
     keys = ["run_id", "hash", "tag"]
-    fresh = incoming.select(*keys).distinct().join(links.select(*keys).distinct(), keys, "left_anti")
+    fresh = incoming.select(*keys).distinct().join(links.select(*keys), keys, "left_anti")
     return links.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -68,14 +68,15 @@ def of_run(links: DataFrame, documents: DataFrame, run_id: int | None = None) ->
 def of_rows(rows: DataFrame, runs: DataFrame, links: DataFrame, documents: DataFrame) -> DataFrame:
     """Every document in the life of each row: its creating run and the runs chained to it.
 
-    `rows` (row_id, run_id); the chain joins run by run, so a row meets only its own documents.
+    `rows` (row_id, run_id). The documents of a chain are put together first; the rows come last
+    and are only spread over them, since one load may have created a third of all rows.
     """
     chain = runs.select(
         F.coalesce("principal", "run_id").alias("_principal"), F.col("run_id").alias("link_run"), F.col("operation"))
-    life = rows.join(chain, F.col("run_id") == F.col("_principal")).drop("_principal")
     used = links.select(F.col("run_id").alias("_link_run"), "hash", "tag")
-    linked = life.join(used, F.col("link_run") == F.col("_link_run")).drop("_link_run")
-    return key_join(linked, documents.withColumnRenamed("hash", "_hash"), [(F.col("hash"), F.col("_hash"))], "inner").drop("_hash")
+    linked = chain.join(used, F.col("link_run") == F.col("_link_run")).drop("_link_run")
+    files = key_join(linked, documents.withColumnRenamed("hash", "_hash"), [(F.col("hash"), F.col("_hash"))], "inner").drop("_hash")
+    return key_join(rows, files, [(F.col("run_id"), F.col("_principal"))], "inner").drop("_principal")
 
 
 def attach_requests(requests: DataFrame, rows: DataFrame) -> DataFrame:

@@ -11,6 +11,20 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the expressions here rely on; all of them can be changed on a running session.
+
+    A long mapping makes one generated method of more than 8000 bytes, which the JVM never
+    compiles: above that size Spark should split it per operator instead. Hot keys that survive
+    pre-aggregation are split by the adaptive skew join, also where that costs a shuffle.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
