@@ -105,7 +105,7 @@ def edit_rows(
     checked = fields.select(F.col(id_col).alias("_change_id"), *typed, F.coalesce(*errors).alias("_error"))
 
     good = checked.filter("_error IS NULL")
-    joined = key_join(target, good, [(F.col(id_col), F.col("_change_id"))])
+    joined = key_join(target, good, [(F.col(id_col), F.col("_change_id"))], measure=True)
     touched = F.col("_change_id").isNotNull()
     out = []
     for name in target.columns:
@@ -125,7 +125,7 @@ def edit_rows(
 
 def delete_rows(target: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     gone = ids.select(F.col(id_col).alias("_gone")).distinct()
-    return key_join(target, gone, [(F.col(id_col), F.col("_gone"))], "left_anti")
+    return key_join(target, gone, [(F.col(id_col), F.col("_gone"))], "left_anti", measure=True)
 
 
 def undo_run(target: DataFrame, run_id: int, run_col: str = "ejecucion_id") -> DataFrame:

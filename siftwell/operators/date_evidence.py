@@ -62,7 +62,7 @@ def settle_dates(rows: DataFrame, fields: list[dict], file_col: str = "_file") -
 
 def attach_dates(rows: DataFrame, settled: DataFrame, file_col: str = "_file") -> DataFrame:
     side = settled.withColumnRenamed(file_col, "_dates_file")
-    return key_join(rows, side, [(F.col(file_col), F.col("_dates_file"))]).drop("_dates_file")
+    return key_join(rows, side, [(F.col(file_col), F.col("_dates_file"))], measure=True).drop("_dates_file")
 
 
 def unresolved(settled: DataFrame, fields: list[dict], file_col: str = "_file") -> DataFrame:

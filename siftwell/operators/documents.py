@@ -18,7 +18,7 @@ def content_hash(content: Column) -> Column:
 def not_loaded(files: DataFrame, runs: DataFrame) -> DataFrame:
     """Files whose (load, hash) has no successful run yet."""
     done = runs.filter(F.col("status") == "OK").select(F.col("load").alias("_load"), F.col("hash").alias("_hash")).distinct()
-    return key_join(files, done, [(F.col("load"), F.col("_load")), (F.col("hash"), F.col("_hash"))], "left_anti")
+    return key_join(files, done, [(F.col("load"), F.col("_load")), (F.col("hash"), F.col("_hash"))], "left_anti", measure=True)
 
 
 def register(registry: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def resolve_labels(
     if label_col is None:
         found = found.withColumn("_entries", F.lit(0)).withColumn("_by_label", F.lit(None).cast(dimension.schema[id_col].dataType))
     else:
-        found = key_join(found, label_index(dimension, id_col, label_col), [(F.lower(F.col("_text")), F.col("_label"))]).drop("_label")
+        found = key_join(found, label_index(dimension, id_col, label_col), [(F.lower(F.col("_text")), F.col("_label"))], measure=True).drop("_label")
     entries = F.coalesce(F.col("_entries"), F.lit(0))
     known = F.col("_text").isNull() | F.col("_by_id").isNotNull()
     return (

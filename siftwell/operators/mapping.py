@@ -135,7 +135,7 @@ def attach_cells(rows: DataFrame, cells: DataFrame, refs: list[str], file_col: s
         .groupBy(F.col("file").alias("_cell_file"))
         .agg(F.map_from_entries(F.collect_set(F.struct("ref", "value"))).alias("_cells"))
     )
-    return key_join(rows, maps, [(F.col(file_col), F.col("_cell_file"))]).drop("_cell_file")
+    return key_join(rows, maps, [(F.col(file_col), F.col("_cell_file"))], measure=True).drop("_cell_file")
 
 
 def _run_chains(rows: DataFrame, mapping: list[dict], parameters: dict | None) -> DataFrame:

@@ -15,7 +15,7 @@ def _keys_of(incoming: DataFrame, keys: list[str]) -> DataFrame:
 
 def _matches(target: DataFrame, incoming: DataFrame, keys: list[str], how: str) -> DataFrame:
     pairs = [(F.col(k), F.col(f"_k_{k}")) for k in keys]
-    return key_join(target, _keys_of(incoming, keys), pairs, how, null_safe=True)
+    return key_join(target, _keys_of(incoming, keys), pairs, how, null_safe=True, measure=True)
 
 
 def replaced_rows(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,5 +71,5 @@ def crossed_parameters(target: DataFrame, incoming: DataFrame, keys: list[str],
     """
     own = incoming.select(F.col(parameter_col).alias("_own")).distinct()
     hit = replaced_rows(target, incoming, keys)
-    others = key_join(hit, own, [(F.col(parameter_col), F.col("_own"))], "left_anti", null_safe=True)
+    others = key_join(hit, own, [(F.col(parameter_col), F.col("_own"))], "left_anti", null_safe=True, measure=True)
     return others.groupBy(parameter_col).agg(F.count("*").alias("rows_at_risk"))

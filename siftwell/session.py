@@ -75,6 +75,7 @@ def key_join(
     on: list[tuple[Column, Column]],
     how: str = "left",
     null_safe: bool = False,
+    measure: bool = False,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a large left side to a keyed right side without trusting the key distribution.
@@ -84,6 +85,8 @@ def key_join(
     hot key is shared by `salts` tasks instead of one. The salt is the input partition number:
     it does not depend on row order, hence a retried task yields the same rows, and exact copies
     of one row still spread because they sit in different input splits.
+    `measure` is for a right side summed up from something large: the optimizer only knows the size
+    of what was read, so the side is written first and judged by what it really takes.
     Allowed types: inner, left, left_semi, left_anti (each left row meets one salt only).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -92,6 +95,8 @@ def key_join(
     condition = equals[0]
     for term in equals[1:]:
         condition = condition & term
+    if measure and not fits_broadcast(right):
+        right = stage(right, "side")
     if fits_broadcast(right):
         return left.join(right, condition, how)
     salted_left = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
