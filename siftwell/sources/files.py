@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.sources.text_files import number_lines, read_lines
@@ -11,26 +11,33 @@ from siftwell.sources.text_files import number_lines, read_lines
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(file, bytes) without reading any content."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return found.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+def _binary(spark: SparkSession, folder: str | list[str], pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+
+
+def _place() -> list[Column]:
+    """`file` is the path to open; `uri` is how a row's metadata spells it."""
+    return [F.col("path").alias("file"), F.col("_metadata.file_path").alias("uri"), F.col("length").alias("bytes")]
+
+
+def list_files(spark: SparkSession, folder: str | list[str], pattern: str = "*") -> DataFrame:
+    """(file, uri, bytes) without reading any content."""
+    return _binary(spark, folder, pattern).select(*_place())
 
 
 def hash_files(spark: SparkSession, folder: str | list[str], pattern: str = "*", whole: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """(file, bytes, hash): SHA-256 of the bytes, or for larger files a digest of the numbered lines.
+    """(file, uri, bytes, hash): SHA-256 of the bytes, or for larger files a digest of the numbered lines.
 
     Which of the two applies depends on the size alone, so equal content has equal identity.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    small = found.filter(F.col("length") <= whole).select(
-        F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("hash"))
-    large = [r[0] for r in found.filter(F.col("length") > whole).select("path").collect()]
-    if not large:
-        return small
-    sizes = found.filter(F.col("length") > whole).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
-    digests = digest_lines(number_lines(read_lines(spark, large)))
-    return small.unionByName(sizes.join(digests, F.regexp_replace("file", "^file:/+", "file:///") == F.col("_file")).drop("_file"))
+    found = _binary(spark, folder, pattern)
+    hashed = found.filter(F.col("length") <= whole).select(*_place(), F.sha2("content", 256).alias("hash"))
+    large = list_files(spark, folder, pattern).filter(F.col("bytes") > whole)
+    names = [r["file"] for r in large.select("file").collect()]
+    if not names:
+        return hashed
+    digests = digest_lines(number_lines(read_lines(spark, names))).withColumnRenamed("_file", "uri")
+    return hashed.unionByName(large.join(digests, "uri", "left").withColumn("hash", F.coalesce("hash", F.sha2(F.lit(""), 256))))
 
 
 def digest_lines(lines: DataFrame) -> DataFrame:
