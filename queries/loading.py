@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from queries import Tables, query
 from queries.mapping import SPANISH_CENTS
 from siftwell.operators import date_evidence, lookup, mapping, replace, rules, variables
+from siftwell.plans import load
+from siftwell.plans.store import Store
+from siftwell.session import new_folder
+from siftwell.sinks import snapshot
+from siftwell.sources.text_files import scan_csv
+from siftwell.streaming.folder import watch_folder
 
 SALES_MAPPING = [
     {"origen": "fecha", "destino": "sale_date", "operaciones": [{"tipo": "date_format", "formatos": ["%d/%m/%Y", "%m/%d/%Y"]}]},
@@ -259,3 +265,95 @@ def star_view(t: Tables) -> DataFrame:
     return rows.select(
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("c_name").alias("customer"),
         F.col("n_name").alias("nation"), F.col("r_name").alias("region"), F.col("o_totalprice").alias("amount"))
+
+
+SALES_LOAD = {
+    "nombre": "lineas", "patron": "*.csv", "delimitador": ";", "encoding": "utf-8", "fila_cabecera": 1, "tabla_destino": "venta",
+    "campos_singularidad": SALES_KEYS, "mapping": SALES_MAPPING,
+    "validaciones": [{"nombre": "sin_importe", "tipo": "alarma", "mensaje": "A sale without an amount.", "sql": "SELECT party FROM _entrante WHERE amount IS NULL"}],
+}
+
+
+AS_WRITTEN = {"header": True, "sep": ";", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def sales_files(t: Tables) -> str:
+    """The raw sales written as delimited files with a header, one folder level below the shared one."""
+    folder = new_folder(t.spark, "sales")
+    raw_sales(t).drop("_file").write.options(**AS_WRITTEN).csv(folder)
+    return folder
+
+
+def sales_store(t: Tables) -> Store:
+    store = load.prepare(Store(t.spark, new_folder(t.spark, "store")))
+    store.create("venta", "sale_date date, party bigint, amount double, origin string", part_col=None)
+    store.publish(store.append("venta", sales_target(t)))
+    return store
+
+
+@query("""
+SELECT strftime(l_shipdate, '%d/%m/%Y') AS fecha, ' ' || l_suppkey || ' ' AS socio,
+       CAST(l_returnflag = 'R' AS VARCHAR) AS pending, count(*) AS n
+FROM lineitem GROUP BY 1, 2, 3""")
+def csv_scan(t: Tables) -> DataFrame:
+    """Text files of a folder read back by header name, cells as they were written."""
+    rows = scan_csv(t.spark, sales_files(t), ";", pattern="*.csv").rows
+    return rows.groupBy("fecha", "socio", (F.col("importe") == "pendiente").cast("string").alias("pending")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS rows, 'true' AS numbered FROM lineitem")
+def line_numbers(t: Tables) -> DataFrame:
+    """Line numbers are those of the file: from the header on, without a gap, in every file."""
+    rows = scan_csv(t.spark, sales_files(t), ";", pattern="*.csv").rows
+    per_file = rows.groupBy("_file").agg(
+        F.count("*").alias("n"), F.min("_row_num").alias("lo"), F.max("_row_num").alias("hi"), F.sum("_row_num").alias("s"))
+    gapless = (F.col("lo") == 2) & (F.col("hi") == F.col("n") + 1) & (F.col("s") * 2 == F.col("n") * (F.col("n") + 3))
+    return per_file.agg(F.sum("n").alias("rows"), F.bool_and(gapless).cast("string").alias("numbered"))
+
+
+@query(SALES_SQL + """
+SELECT * FROM target t WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.sale_date = t.sale_date AND i.party = t.party)
+UNION ALL SELECT * FROM incoming""")
+def declared_load(t: Tables) -> DataFrame:
+    """The whole cycle from one file set: hash, scan, evidence, mapping, rules, replacement, publication."""
+    store = sales_store(t)
+    folder = new_folder(t.spark, "one")
+    raw_sales(t).drop("_file").coalesce(1).write.options(**AS_WRITTEN).csv(folder)
+    load.run_load(t.spark, store, {**SALES_LOAD, "carpeta": folder})
+    return store.read("venta").withColumn("sale_date", F.col("sale_date").cast("string"))
+
+
+@query("""
+SELECT CASE WHEN l_returnflag = 'R' THEN 'ERROR' ELSE 'OK' END AS outcome, count(*) AS n,
+       CASE WHEN l_returnflag = 'R' THEN 'amount' END AS field FROM lineitem GROUP BY ALL""")
+def dry_run(t: Tables) -> DataFrame:
+    """Counts of a load that writes no table."""
+    found = load.dry_run(t.spark, {**SALES_LOAD, "carpeta": sales_files(t)})["counts"]
+    totals = found.agg(F.sum("rows_ok").alias("ok"), F.sum("rows_rejected").alias("bad"))
+    return totals.select(F.expr("stack(2, 'OK', ok, cast(null as string), 'ERROR', bad, 'amount') AS (outcome, n, field)"))
+
+
+@query("""
+SELECT strftime(l_shipdate, '%Y-%m-%d') AS sale_date, l_suppkey AS party,
+    CAST(round(l_extendedprice * 100) AS BIGINT) / 100.0::DOUBLE AS amount, 'lineas' AS origin
+FROM lineitem WHERE l_returnflag <> 'R'""")
+def folder_stream(t: Tables) -> DataFrame:
+    """Files taken up by Structured Streaming, each content once; a second pass over the folder adds nothing."""
+    store = load.prepare(Store(t.spark, new_folder(t.spark, "store")))
+    store.create("venta", "sale_date date, party bigint, amount double, origin string")
+    definition = {**SALES_LOAD, "carpeta": sales_files(t), "campos_singularidad": []}
+    checkpoint = new_folder(t.spark, "checkpoint")
+    for _ in range(2):
+        watch_folder(t.spark, store, definition, checkpoint).awaitTermination()
+    return store.read("venta").withColumn("sale_date", F.col("sale_date").cast("string"))
+
+
+SNAPSHOT_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS expected, count(*) AS restored, 'ok' AS status FROM {n}" for n in SNAPSHOT_TABLES))
+def snapshot_verify(t: Tables) -> DataFrame:
+    """Every table copied, restored to a new place and compared with the manifest."""
+    folder = new_folder(t.spark, "snapshot")
+    snapshot.take_snapshot({n: getattr(t, n) for n in SNAPSHOT_TABLES}, folder)
+    return snapshot.restore_snapshot(t.spark, folder, new_folder(t.spark, "restored"))

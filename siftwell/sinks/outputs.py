@@ -14,6 +14,8 @@ from siftwell.session import stage
 # Extension -> format.
 FORMATS = {".csv": "csv", ".parquet": "parquet"}
 
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def format_of(name: str) -> str:
     extension = name[name.rfind("."):].lower() if "." in name else ""
@@ -32,7 +34,7 @@ def write(df: DataFrame, path: str, file_format: str, mode: str = "overwrite") -
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     if file_format == "csv":
-        counted.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+        counted.write.mode(mode).options(**CSV_OPTIONS).csv(path)
     else:
         counted.write.mode(mode).parquet(path)
     return seen.get["rows"]

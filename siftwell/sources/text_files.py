@@ -13,6 +13,7 @@ from siftwell.session import key_join, stage
 
 UTF8 = {"utf-8", "utf-8-sig"}
 MULTILINE_COLUMNS = 512
+END_MARK = "\u0002"
 
 
 @dataclass
@@ -68,17 +69,28 @@ def number_lines(lines: DataFrame) -> DataFrame:
 
 
 def parse_cells(value: Column, delimiter: str, width: int) -> Column:
-    """Cells of a line as an array: a short line has NULLs, surplus cells are dropped, '' stays ''."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "nullValue": "\u0001", "emptyValue": "", "mode": "PERMISSIVE"}
-    cells = F.from_csv(value, schema, options)
-    return F.array(*[cells[f"c{i}"] for i in range(width)])
+    """Cells of a line as an array, as short as the line; an empty cell is '', surplus cells are dropped.
+
+    A line without quotes is simply split. In the others an end mark tells empty cells, which the
+    parser reads as NULL, from cells the line does not have.
+    """
+    schema = ", ".join(f"c{i} string" for i in range(width + 1))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "emptyValue": "", "mode": "PERMISSIVE"}
+    marked = F.from_csv(F.concat(value, F.lit(delimiter + END_MARK)), schema, options)
+    cells = F.array(*[marked[f"c{i}"] for i in range(width + 1)])
+    end = F.array_position(cells, F.lit(END_MARK)).cast("int")
+    own = F.slice(cells, 1, F.when(end > 0, end - 1).otherwise(width))
+    quoted = F.transform(own, lambda x: F.coalesce(x, F.lit("")))
+    plain = F.split(value, re.escape(delimiter), -1)
+    return (
+        F.when(value == "", F.array().cast("array<string>"))
+        .when(F.contains(value, F.lit('"')), quoted).otherwise(plain))
 
 
 def _names(header: str, delimiter: str) -> list[str]:
     import csv
 
-    return next(csv.reader([header.removeprefix("﻿")], delimiter=delimiter), [])
+    return next(csv.reader([header.removeprefix("\ufeff")], delimiter=delimiter), [])
 
 
 def scan_csv(
@@ -104,7 +116,7 @@ def scan_csv(
     if len(layouts) == 1:
         place = {name: i for i, name in enumerate(named[layouts[0]])}
         parsed = body.select("_file", F.col("_line").alias("_row_num"), cells.alias("_cell"))
-        rows = parsed.select("_file", "_row_num", *[F.col("_cell")[place[c]].alias(c) for c in columns])
+        rows = parsed.select("_file", "_row_num", *[F.get("_cell", F.lit(place[c])).alias(c) for c in columns])
         return Scan(rows, lines, columns)
 
     known = spark.createDataFrame(
@@ -139,7 +151,7 @@ def scan_csv_multiline(
         raise ValueError("the files must share one header")
     if layouts[0][-1] is not None:
         raise ValueError(f"more than {MULTILINE_COLUMNS - 1} columns")
-    place = {(name or "").removeprefix("﻿"): i for i, name in enumerate(layouts[0]) if name}
+    place = {(name or "").removeprefix("\ufeff"): i for i, name in enumerate(layouts[0]) if name}
     narrow = reader.schema(", ".join(f"c{i} string" for i in range(max(place.values()) + 1))).csv(paths)
     records = stage(narrow.select(
         F.col("_metadata.file_path").alias("_file"), F.lit(0).alias("_block"), F.monotonically_increasing_id().alias("_at"),
@@ -169,6 +181,6 @@ def header_cells(lines: DataFrame, references: list[str], delimiter: str) -> Dat
     wanted = lines.filter((F.col("_block") == 0) & F.col("_line").isin([line for line, _ in places.values()]))
     parsed = wanted.select("_file", "_line", parse_cells(F.col("value"), delimiter, width).alias("_cell"))
     found = F.array_compact(F.array(*[
-        F.when(F.col("_line") == line, F.struct(F.lit(ref).alias("ref"), F.col("_cell")[column - 1].alias("value")))
+        F.when(F.col("_line") == line, F.struct(F.lit(ref).alias("ref"), F.get("_cell", F.lit(column - 1)).alias("value")))
         for ref, (line, column) in places.items()]))
     return parsed.select(F.col("_file").alias("file"), F.explode(found).alias("c")).select("file", "c.*")
