@@ -10,7 +10,7 @@ from queries.mapping import SPANISH_CENTS
 from siftwell.operators import date_evidence, lookup, mapping, replace, rules, variables
 from siftwell.plans import load
 from siftwell.plans.store import Store
-from siftwell.session import new_folder
+from siftwell.session import new_folder, stage
 from siftwell.sinks import snapshot
 from siftwell.sources.text_files import scan_csv
 from siftwell.streaming.folder import watch_folder
@@ -33,10 +33,11 @@ def raw_sales(t: Tables) -> DataFrame:
 
 
 def sales(t: Tables) -> DataFrame:
-    """The valid typed rows of those files."""
+    """The valid typed rows of those files, written once: their keys and the rows themselves are read."""
     raw = raw_sales(t)
     settled = date_evidence.settle_dates(raw, mapping.date_fields(SALES_MAPPING))
-    return mapping.valid_rows(mapping.map_rows(date_evidence.attach_dates(raw, settled), SALES_MAPPING)).drop("_file")
+    mapped = mapping.map_rows(date_evidence.attach_dates(raw, settled), SALES_MAPPING)
+    return stage(mapping.valid_rows(mapped).drop("_file"), "sales")
 
 
 def sales_target(t: Tables) -> DataFrame:

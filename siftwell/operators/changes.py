@@ -9,7 +9,7 @@ from siftwell.functions.casts import FIELD_TYPES, field_value
 from siftwell.operators.listing import canonical, is_system, references
 from siftwell.operators.lookup import resolve_labels
 from siftwell.operators.replace import append_rows
-from siftwell.session import key_join
+from siftwell.session import key_join, stage
 
 
 def _checked_field(name: str, meta: dict) -> tuple[Column, Column]:
@@ -64,7 +64,7 @@ def create_rows(
     tables: dict[str, DataFrame], run_id: int, request_id: str = "_request",
 ) -> tuple[DataFrame, DataFrame]:
     """(target with the valid requests added and stamped, rejected requests with their error)."""
-    checked = normalise_requests(requests, entity, catalogue, tables)
+    checked = stage(normalise_requests(requests, entity, catalogue, tables), "requests")
     good = checked.filter("_error IS NULL").withColumn("id", row_id(F.lit(run_id), F.col(request_id)))
     if "ejecucion_id" in target.columns:
         good = good.withColumn("ejecucion_id", F.lit(run_id).cast("bigint"))
@@ -102,10 +102,10 @@ def edit_rows(
             error = F.coalesce(error, F.when(value.isNotNull() & ~value.isin(allowed), F.lit("not an allowed value")))
         errors.append(F.when(error.isNotNull(), F.concat(F.lit(f"{name}: "), error)))
         typed.append(F.struct(F.map_contains_key("fields", F.lit(name)).alias("given"), value.alias("value")).alias(f"_{name}"))
-    checked = fields.select(F.col(id_col).alias("_change_id"), *typed, F.coalesce(*errors).alias("_error"))
+    checked = stage(fields.select(F.col(id_col).alias("_change_id"), *typed, F.coalesce(*errors).alias("_error")), "changes")
 
     good = checked.filter("_error IS NULL")
-    joined = key_join(target, good, [(F.col(id_col), F.col("_change_id"))], measure=True)
+    joined = key_join(target, good, [(F.col(id_col), F.col("_change_id"))])
     touched = F.col("_change_id").isNotNull()
     out = []
     for name in target.columns:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import is_blank, match_key
+from siftwell.session import stage
 
 THRESHOLD = 0.5
 SHOWN_MATCHES = 10
@@ -32,10 +33,10 @@ def overlap(values: DataFrame, column: str, tables: dict[str, tuple[DataFrame, l
     """Evidence per existing column: matches, proposed total, ratio and the first matching values.
 
     A value occurs once per column on one side and once on the other, so no key is hot here.
+    What several figures are taken from is written once.
     """
-    proposed = proposed_values(values, column)
-    existing = existing_values(tables)
-    matches = existing.join(proposed, "value", "left_semi")
+    proposed = stage(proposed_values(values, column), "proposed")
+    matches = stage(existing_values(tables).join(proposed, "value", "left_semi"), "matches")
     first = Window.partitionBy("table", "column").orderBy("value")
     shown = (
         matches.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= SHOWN_MATCHES)

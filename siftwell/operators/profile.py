@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.casts import INTEGER_RE, parse_float, spanish_number
 from siftwell.functions.dates import PARTS_RE
 from siftwell.functions.text import blank_to_null, is_blank, strip
+from siftwell.session import stage
 
 # Names of the apparent types, in the order they are tried.
 UNKNOWN = "desconocido (todo vacío)"
@@ -22,21 +23,20 @@ IDENTIFIER_NAME_RE = r"(?i)(^|_)(id|codigo|cod|num|numero|ref|nif|cif)($|_)"
 
 
 def unpivot(rows: DataFrame, columns: list[str], order: Column) -> DataFrame:
-    """(column, value, at): one row per cell. `at` is the place of the row."""
+    """(position, value, at): one row per cell. `at` is the place of the row."""
     cells = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
-        for i, c in enumerate(columns, start=1)])
+        F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns, start=1)])
     return rows.select(order.alias("at"), F.explode(cells).alias("c")).select("at", "c.*")
 
 
 def distinct_values(rows: DataFrame, columns: list[str], order: Column) -> DataFrame:
-    """(position, column, value, n, first): distinct cells with their count and first place.
+    """(position, value, n, first): distinct cells with their count and first place.
 
     Summed before the shuffle, so a value that fills a column sends one row per input task.
     All blanks of a column count as one value.
     """
     cells = unpivot(rows, columns, order).withColumn("value", F.when(~is_blank(F.col("value")), F.col("value")))
-    return cells.groupBy("position", "column", "value").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    return cells.groupBy("position", "value").agg(F.count("*").alias("n"), F.min("at").alias("first"))
 
 
 def compact_date(text: Column) -> Column:
@@ -49,10 +49,11 @@ def compact_date(text: Column) -> Column:
 def profile_columns(rows: DataFrame, columns: list[str], order: Column) -> DataFrame:
     """One row per column.
 
-    Type tests run once per distinct value. Evidence for the schema draft (leading zeros, compact
+    Type tests run once per distinct value. The distinct values are written, since the statistics
+    and the samples both read them. Evidence for the schema draft (leading zeros, compact
     dates) is taken from the whole column in the same pass.
     """
-    values = distinct_values(rows, columns, order)
+    values = stage(distinct_values(rows, columns, order), "values")
     text = strip(F.col("value"))
     filled = F.col("value").isNotNull()
 
@@ -60,7 +61,7 @@ def profile_columns(rows: DataFrame, columns: list[str], order: Column) -> DataF
         return F.coalesce(F.bool_and(F.when(filled, F.coalesce(test, F.lit(False)))), F.lit(True))
 
     digits = text.rlike("^[0-9]+$")
-    stats = values.groupBy("position", "column").agg(
+    stats = values.groupBy("position").agg(
         F.sum("n").alias("total_rows"),
         F.sum(F.when(~filled, F.col("n")).otherwise(0)).alias("nulls"),
         F.sum(filled.cast("bigint")).alias("cardinality"),
@@ -81,7 +82,8 @@ def profile_columns(rows: DataFrame, columns: list[str], order: Column) -> DataF
     top = values.filter(filled).withColumn("_rn", F.row_number().over(by_place)).filter(F.col("_rn") <= SAMPLE_VALUES)
     samples = top.groupBy("position").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", "value"))), lambda x: x["value"]).alias("sample_values"))
-    return stats.withColumn("apparent_type", kind).join(samples, "position", "left").select(
+    names = F.array(*[F.lit(c) for c in columns])
+    return stats.withColumn("apparent_type", kind).withColumn("column", F.get(names, F.col("position") - 1)).join(samples, "position", "left").select(
         "position", "column", "apparent_type", "total_rows", "nulls", "cardinality",
         F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
         "leading_zeros", "compact_dates", "digits")
@@ -96,6 +98,9 @@ def sample_rows(rows: DataFrame, limit: int, order: Column) -> tuple[DataFrame,
 def cardinality(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Filled cells, distinct stripped values and their ratio, per column."""
     cells = unpivot(rows, columns, F.lit(0)).withColumn("value", blank_to_null(F.col("value"))).filter("value IS NOT NULL")
-    return cells.groupBy("column", "value").agg(F.count("*").alias("n")).groupBy("column").agg(
-        F.sum("n").alias("total"), F.count("*").alias("distinct_values")
-    ).withColumn("uniqueness", F.col("distinct_values") / F.col("total"))
+    names = F.array(*[F.lit(c) for c in columns])
+    counts = cells.groupBy("position", "value").agg(F.count("*").alias("n")).groupBy("position").agg(
+        F.sum("n").alias("total"), F.count("*").alias("distinct_values"))
+    return counts.select(
+        F.get(names, F.col("position") - 1).alias("column"), "total", "distinct_values",
+        (F.col("distinct_values") / F.col("total")).alias("uniqueness"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.operators.documents import AVAILABLE, PURGED
+from siftwell.session import stage
 
 ALWAYS = "siempre"
 
@@ -36,9 +37,10 @@ def last_uses(uses: DataFrame, policies: dict[str, dict | str]) -> DataFrame:
 def kept_per_process(uses: DataFrame, policies: dict[str, dict | str], now: Column) -> DataFrame:
     """(process, hash) pairs some policy keeps; a process without a policy keeps everything.
 
+    The last uses are written once, for every policy reads them.
     Policies are {"tipo": "ficheros" | "anios", "cantidad": n, "tags_exentos"?: [...]}.
     """
-    last = last_uses(uses, policies)
+    last = stage(last_uses(uses, policies), "uses")
     limited = {n: p for n, p in policies.items() if isinstance(p, dict)}
     kept = [last.filter(~F.col("process").isin(list(limited)) | F.col("exempt"))] if limited else [last]
     for name, policy in limited.items():
@@ -93,7 +95,7 @@ def kept_snapshots(
     month is the newest of its days, so the later steps see days however many snapshots there are.
     """
     newest = F.max(F.struct(F.col(taken_at).alias("at"), F.col(name).alias("name"))).alias("newest")
-    days = snapshots.groupBy(F.col(entity).alias("entity"), F.date_trunc("day", F.col(taken_at)).alias("bucket")).agg(newest)
+    days = stage(snapshots.groupBy(F.col(entity).alias("entity"), F.date_trunc("day", F.col(taken_at)).alias("bucket")).agg(newest), "days")
 
     def regroup(bucket: Column) -> DataFrame:
         return days.groupBy("entity", bucket.alias("bucket")).agg(F.max("newest").alias("newest"))

@@ -43,35 +43,42 @@ def rule_rows(spark: SparkSession, rule: Rule, args: dict | None = None) -> Data
         raise InvalidRule(f"rule {rule.name} cannot run: {error}") from error
 
 
-def _result(rows: DataFrame, rule: Rule) -> DataFrame:
-    """One row for the rule. The detail is a top-n, so nothing unbounded is gathered."""
-    count = rows.agg(F.count("*").alias("affected"))
+def _detail(rows: DataFrame, rule: Rule) -> DataFrame:
+    """First rows of a fired rule as JSON: a top-n, so nothing unbounded is gathered."""
     members = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
     # The limit keeps the order the rule asks for; the position makes the gathered list follow it.
     sample = rows.limit(rule.detail_limit).select(F.monotonically_increasing_id().alias("_at"), members.alias("_row"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_row"))), lambda x: x["_row"])
-    detail = sample.agg(F.to_json(ordered, {"ignoreNullFields": "false"}).alias("detail"))
-    empty = F.lit(None)
-    both = count.select("affected", empty.cast("string").alias("detail")).unionByName(
-        detail.select(empty.cast("bigint").alias("affected"), "detail"))
-    return both.agg(F.max("affected").alias("affected"), F.max("detail").alias("detail")).select(
-        F.lit(rule.name).alias("name"), F.lit(rule.kind).alias("kind"), F.lit(rule.message).alias("message"),
-        (F.col("affected") > 0).alias("fired"), "affected", "detail")
+    return sample.agg(F.to_json(ordered, {"ignoreNullFields": "false"}).alias("detail")).select(F.lit(rule.name).alias("_rule"), "detail")
 
 
 def evaluate(spark: SparkSession, rules: list[Rule], args: dict | None = None) -> DataFrame:
-    """(name, kind, message, fired, affected, detail) for every rule, in one plan."""
+    """(name, kind, message, fired, affected, detail), one row per rule.
+
+    All rules are counted by one job. Only the rules that fired are run again, for their first rows.
+    """
+    empty = "name string, kind string, message string, fired boolean, affected bigint, detail string"
     if not rules:
-        return spark.createDataFrame([], "name string, kind string, message string, fired boolean, affected bigint, detail string")
-    return reduce(DataFrame.unionByName, [_result(rule_rows(spark, r, args), r) for r in rules])
+        return spark.createDataFrame([], empty)
+    found = {r.name: rule_rows(spark, r, args) for r in rules}
+    try:
+        counted = reduce(DataFrame.unionByName, [
+            found[r.name].agg(F.count("*").alias("affected")).select(F.lit(r.name).alias("name"), "affected") for r in rules])
+        affected = {row["name"]: row["affected"] for row in counted.collect()}
+        fired = [r for r in rules if affected[r.name]]
+        details = {}
+        if fired:
+            parts = reduce(DataFrame.unionByName, [_detail(found[r.name], r) for r in fired])
+            details = {row["_rule"]: row["detail"] for row in parts.collect()}
+    except PySparkException as error:
+        raise InvalidRule(f"a rule cannot run: {error}") from error
+    return spark.createDataFrame(
+        [(r.name, r.kind, r.message, affected[r.name] > 0, affected[r.name], details.get(r.name)) for r in rules], empty)
 
 
 def results(spark: SparkSession, rules: list[Rule], args: dict | None = None) -> list[dict]:
     """The same on the driver: one short row per declared rule."""
-    try:
-        return [r.asDict() for r in evaluate(spark, rules, args).collect()]
-    except PySparkException as error:
-        raise InvalidRule(f"a rule cannot run: {error}") from error
+    return [r.asDict() for r in evaluate(spark, rules, args).collect()]
 
 
 def has_stop(found: list[dict]) -> bool:

@@ -10,7 +10,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,7 +50,13 @@ class Store:
         return self._entries
 
     def _append_log(self, rows: list[tuple]) -> None:
+        known = self._log()
         self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self.log_path)
+        names = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
+        self._entries = known + [dict(zip(names, row)) for row in rows]
+
+    def refresh(self) -> None:
+        """Forget the log as last seen, to see what others have published since."""
         self._entries = None
 
     def tables(self) -> list[str]:
@@ -58,11 +64,16 @@ class Store:
 
     def create(self, table: str, schema: str | T.StructType, part_col: str | None = None) -> None:
         """Declare a table; `part_col` names a coarse replacement key it is kept apart by."""
-        if table in self.tables():
-            return
-        if isinstance(schema, str):
-            schema = T._parse_datatype_string(schema)
-        self._append_log([(self._next(), table, None, False, None, schema.json(), part_col)])
+        self.create_all({table: schema}, part_col)
+
+    def create_all(self, schemas: dict[str, str | T.StructType], part_col: str | None = None) -> None:
+        known, seq, rows = self.tables(), self._next(), []
+        for table, schema in schemas.items():
+            if table not in known:
+                parsed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+                rows.append((seq, table, None, False, None, parsed.json(), part_col))
+        if rows:
+            self._append_log(rows)
 
     def _next(self) -> int:
         return max((e["seq"] for e in self._log()), default=0) + 1
@@ -80,11 +91,11 @@ class Store:
         return self._declared(table)["part_col"]
 
     def _live(self, table: str, pending: list[Entry] | None = None) -> list[Entry]:
-        entries = [Entry(e["table"], e["part"], e["full"], e["path"]) for e in self._log() if e["table"] == table and e["path"]]
+        entries = [Entry(e["table"], e["part"], e["full"], e["path"]) for e in self._log() if e["table"] == table and (e["path"] or e["full"])]
         live: dict[str | None, list[Entry]] = {}
         for e in entries + [p for p in pending or [] if p.table == table]:
             live[e.part] = [e] if e.full else live.get(e.part, []) + [e]
-        return [e for part in live.values() for e in part]
+        return [e for part in live.values() for e in part if e.path]
 
     def read(self, table: str, parts: list[str] | None = None, pending: list[Entry] | None = None) -> DataFrame:
         """Current content, or that of some parts only; `pending` entries count as published."""
@@ -100,44 +111,53 @@ class Store:
             (F.col(f"`{f.name}`").cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in self.schema(table)])
 
-    def _write(self, table: str, df: DataFrame, full: bool, touched: list[str] | None = None) -> list[Entry]:
+    def _write(self, table: str, df: DataFrame, full: bool, touched: list[str] | None = None) -> tuple[list[Entry], int]:
+        """Folders written and their rows, counted by the same job."""
         path = f"{self.root}/{table}/{uuid.uuid4().hex}"
         part_col = self.part_col(table)
+        seen = Observation()
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
         if part_col is None:
             df.write.parquet(path)
-            return [Entry(table, None, full, path)]
-        df.withColumn("_part", F.col(part_col).cast("string")).write.partitionBy("_part").parquet(path)
+            return [Entry(table, None, full, path)], seen.get["rows"]
+        # Rows of a part go to few tasks, and a part too large for one task is split again.
+        parted = df.withColumn("_part", F.col(part_col).cast("string")).hint("rebalance", "_part")
+        parted.write.partitionBy("_part").parquet(path)
         # An empty part leaves no folder: a replacement that empties one must still hide the old rows.
         written = {_unescape(p) for p in _subfolders(self.spark, path)}
         entries = [Entry(table, p, full, f"{path}/_part={_escape(p)}") for p in sorted(written)]
         if full:
             entries += [Entry(table, p, True, None) for p in sorted(set(touched or []) - written)]
-        return entries
+        return entries, seen.get["rows"]
 
     def append(self, table: str, df: DataFrame) -> list[Entry]:
         """New folders beside the old ones; nothing is rewritten."""
-        return self._write(table, self.conform(table, df), full=False)
+        return self._write(table, self.conform(table, df), full=False)[0]
 
     def overwrite(self, table: str, df: DataFrame) -> list[Entry]:
-        old = [e.part for e in self._live(table)]
-        return self._write(table, self.conform(table, df), full=True, touched=[p for p in old if p is not None])
+        return self._write(table, self.conform(table, df), full=True, touched=self._parts(table))[0]
 
-    def replace(self, table: str, incoming: DataFrame, keys: list[str], pending: list[Entry] | None = None) -> list[Entry]:
-        """Block replacement. A partitioned table reads and rewrites the touched parts only.
+    def replace(
+        self, table: str, incoming: DataFrame, keys: list[str], promoted: int, pending: list[Entry] | None = None,
+    ) -> tuple[list[Entry], int]:
+        """Block replacement: (written folders, replaced rows).
 
-        `incoming` should be staged: it is read for its parts, for its keys and for its rows.
+        A partitioned table reads and rewrites the touched parts only. `incoming` should be staged:
+        it is read for its parts, for its keys and for its rows. `promoted` is its row count.
         """
-        rows = self.conform(table, incoming)
         if not keys:
-            return self.append(table, incoming)
+            return self.append(table, incoming), 0
+        rows = self.conform(table, incoming)
         part_col = self.part_col(table)
-        if part_col is None or part_col not in keys:
+        if part_col in keys:
+            found = rows.select(F.col(part_col).cast("string")).distinct().collect()  # part names, like a listing
+            touched = [NO_PART if r[0] is None else r[0] for r in found]
+            target = self.read(table, parts=touched, pending=pending)
+        else:
+            touched = self._parts(table)
             target = self.read(table, pending=pending)
-            return self._write(table, replace.replace_block(target, rows, keys), full=True, touched=self._parts(table))
-        found = rows.select(F.col(part_col).cast("string")).distinct().collect()  # part names, like a listing
-        touched = [NO_PART if r[0] is None else r[0] for r in found]
-        target = self.read(table, parts=touched, pending=pending)
-        return self._write(table, replace.replace_block(target, rows, keys), full=True, touched=touched)
+        entries, now = self._write(table, replace.replace_block(target, rows, keys), full=True, touched=touched)
+        return entries, target.count() + promoted - now
 
     def _parts(self, table: str) -> list[str]:
         return [e.part for e in self._live(table) if e.part is not None]

@@ -65,8 +65,9 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(digits) * units.get(text[len(digits):][:1], 1)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    return 0 < estimated_bytes(df) <= broadcast_limit(df.sparkSession)
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    limit = broadcast_limit(df.sparkSession) if limit is None else limit
+    return 0 < estimated_bytes(df) <= limit
 
 
 def key_join(
@@ -76,15 +77,17 @@ def key_join(
     how: str = "left",
     null_safe: bool = False,
     measure: bool = False,
-    salts: int = SALTS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Join a large left side to a keyed right side without trusting the key distribution.
-
-    A right side below the session's broadcast threshold is left to Spark, which broadcasts it.
-    A larger one is repeated once per salt and the left rows are spread over the salts, so one
-    hot key is shared by `salts` tasks instead of one. The salt is the input partition number:
-    it does not depend on row order, hence a retried task yields the same rows, and exact copies
-    of one row still spread because they sit in different input splits.
+    """Join a left side that may have hot keys to a keyed right side.
+
+    A right side whose estimated size is below `limit` (the session's broadcast threshold unless
+    given) is broadcast. Otherwise the right side is repeated once per salt and the left rows are
+    spread over the salts, so a hot key is shared by many tasks; the number of salts never makes
+    the repeated side larger than the left one, and with no room for two Spark's own skew join
+    is what splits a hot key. The salt is the input partition number: it does not depend on row
+    order, hence a retried task yields the same rows, and exact copies of one row still spread
+    because they sit in different input splits.
     `measure` is for a right side summed up from something large: the optimizer only knows the size
     of what was read, so the side is written first and judged by what it really takes.
     Allowed types: inner, left, left_semi, left_anti (each left row meets one salt only).
@@ -95,9 +98,12 @@ def key_join(
     condition = equals[0]
     for term in equals[1:]:
         condition = condition & term
-    if measure and not fits_broadcast(right):
+    if measure and not fits_broadcast(right, limit):
         right = stage(right, "side")
-    if fits_broadcast(right):
+    if fits_broadcast(right, limit):
+        return left.join(F.broadcast(right), condition, how)
+    salts = min(SALTS, estimated_bytes(left) // max(estimated_bytes(right), 1))
+    if salts < 2:
         return left.join(right, condition, how)
     salted_left = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     salted_right = right.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -14,6 +14,8 @@ from siftwell.session import key_join, stage
 UTF8 = {"utf-8", "utf-8-sig"}
 MULTILINE_COLUMNS = 512
 END_MARK = "\u0002"
+# A million splits, 100 TB of text, take about this much as a written table.
+SPLIT_TABLE_BYTES = 32 * 1024 * 1024
 
 
 @dataclass
@@ -63,7 +65,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     offsets = stage(splits, "splits").select(
         F.col("_file").alias("_f"), F.col("_block").alias("_b"), "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = key_join(lines, offsets, [(F.col("_file"), F.col("_f")), (F.col("_block"), F.col("_b"))], "inner", measure=True)
+    joined = key_join(lines, offsets, [(F.col("_file"), F.col("_f")), (F.col("_block"), F.col("_b"))], "inner", limit=SPLIT_TABLE_BYTES)
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
     return joined.select("_file", "_block", number.alias("_line"), "value")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +10,9 @@ from siftwell.plans.load import Result, prepare, run_load
 from siftwell.plans.store import Store
 
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def watch_folder(
     spark: SparkSession, store: Store, definition: dict, checkpoint: str, parameters: dict | None = None,
     available_now: bool = True, on_result=None,
@@ -20,15 +21,16 @@ def watch_folder(
 
     The file source's checkpoint remembers paths, the run log remembers contents. A batch that is
     repeated after a failure finds its content in the run log and adds nothing.
-    The stream itself only carries the names of the new files; their rows are read by the load plan.
+    The stream itself only carries the names of the new files, not a byte of their content; the load
+    plan reads the rows.
     """
     prepare(store)
     arrivals = (
-        spark.readStream.format("text").option("pathGlobFilter", definition["patron"]).load(definition["carpeta"])
-        .select(F.col("_metadata.file_path").alias("file")))
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", definition["patron"])
+        .load(definition["carpeta"]).select(F.col("path").alias("file")))
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        names = [unquote(r["file"]) for r in batch.distinct().collect()]  # file names, not rows
+        names = [r["file"] for r in batch.distinct().collect()]  # file names, not rows
         if names:
             results: list[Result] = run_load(batch.sparkSession, store, {**definition, "carpeta": names, "patron": "*"}, parameters)
             if on_result:

@@ -272,3 +272,28 @@ def test_folder_stream_loads_each_content_once(spark, sales, tmp_path):
     watch()
     assert content(store) == [("Cable", 3.0), ("Ratón", 19.5), ("Teclado", 1234.5)]
     assert [r.promoted for r in seen] == [2, 1]
+
+
+def test_contract_aborts_before_publishing(spark, sales):
+    from siftwell.operators.contracts import Contract
+
+    store, definition, _ = sales
+    with pytest.raises(load.ContractBroken, match="check:cheap"):
+        load.run_load(spark, store, definition, contract=Contract(checks={"cheap": "importe < 100"}))
+    assert content(store) == [] and store.read(load.RUNS).count() == 0
+    load.run_load(spark, store, definition, contract=Contract(not_null=["fecha"], checks={"positive": "importe > 0"}))
+    assert len(content(store)) == 2
+
+
+def test_store_parts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.create("t", "k string, n int", part_col="k")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, n int")
+    store.publish(store.append("t", rows(("a/b", 1), (None, 2), ("c", 3))))
+    entries, replaced = store.replace("t", rows((None, 9), ("a/b", 7)), ["k"], 2)
+    assert sorted(map(str, store.read("t").collect())) == sorted(map(str, rows(("a/b", 1), (None, 2), ("c", 3)).collect())), "not published yet"
+    store.publish(entries)
+    again = Store(spark, str(tmp_path / "s"))
+    assert replaced == 2 and sorted((r["k"] or "", r["n"]) for r in again.read("t").collect()) == [("", 9), ("a/b", 7), ("c", 3)]
+    again.publish(again.overwrite("t", rows(("z", 1))))
+    assert [tuple(r) for r in Store(spark, str(tmp_path / "s")).read("t").collect()] == [("z", 1)]
