@@ -59,16 +59,24 @@ def row_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def new_rows(
+    requests: DataFrame, entity: dict, catalogue: dict[str, dict], tables: dict[str, DataFrame],
+    run_id: int, request_id: str = "_request",
+) -> tuple[DataFrame, DataFrame]:
+    """(rows the valid requests become, stamped with id and run; rejected requests with their error)."""
+    checked = stage(normalise_requests(requests, entity, catalogue, tables), "requests")
+    good = checked.filter("_error IS NULL").withColumn("id", row_id(F.lit(run_id), F.col(request_id))).withColumn(
+        "ejecucion_id", F.lit(run_id).cast("bigint"))
+    return good, checked.filter("_error IS NOT NULL").select(request_id, "_error")
+
+
 def create_rows(
     target: DataFrame, requests: DataFrame, entity: dict, catalogue: dict[str, dict],
     tables: dict[str, DataFrame], run_id: int, request_id: str = "_request",
 ) -> tuple[DataFrame, DataFrame]:
-    """(target with the valid requests added and stamped, rejected requests with their error)."""
-    checked = stage(normalise_requests(requests, entity, catalogue, tables), "requests")
-    good = checked.filter("_error IS NULL").withColumn("id", row_id(F.lit(run_id), F.col(request_id)))
-    if "ejecucion_id" in target.columns:
-        good = good.withColumn("ejecucion_id", F.lit(run_id).cast("bigint"))
-    return append_rows(target, good), checked.filter("_error IS NOT NULL").select(request_id, "_error")
+    """(target with the new rows, rejected requests with their error)."""
+    good, refused = new_rows(requests, entity, catalogue, tables, run_id, request_id)
+    return append_rows(target, good), refused
 
 
 def latest_changes(changes: DataFrame, id_col: str = "id", seq_col: str = "seq") -> DataFrame:

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.operators import replace
+from siftwell.session import counted
 
 LOG_SCHEMA = "seq bigint, table string, part string, full boolean, path string, schema string, part_col string"
 NO_PART = "__HIVE_DEFAULT_PARTITION__"
@@ -115,11 +117,10 @@ class Store:
         """Folders written and their rows, counted by the same job."""
         path = f"{self.root}/{table}/{uuid.uuid4().hex}"
         part_col = self.part_col(table)
-        seen = Observation()
-        df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        df, rows = counted(df)
         if part_col is None:
             df.write.parquet(path)
-            return [Entry(table, None, full, path)], seen.get["rows"]
+            return [Entry(table, None, full, path)], rows()
         # Rows of a part go to few tasks, and a part too large for one task is split again.
         parted = df.withColumn("_part", F.col(part_col).cast("string")).hint("rebalance", "_part")
         parted.write.partitionBy("_part").parquet(path)
@@ -128,7 +129,7 @@ class Store:
         entries = [Entry(table, p, full, f"{path}/_part={_escape(p)}") for p in sorted(written)]
         if full:
             entries += [Entry(table, p, True, None) for p in sorted(set(touched or []) - written)]
-        return entries, seen.get["rows"]
+        return entries, rows()
 
     def append(self, table: str, df: DataFrame) -> list[Entry]:
         """New folders beside the old ones; nothing is rewritten."""
@@ -137,6 +138,21 @@ class Store:
     def overwrite(self, table: str, df: DataFrame) -> list[Entry]:
         return self._write(table, self.conform(table, df), full=True, touched=self._parts(table))[0]
 
+    def rewrite(self, table: str, touched: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[Entry]:
+        """Rows changed in place. Only the parts that hold a touched row are read and written.
+
+        The change must not move rows to another part.
+        """
+        part_col = self.part_col(table)
+        if part_col is None:
+            return self.overwrite(table, change(self.read(table)))
+        found = touched.select(F.col(part_col).cast("string")).distinct().collect()  # part names, like a listing
+        parts = [NO_PART if r[0] is None else r[0] for r in found]
+        if not parts:
+            return []
+        rows = self.conform(table, change(self.read(table, parts=parts)))
+        return self._write(table, rows, full=True, touched=parts)[0]
+
     def replace(
         self, table: str, incoming: DataFrame, keys: list[str], promoted: int, pending: list[Entry] | None = None,
     ) -> tuple[list[Entry], int]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 16
@@ -53,6 +55,19 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+    """The frame with a row counter, read after its one write. A second scan is not needed."""
+    seen = Observation()
+
+    def rows() -> int:
+        try:
+            return seen.get["rows"]
+        except Py4JJavaError:  # a result known to be empty is planned away together with its counter
+            return 0
+
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), rows
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer estimate of the result size (never below the size of the files it scans)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

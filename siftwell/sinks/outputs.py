@@ -5,11 +5,10 @@ from __future__ import annotations
 import time
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.operators.usage import LOG_SCHEMA
-from siftwell.session import stage
+from siftwell.session import counted, stage
 
 # Extension -> format.
 FORMATS = {".csv": "csv", ".parquet": "parquet"}
@@ -31,13 +30,12 @@ def resolve_name(template: str, values: dict, moment: datetime | None = None) ->
 
 def write(df: DataFrame, path: str, file_format: str, mode: str = "overwrite") -> int:
     """Write and count in the same job."""
-    seen = Observation()
-    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    df, rows = counted(df)
     if file_format == "csv":
-        counted.write.mode(mode).options(**CSV_OPTIONS).csv(path)
+        df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
     else:
-        counted.write.mode(mode).parquet(path)
-    return seen.get["rows"]
+        df.write.mode(mode).parquet(path)
+    return rows()
 
 
 def write_output(

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.session import counted, stage
+
 MANIFEST = "_manifest"
 MANIFEST_SCHEMA = "table string, rows bigint"
 
 
 def _copy(df: DataFrame, path: str) -> int:
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
-    return seen.get["rows"]
+    df, rows = counted(df)
+    df.write.option("compression", "zstd").parquet(path)
+    return rows()
 
 
 def take_snapshot(tables: dict[str, DataFrame], folder: str) -> DataFrame:
@@ -61,7 +63,6 @@ def restore_snapshot(spark: SparkSession, folder: str, destination: str, names:
 def mirror(source: DataFrame, destination: str) -> dict:
     """Append the contents whose hash the destination lacks; (copied, present, bytes)."""
     from siftwell.operators.documents import mirror_counts, mirror_plan
-    from siftwell.session import stage
 
     spark = source.sparkSession
     try:
