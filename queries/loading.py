@@ -345,7 +345,7 @@ def folder_stream(t: Tables) -> DataFrame:
     definition = {**SALES_LOAD, "carpeta": sales_files(t), "campos_singularidad": []}
     checkpoint = new_folder(t.spark, "checkpoint")
     for _ in range(2):
-        watch_folder(t.spark, store, definition, checkpoint).awaitTermination()
+        watch_folder(t.spark, store, definition, checkpoint, unit="folder").awaitTermination()
     return store.read("venta").withColumn("sale_date", F.col("sale_date").cast("string"))
 
 

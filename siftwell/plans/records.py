@@ -16,7 +16,7 @@ from siftwell.operators import changes, documents, rules, runs
 from siftwell.operators.listing import is_system
 from siftwell.operators.replace import append_rows
 from siftwell.operators.rules import Rule
-from siftwell.plans.load import DOCUMENTS, LINKS, RUNS, SYSTEM_TABLES, prepare
+from siftwell.plans.load import LINKS, RUNS, SYSTEM_TABLES, prepare, register_documents
 from siftwell.plans.store import Entry, Store
 from siftwell.session import key_join, stage
 
@@ -131,7 +131,7 @@ def attach(spark: SparkSession, store: Store, entity: dict, requests: DataFrame,
         F.col("id").alias("run_id"), "hash", "tag").distinct()
     arrived = requests.join(good.select("hash").distinct(), "hash", "left_semi").select("hash", "name", "bytes")
     entries: list[Entry] = store.append(LINKS, links)
-    entries += store.overwrite(DOCUMENTS, documents.register(store.read(DOCUMENTS), arrived))
+    entries += register_documents(store, arrived)
     entries += store.append(RUNS, _run_rows(opened, f"{entity['tabla']}.adjuntar", runs.OK))
     store.publish(entries)
     return checked.filter("status <> 'ok'")

@@ -15,7 +15,7 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 
 def watch_folder(
     spark: SparkSession, store: Store, definition: dict, checkpoint: str, parameters: dict | None = None,
-    available_now: bool = True, on_result=None,
+    available_now: bool = True, unit: str = "auto", on_result=None,
 ) -> StreamingQuery:
     """Start the incremental load.
 
@@ -32,7 +32,7 @@ def watch_folder(
     def load(batch: DataFrame, batch_id: int) -> None:
         names = [r["file"] for r in batch.distinct().collect()]  # file names, not rows
         if names:
-            results: list[Result] = run_load(batch.sparkSession, store, {**definition, "carpeta": names, "patron": "*"}, parameters)
+            results: list[Result] = run_load(batch.sparkSession, store, {**definition, "carpeta": names, "patron": "*"}, parameters, unit=unit)
             if on_result:
                 on_result(batch_id, results)
 

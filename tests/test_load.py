@@ -102,8 +102,8 @@ def test_last_file_wins_like_loading_in_turn(spark, sales):
     store.create("venta2", SALES_TABLE)
     (folder / "ventas_sept.csv").write_text("producto;fecha;importe\nTeclado;05/08/2026;7,00\nTeclado;05/08/2026;8,00\n", encoding="utf-8")
     definition = {**definition, "campos_singularidad": ["fecha", "producto"]}
-    load.run_load(spark, store, definition)
-    assert content(store) == [("Ratón", 19.5), ("Teclado", 7.0), ("Teclado", 8.0)]
+    done = load.run_load(spark, store, definition)
+    assert len(done) == 1 and content(store) == [("Ratón", 19.5), ("Teclado", 7.0), ("Teclado", 8.0)]
     load.run_load(spark, store, {**definition, "nombre": "ventas2", "tabla_destino": "venta2"}, unit="file")
     assert content(store, "venta2") == content(store)
 
