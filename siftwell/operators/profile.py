@@ -19,6 +19,7 @@ DOUBLE_ES = "double (formato_numerico: es)"
 VARCHAR = "varchar"
 SAMPLE_VALUES = 5
 
+# Fixed value: words that make a column name look like an identifier.
 IDENTIFIER_NAME_RE = r"(?i)(^|_)(id|codigo|cod|num|numero|ref|nif|cif)($|_)"
 
 
