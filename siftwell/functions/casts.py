@@ -49,7 +49,9 @@ def parse_float(text: Column) -> Column:
         F.when(text.rlike(FINITE_RE), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
         .when(text.rlike(NAN_RE), F.lit(float("nan")))
         .when(text.rlike(INFINITE_RE), F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))))
-    return F.coalesce(F.when(~suffixed, text.try_cast("double")), odd)
+    # '+' to '9' in byte order: a text that starts otherwise would cost the cast an exception.
+    likely = (text >= "+") & (text < ":") & ~suffixed
+    return F.coalesce(F.when(likely, text.try_cast("double")), odd)
 
 
 def cast_text(c: Column, target: str, number_format: str = "en") -> Column:

@@ -22,7 +22,10 @@ AMBIGUOUS_PAIRS = [
 MONTHS = ["january", "february", "march", "april", "may", "june", "july",
           "august", "september", "october", "november", "december"]
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
-PARTS_RE = r"^([0-9]{1,4})[/\-.]([0-9]{1,4})[/\-.]([0-9]{1,4})$"
+PARTS_RE = r"^[0-9]{1,4}[/\-.][0-9]{1,4}[/\-.][0-9]{1,4}$"
+_ABOVE_12 = r"(?:0{0,2}(?:1[3-9]|[2-9][0-9])|0?[1-9][0-9]{2}|[1-9][0-9]{3})"
+FIRST_ABOVE_12_RE = rf"^{_ABOVE_12}[/\-.][0-9]{{1,4}}[/\-.][0-9]{{1,4}}$"
+SECOND_ABOVE_12_RE = rf"^[0-9]{{1,4}}[/\-.]{_ABOVE_12}[/\-.][0-9]{{1,4}}$"
 
 
 def _either(words: list[str]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.dates import PARTS_RE, ambiguous_pair, parse_with, serial_number
+from siftwell.functions.dates import FIRST_ABOVE_12_RE, SECOND_ABOVE_12_RE, ambiguous_pair, parse_with, serial_number
 from siftwell.functions.text import blank_to_null
 from siftwell.session import key_join
 
@@ -14,8 +14,8 @@ NO_EVIDENCE = "no evidence in the column to tell day/month from month/day"
 NO_CANDIDATE = "no candidate format fits the whole column"
 
 
-def _all(condition: Column, text: Column) -> Column:
-    return F.coalesce(F.bool_and(F.when(text.isNotNull(), condition)), F.lit(True))
+def _all(condition: Column) -> Column:
+    return F.coalesce(F.bool_and(condition), F.lit(True))
 
 
 def _any(condition: Column) -> Column:
@@ -29,24 +29,27 @@ def _resolution(mode: str | None, fmt: str | None, error: str | None = None) ->
         F.lit(error).cast("string").alias("error"))
 
 
-def _settle(source: str, formats: list[str], epoch: str) -> Column:
-    text = blank_to_null(F.col(f"`{source}`").cast("string"))
-    seen = F.count(text) > 0
-    serial = seen & _all(serial_number(text).isNotNull(), text)
+def _settle(text: Column, formats: list[str], epoch: str) -> Column:
+    """Resolution of one column from its stripped texts, NULL where blank."""
+
+    def fits(test: Column) -> Column:
+        return _all(F.when(text.isNotNull(), test))
+
+    serial = (F.count(text) > 0) & fits(serial_number(text).isNotNull())
     pair = ambiguous_pair(formats)
     if len(formats) == 1:
         rest = _resolution("format", formats[0])
     elif pair:
-        day_first = _any(F.regexp_extract(text, PARTS_RE, 1).try_cast("int") > 12)
-        month_first = _any(F.regexp_extract(text, PARTS_RE, 2).try_cast("int") > 12)
+        day_first = _any(text.rlike(FIRST_ABOVE_12_RE))
+        month_first = _any(text.rlike(SECOND_ABOVE_12_RE))
         rest = (
             F.when(day_first & month_first, _resolution(None, None, CONTRADICTORY))
             .when(day_first, _resolution("format", pair[0]))
             .when(month_first, _resolution("format", pair[1]))
             .otherwise(_resolution(None, None, NO_EVIDENCE)))
     else:
-        fits = [F.when(_all(parse_with(text, f).isNotNull(), text), _resolution("format", f)) for f in formats]
-        rest = F.coalesce(*fits, _resolution(None, None, NO_CANDIDATE))
+        candidates = [F.when(fits(parse_with(text, f).isNotNull()), _resolution("format", f)) for f in formats]
+        rest = F.coalesce(*candidates, _resolution(None, None, NO_CANDIDATE))
     return F.when(serial, _resolution("serial", epoch)).otherwise(rest)
 
 
@@ -54,9 +57,12 @@ def settle_dates(rows: DataFrame, fields: list[dict], file_col: str = "_file") -
     """One row per file with `_dates`, a struct of (mode, format, error) per date field.
 
     Counts and booleans only, so each input task sends one small row per file whatever the sizes.
+    The texts are stripped in a projection below the aggregation, once for all tests on them.
     """
-    settled = [_settle(f["source"], f["formats"], f["epoch"]).alias(f["target"]) for f in fields]
-    return rows.groupBy(file_col).agg(*settled).select(
+    texts = rows.select(
+        file_col, *[blank_to_null(F.col(f"`{f['source']}`").cast("string")).alias(f"_t{i}") for i, f in enumerate(fields)])
+    settled = [_settle(F.col(f"_t{i}"), f["formats"], f["epoch"]).alias(f["target"]) for i, f in enumerate(fields)]
+    return texts.groupBy(file_col).agg(*settled).select(
         F.col(file_col), F.struct(*[f["target"] for f in fields]).alias("_dates"))
 
 
