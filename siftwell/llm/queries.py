@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm import chat_trees, warc
+from siftwell.llm import chat_trees, pieces, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,27 @@ def op2_warc_members(spark: SparkSession, folder: str) -> DataFrame:
     """All pages as WARC records: written as whole gzip streams, normalised to members, read back by offset."""
     return warc.archive(spark.read.parquet(f"{folder}/pages.parquet")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def piece_model() -> str:
+    """The model file of the installed public tokenizers, which every executor has."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/documents.parquet").select(*(columns or ("doc_id", "text")))
+
+
+def sha256_of(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+@query()
+def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents encoded by the table of last tokens and decoded by the library."""
+    out = pieces.encode(documents(spark, folder), piece_model(), decoded="decoded")
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_of(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        sha256_of(F.col("decoded")).alias("decoded_sha256"))
