@@ -3,8 +3,8 @@
 A sequence of tokens is the encoding of its text if and only if every two neighbours are the encoding of
 theirs (they are compatible). So each prefix of a text has one last token: among the pieces that end there,
 which an Aho-Corasick automaton names, the one compatible with the last token of the prefix before it. The
-ids of the whole text are then read backwards from its end. No piece holds a word mark after another
-character, so no merge crosses into a new word and the table is made word by word and kept for words that return.
+ids of the whole text are then read backwards from its end. No merge crosses a place where no piece holds
+the two characters around it, so the table is made word by word and kept for words that return.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from siftwell.llm.common import whole_text
 
@@ -159,7 +160,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     """
     keep = [c for c in docs.columns if c not in (ids, decoded)]
     given = docs.select(*keep, whole_text(text).alias("__whole"))
-    schema = given.drop("__whole").schema.add(ids, "array<int>")
+    schema = given.drop("__whole").schema.add(ids, ArrayType(IntegerType()))
     if decoded:
         schema = schema.add(decoded, "string")
 
