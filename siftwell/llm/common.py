@@ -179,3 +179,34 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
         if not changed:
             work.drop(both)
             return labels
+
+
+def sampled(rows: DataFrame, key: str, label: str, per_label: int, seed: int) -> DataFrame:
+    """(key, label, rank) of at most `per_label` rows per label: those of the smallest hashes of their keys.
+
+    Every task keeps that many of a label before they are shuffled, so nothing grows with the table.
+    """
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key)
+    return rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).distinct().withColumn(
+        "rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+    """Weights (intercept first) of a ridged logistic regression by Newton's method, over a small fitted sample."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(x.shape[1])
+    penalty = np.diag([0.0] + [ridge] * (x.shape[1] - 1))
+    for _ in range(steps):
+        p = sigmoid(x @ w)
+        curve = np.maximum(p * (1 - p), 1e-9) * weight
+        step = np.linalg.solve((x * curve[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), x.T @ (weight * (y - p)) - penalty @ w)
+        w = w + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))

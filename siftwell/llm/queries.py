@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm import chat_trees, pieces, warc
+from siftwell.llm import chat_trees, language, pieces, quality, warc
+from siftwell.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +90,28 @@ def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_of(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         sha256_of(F.col("decoded")).alias("decoded_sha256"))
+
+
+def held_out(fold: int, folds: int) -> Column:
+    return F.coalesce(fold_of("doc_id", folds) == fold, F.lit(False))
+
+
+def quality_model(spark: SparkSession, folder: str, docs: DataFrame) -> quality.Model:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality.fit(docs.where(~held_out(2, 4)), labels.select("doc_id", "quality"))
+
+
+@query()
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of all documents, learned from the labels of three folds."""
+    docs = documents(spark, folder)
+    out = quality.score(docs, quality_model(spark, folder, docs))
+    return out.select("doc_id", held_out(2, 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of all documents, learned from three folds."""
+    docs = documents(spark, folder, "doc_id", "text", "lang")
+    out = language.identify(docs.select("doc_id", "text"), language.fit(docs.where(~held_out(2, 4))))
+    return out.select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score", "accepted")
