@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm import chat_trees, language, pieces, quality, warc
+from siftwell.llm import chat_trees, decontam, language, pieces, quality, toxicity, warc
 from siftwell.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,41 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder, "doc_id", "text", "lang")
     out = language.identify(docs.select("doc_id", "text"), language.fit(docs.where(~held_out(2, 4))))
     return out.select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of all documents, by a lexicon learned from the labels of four folds."""
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(docs.where(~held_out(0, 5)), labels.select("doc_id", "toxic"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out(0, 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+DECONTAM_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE item_id IS NOT NULL),
+g AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS k, array_to_string(list_slice(ws, pos, pos + least(13, len(ws)) - 1), ' ') AS win
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS pos FROM i WHERE len(ws) > 0)),
+k AS (SELECT DISTINCT k FROM g),
+d AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS pos FROM w, k WHERE len(ws) >= k),
+m AS (SELECT d.doc_id, d.pos, g.k, g.item_id FROM d JOIN g ON g.k = d.k AND g.win = array_to_string(list_slice(d.ws, d.pos, d.pos + d.k - 1), ' ')),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS p FROM m) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
+@query(DECONTAM_SQL)
+def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scanned for windows of the benchmark's words."""
+    out = decontam.scan(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      sha256_of(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
