@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm import chat_trees, decontam, language, pieces, quality, toxicity, warc
-from siftwell.llm.common import fold_of
+from siftwell.llm import chat_trees, decontam, language, pieces, quality, simhash, toxicity, warc
+from siftwell.llm.common import Work, fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,3 +153,16 @@ def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
     out = decontam.scan(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       sha256_of(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edits. n_near: for each hundredth id, the other documents within 6 bits."""
+    work = Work(spark, "op3")
+    out = work.stage(simhash.with_next(documents(spark, folder)), "prints")
+    copies = work.stage(out.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    asked = out.where(F.col("doc_id") % 100 == 0).select("fingerprint").distinct()
+    near = simhash.within(copies, asked).join(copies.withColumnRenamed("fingerprint", "found"), "found").groupBy("query").agg(
+        (F.sum("copies") - 1).alias("n_near"))
+    asked_ids = out.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("asked"), F.col("fingerprint").alias("query")).join(near, "query")
+    return out.join(asked_ids.select("asked", "n_near"), F.col("doc_id") == F.col("asked"), "left").drop("asked")
