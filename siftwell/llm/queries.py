@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm import chat_trees, decontam, language, pieces, quality, simhash, toxicity, warc
+from siftwell.llm import chat_trees, decontam, language, line_runs, pieces, quality, simhash, toxicity, warc
 from siftwell.llm.common import Work, fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,27 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
         (F.sum("copies") - 1).alias("n_near"))
     asked_ids = out.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("asked"), F.col("fingerprint").alias("query")).join(near, "query")
     return out.join(asked_ids.select("asked", "n_near"), F.col("doc_id") == F.col("asked"), "left").drop("asked")
+
+
+LINES_SQL = r"""
+WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l0 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM raw),
+l1 AS (SELECT *, len(regexp_extract_all(line, '[^ \t\x0B\f\r]+')) AS n FROM l0),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS c FROM l1 WHERE n > 0),
+right_ AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c + b.n >= a.c + 50 AND b.c < a.c + 50 GROUP BY a.doc_id, a.i),
+left_ AS (SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.i <= b.i AND a.c + 50 <= b.c + b.n AND a.c + a.n + 50 > b.c + b.n GROUP BY b.doc_id, b.i),
+r AS (SELECT * FROM right_ UNION SELECT * FROM left_),
+k AS (SELECT r.doc_id, r.s, min(l.pos) AS f, max(l.pos) AS t, string_agg(line, chr(10) ORDER BY l.i) AS body FROM r JOIN l ON l.doc_id = r.doc_id AND l.i BETWEEN r.s AND r.e GROUP BY r.doc_id, r.s, r.e),
+m AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS nth FROM k),
+dead AS (SELECT DISTINCT doc_id, unnest(range(f, t + 1)) AS pos FROM m WHERE nth > 1),
+kept AS (SELECT l0.doc_id, string_agg(line, chr(10) ORDER BY l0.pos) AS text FROM l0 ANTI JOIN dead ON dead.doc_id = l0.doc_id AND dead.pos = l0.pos GROUP BY l0.doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM dead GROUP BY doc_id)
+SELECT raw.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(gone.n, 0) AS n_removed, coalesce(kept.text, '') AS text
+FROM raw LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
+
+
+@query(LINES_SQL)
+def op4_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the runs of lines of fifty words or more that stand earlier, too."""
+    whole = documents(spark, folder).withColumn("text", F.coalesce("text", F.lit("")))
+    return line_runs.dedup(whole).select("doc_id", "n_lines", "n_removed", "text")
