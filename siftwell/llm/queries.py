@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm import chat_trees, decontam, language, line_runs, pieces, quality, simhash, toxicity, warc
+from siftwell.llm import chat_trees, decontam, jaccard, language, line_runs, pieces, quality, simhash, toxicity, warc
 from siftwell.llm.common import Work, fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,21 @@ def op4_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the runs of lines of fifty words or more that stand earlier, too."""
     whole = documents(spark, folder).withColumn("text", F.coalesce("text", F.lit("")))
     return line_runs.dedup(whole).select("doc_id", "n_lines", "n_removed", "text")
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, pos, pos + 3), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS pos FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
+@query(JACCARD_SQL)
+def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their group of texts alike."""
+    return jaccard.join(documents(spark, folder))
