@@ -33,6 +33,12 @@ class Work:
         self.written += 1
         return f"{self.folder}/{self.written:03d}-{label}"
 
+    def new_folder(self, label: str) -> str:
+        """An empty folder, for files that tasks write themselves."""
+        path = self.path(label)
+        self._files().mkdirs(self._hadoop(path))
+        return path
+
     def stage(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
         df.write.parquet(path)
@@ -193,19 +199,32 @@ def sampled(rows: DataFrame, key: str, label: str, per_label: int, seed: int) ->
         "rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Weights (intercept first) of a ridged logistic regression by Newton's method, over a small fitted sample."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    penalty = np.diag([0.0] + [ridge] * (x.shape[1] - 1))
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, steps: int = 100) -> np.ndarray:
+    """Weights (intercept first) of a ridged logistic regression over a small fitted sample, by damped Newton steps.
+
+    Columns are brought to mean 0 and deviation 1 for the fit, so that the ridge treats them alike.
+    """
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale > 0, scale, 1.0)
+    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    penalty = np.array([1e-6] + [ridge] * x.shape[1])
+    w = np.zeros(z.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        return float((weight * np.logaddexp(0, np.where(y == 1, -(z @ v), z @ v))).sum() + (penalty * v * v).sum() / 2)
+
     for _ in range(steps):
-        p = sigmoid(x @ w)
+        p = sigmoid(z @ w)
         curve = np.maximum(p * (1 - p), 1e-9) * weight
-        step = np.linalg.solve((x * curve[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), x.T @ (weight * (y - p)) - penalty @ w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((z * curve[:, None]).T @ z + np.diag(penalty), z.T @ (weight * (y - p)) - penalty * w)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-8:
             break
-    return w
+    slopes = w[1:] / scale
+    return np.concatenate([[w[0] - slopes @ mean], slopes])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -5,7 +5,8 @@ wherever it stands: the lines from each line on until `gram` words are hashed, a
 start within `window` words the smallest hash is selected (gram + window - 1 <= least). Each selected gram is
 then grown both ways, line by line, to the shortest runs of at least `least` words around it, and of equal runs
 the first, in order of document and place, stays while the lines of the later ones go. A line is so deleted
-exactly if it lies in a run of whole lines of at least `least` words that stands earlier, too.
+exactly if it lies in a run of whole lines of at least `least` words that stands earlier, too; lines without a
+word go with the shortest run around them.
 
 Only DataFrame expressions. Lines travel as hashes; per document the work is windows over its lines, and equal
 runs meet by their hash with one row for the first, so that no pairs within a group are made.

@@ -167,8 +167,10 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = 6, agree: int =
     """(query, found, distance): for each distinct query fingerprint all distinct fingerprints within the radius, itself too.
 
     Both sides are made distinct first, so copies cost one row. A pair comes out of the first of the tables
-    in which it meets and of no other. Null fingerprints are found by none.
+    in which it meets and of no other. Null fingerprints are found by none. The tables of the queries are
+    written before the join, so that Spark judges their size by what they are.
     """
+    work = Work(prints.sparkSession, "within")
     blocks = radius + agree
     size = BITS // 4 // blocks
     if size < 1:
@@ -181,7 +183,7 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = 6, agree: int =
                 for some in combinations(range(blocks), agree)]
         return side.select(F.col(column).alias(name)).where(f"{name} IS NOT NULL").distinct().select(name, F.posexplode(F.array(*keys)).alias("table", "key"))
 
-    pairs = tables(queries, "query").join(tables(prints, "found").drop("table"), "key")
+    pairs = work.stage(tables(queries, "query"), "queries").join(tables(prints, "found").drop("table"), "key")
     same = F.array(*[F.substring("query", starts[i], sizes[i]) == F.substring("found", starts[i], sizes[i]) for i in range(blocks)])
     choices = list(combinations(range(blocks), agree))
     first = F.array_position(F.array(*[

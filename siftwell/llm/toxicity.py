@@ -106,13 +106,16 @@ class Model:
         return sigmoid(self.weights[0] + self.weights[1] * x)
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, stem, toxic, clean): documents by term of (label, text), counted per batch before the shuffle."""
+def term_counts(rows: DataFrame, spared: list[str]) -> DataFrame:
+    """(term, stem, toxic, clean): documents by term of (label, text) outside the spared phrases, counted per batch before the shuffle."""
+    phrases = re.compile("|".join(rf"\b{re.escape(p)}\b" for p in spared)) if spared else None
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: tuple[Counter, Counter] = Counter(), Counter()
             for label, text in zip(batch.column(0).to_pylist(), text_column(batch, "text"), strict=True):
-                words = {w for w in WORD.findall(fold(text)) if len(w) >= 3}
+                folded = fold(text)
+                words = {w for w in WORD.findall(phrases.sub(" ", folded) if phrases else folded) if len(w) >= 3}
                 counts[label].update((w, False) for w in words)
                 counts[label].update({(w[:n], True) for w in words for n in STEMS if len(w) > n})
             terms = list(counts[0].keys() | counts[1].keys())
@@ -152,8 +155,8 @@ def fit(
 
     A term is kept when at least `support` toxic texts hold it and its log-odds are at least `least`, the
     `most_terms` heaviest of them. A stem gives way to a word that makes up nearly all of it, and covers its
-    other words. A word pair around a term that occurs in as many clean texts and in no toxic one becomes an
-    exception beside the given ones. Without rows of both labels the lexicon is empty and every score the same.
+    other words. Words inside the given exception phrases are not counted; a word pair around a term that
+    occurs in `support` clean texts and in no toxic one becomes an exception, too. Without rows of both labels the lexicon is empty and every score the same.
     """
     work = Work(docs.sparkSession, "toxicity")
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(key), F.col(label).cast("int").alias("label"))
@@ -168,7 +171,8 @@ def fit(
     toxic, clean = size.get(1, 0), size.get(0, 0)
     support = min(support, max(2, toxic // 10))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    heavy = term_counts(given).withColumn("weight", odds).where((F.col("toxic") >= support) & (F.col("weight") >= min(least, math.log(max(clean, 2)))))
+    spared = sorted({fold(e) for e in exceptions})
+    heavy = term_counts(given, spared).withColumn("weight", odds).where((F.col("toxic") >= support) & (F.col("weight") >= min(least, math.log(max(clean, 2)))))
     found = heavy.orderBy(F.desc(F.col("weight") * F.log("toxic")), "term", "stem").limit(most_terms).collect()
     words = {r["term"]: (r["toxic"], r["weight"]) for r in found if not r["stem"]}
     stems = {r["term"]: (r["toxic"], r["weight"]) for r in found if r["stem"]}
@@ -182,7 +186,7 @@ def fit(
             del stems[longer]
     model = Model({w: x for w, (_, x) in words.items() if not any(w.startswith(s) for s in stems)}, {s: x for s, (_, x) in stems.items()})
     pairs = contexts(given, model).where((F.col("toxic") == 0) & (F.col("clean") >= support)).orderBy(F.desc("clean"), "phrase").limit(most_terms).collect()
-    model.exceptions = sorted({*(fold(e) for e in exceptions), *(r["phrase"] for r in pairs)})
+    model.exceptions = sorted({*spared, *(r["phrase"] for r in pairs)})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

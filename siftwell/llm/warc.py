@@ -59,11 +59,10 @@ def fields(head: bytes) -> dict[str, str]:
 
 def write_monolithic(work: Work, records: DataFrame, level: int = 1) -> DataFrame:
     """(file, records): one gzip stream per task over rows (id, uri, html, type, refers_to, digest), written once."""
-    folder = work.path("monolithic")
+    folder = work.new_folder("monolithic")
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = opened(folder)
-        store.create_dir(base, recursive=True)
         name, count = f"{uuid.uuid4().hex}.warc.gz", 0
         packer, out = zlib.compressobj(level, wbits=GZIP), None
         for batch in rows:
@@ -136,14 +135,13 @@ def normalise(work: Work, files: DataFrame, level: int = 6) -> DataFrame:
     line is JSON: file, offset, length of the member, type, record id and payload digest. A file without
     records gives an empty archive; one that ends within a record is an error.
     """
-    folder = work.path("members")
+    folder = work.new_folder("members")
 
     def rewrite(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = []
         for path in (p for batch in rows for p in batch.column(0).to_pylist()):
             store, source = opened(path)
             target, base = opened(folder)
-            target.create_dir(base, recursive=True)
             name, offset, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
             with (store.open_input_stream(source, compression=None) as stream, target.open_output_stream(f"{base}/{name}", compression=None) as out,
                   target.open_output_stream(f"{base}/{name}.idx", compression=None) as index):
@@ -170,7 +168,7 @@ def normalise(work: Work, files: DataFrame, level: int = 6) -> DataFrame:
 
 def index_of(spark, archives: DataFrame) -> DataFrame:
     """The sidecar lines of the named archives (and of no other file in their folder)."""
-    lines = spark.read.schema(INDEX).json(f"{archives._archive_path}/*.idx")
+    lines = spark.read.schema(INDEX).option("pathGlobFilter", "*.idx").json(archives._archive_path)
     return lines.join(archives.select("file"), "file", "left_semi")
 
 
