@@ -92,7 +92,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     work = Work(docs.sparkSession, "lines")
     dead = repeated(work, docs, key, text, least, gram, window).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("dead").alias("__dead"))
     given = docs.drop("n_lines", "n_removed").withColumn("__hash", F.xxhash64(whole_text(text)))
-    joined = given.join(dead, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
+    # the ranges grow with the documents: merged at every size, and not broadcast while they happen to be few
+    joined = given.join(dead.hint("merge"), F.col(key).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
     rows = F.split(F.col(text), "\n")
     count = F.size(F.col("__dead"))
     # the lines between one deleted range and the next, each cut out whole
