@@ -37,4 +37,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from queries import evidence, lineage, loading, mapping, quality, records  # noqa: F401
+    from queries import evidence, files, lineage, loading, mapping, quality, records  # noqa: F401

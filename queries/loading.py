@@ -318,9 +318,7 @@ UNION ALL SELECT * FROM incoming""")
 def declared_load(t: Tables) -> DataFrame:
     """The whole cycle from one file set: hash, scan, evidence, mapping, rules, replacement, publication."""
     store = sales_store(t)
-    folder = new_folder(t.spark, "one")
-    raw_sales(t).drop("_file").coalesce(1).write.options(**AS_WRITTEN).csv(folder)
-    load.run_load(t.spark, store, {**SALES_LOAD, "carpeta": folder})
+    load.run_load(t.spark, store, {**SALES_LOAD, "carpeta": sales_files(t)}, unit="folder")
     return store.read("venta").withColumn("sale_date", F.col("sale_date").cast("string"))
 
 
@@ -329,9 +327,11 @@ SELECT CASE WHEN l_returnflag = 'R' THEN 'ERROR' ELSE 'OK' END AS outcome, count
        CASE WHEN l_returnflag = 'R' THEN 'amount' END AS field FROM lineitem GROUP BY ALL""")
 def dry_run(t: Tables) -> DataFrame:
     """Counts of a load that writes no table."""
-    found = load.dry_run(t.spark, {**SALES_LOAD, "carpeta": sales_files(t)})["counts"]
-    totals = found.agg(F.sum("rows_ok").alias("ok"), F.sum("rows_rejected").alias("bad"))
-    return totals.select(F.expr("stack(2, 'OK', ok, cast(null as string), 'ERROR', bad, 'amount') AS (outcome, n, field)"))
+    found = load.dry_run(t.spark, {**SALES_LOAD, "carpeta": sales_files(t)})
+    totals = found["counts"].agg(F.sum("rows_ok").alias("ok"), F.sum("rows_rejected").alias("bad"))
+    split = totals.select(F.expr("stack(2, 'OK', ok, 'ERROR', bad) AS (outcome, n)")).filter("n > 0")
+    fields = found["rejected"].select(F.lit("ERROR").alias("outcome"), "field").distinct()
+    return split.join(fields, "outcome", "left")
 
 
 @query("""

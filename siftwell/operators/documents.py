@@ -18,7 +18,14 @@ def content_hash(content: Column) -> Column:
 def not_loaded(files: DataFrame, runs: DataFrame) -> DataFrame:
     """Files whose (load, hash) has no successful run yet."""
     done = runs.filter(F.col("status") == "OK").select(F.col("load").alias("_load"), F.col("hash").alias("_hash")).distinct()
-    return key_join(files, done, [(F.col("load"), F.col("_load")), (F.col("hash"), F.col("_hash"))], "left_anti", measure=True)
+    return key_join(files, done, [(F.col("load"), F.col("_load")), (F.col("hash"), F.col("_hash"))], "left_anti")
+
+
+def first_of_content(files: DataFrame) -> DataFrame:
+    """Of files of one load with equal content the first, in order of the other columns."""
+    others = [c for c in files.columns if c not in ("load", "hash")]
+    first = files.groupBy("load", "hash").agg(F.min(F.struct(*others)).alias("_first"))
+    return first.select(*[F.col(c) if c not in others else F.col(f"_first.{c}").alias(c) for c in files.columns])
 
 
 def register(registry: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -68,11 +75,13 @@ def of_run(links: DataFrame, documents: DataFrame, run_id: int | None = None) ->
 def of_rows(rows: DataFrame, runs: DataFrame, links: DataFrame, documents: DataFrame) -> DataFrame:
     """Every document in the life of each row: its creating run and the runs chained to it.
 
-    `rows` (row_id, run_id). The documents of a chain are put together first; the rows come last
-    and are only spread over them, since one load may have created a third of all rows.
+    `rows` (row_id, run_id), the rows asked for. Only their chains are followed; the documents of a chain are
+    put together first and the rows come last, since one load may have created a third of all rows.
     """
-    chain = runs.select(
-        F.coalesce("principal", "run_id").alias("_principal"), F.col("run_id").alias("link_run"), F.col("operation"))
+    asked = rows.select(F.col("run_id").alias("_asked")).distinct()
+    chain = key_join(runs.select(
+        F.coalesce("principal", "run_id").alias("_principal"), F.col("run_id").alias("link_run"), F.col("operation")),
+        asked, [(F.col("_principal"), F.col("_asked"))], "left_semi")
     used = links.select(F.col("run_id").alias("_link_run"), "hash", "tag")
     linked = chain.join(used, F.col("link_run") == F.col("_link_run")).drop("_link_run")
     files = key_join(linked, documents.withColumnRenamed("hash", "_hash"), [(F.col("hash"), F.col("_hash"))], "inner").drop("_hash")

@@ -44,10 +44,9 @@ def overlap(values: DataFrame, column: str, tables: dict[str, tuple[DataFrame, l
     counts = matches.groupBy("table", "column").agg(F.count("*").alias("matches"))
     spark = values.sparkSession
     listed = spark.createDataFrame([(t, c) for t, (_, cols) in tables.items() for c in cols], "table string, column string")
-    # The total is one row and the listed columns are schema: both sides are small by construction.
-    total = proposed.agg(F.count("*").alias("total_proposed"))
-    found = listed.join(counts, ["table", "column"], "left").join(shown, ["table", "column"], "left").join(
-        F.broadcast(total), F.lit(True), "inner")
+    total = proposed.count()  # one number, from the footers of what was written
+    found = listed.join(counts, ["table", "column"], "left").join(shown, ["table", "column"], "left").withColumn(
+        "total_proposed", F.lit(total).cast("bigint"))
     return found.select(
         "table", "column", F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"), "total_proposed",
         _ratio(F.coalesce("matches", F.lit(0)), F.col("total_proposed")).alias("ratio"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.session import key_join
+from siftwell.session import key_join, stage
 
 RUNNING, OK, ERROR = "EN_CURSO", "OK", "ERROR"
 
@@ -46,22 +46,16 @@ def history(runs: DataFrame, principal: int) -> DataFrame:
 def numbered_histories(runs: DataFrame) -> DataFrame:
     """Every run with its place in its chain.
 
-    A chain is one record's life, yet a mass correction may hang a third of all runs on one
-    principal: places are counted within slices of the chain first and the slices added up.
+    A chain is one record's life, yet a mass correction may hang a third of all runs on one principal: the
+    runs are dealt by ranges of (principal, run), which cut a long chain, and numbered within each range; the
+    runs of a chain in the ranges before are added up from one row per range and chain.
     """
-    slices = 64
-    chained = with_principal(runs)
-    bounds = chained.groupBy("principal").agg(F.min("run_id").alias("_lo"), F.max("run_id").alias("_hi"))
-    placed = key_join(chained, bounds.withColumnRenamed("principal", "_p"), [(F.col("principal"), F.col("_p"))]).drop("_p")
-    width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    placed = placed.withColumn("_slice", F.floor((F.col("run_id") - F.col("_lo")) / width * slices).cast("int"))
-    sizes = placed.groupBy("principal", "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("principal").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        F.col("principal").alias("_p"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("principal", "_slice").orderBy("run_id")
-    return (
-        placed.withColumn("_at", F.row_number().over(inside))
-        .join(offsets, (F.col("principal") == F.col("_p")) & (F.col("_slice") == F.col("_s")))
-        .withColumn("place", F.col("_before") + F.col("_at"))
-        .drop("_lo", "_hi", "_slice", "_p", "_s", "_before", "_at"))
+    dealt = with_principal(runs).repartitionByRange("principal", "run_id").withColumn("_range", F.spark_partition_id())
+    dealt = stage(dealt, "ranges")
+    before = Window.partitionBy("principal").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("principal", "_range").agg(F.count("*").alias("_n")).select(
+        F.col("principal").alias("_p"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("principal", "_range").orderBy("run_id")
+    numbered = dealt.withColumn("_at", F.row_number().over(inside))
+    placed = key_join(numbered, offsets, [(F.col("principal"), F.col("_p")), (F.col("_range"), F.col("_r"))], "inner", null_safe=True)
+    return placed.withColumn("place", F.col("_before") + F.col("_at")).drop("_range", "_p", "_r", "_before", "_at")

@@ -11,6 +11,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.session import stage
+
 LOG_SCHEMA = ("query_id string, sql string, origin string, object string, tables array<string>, "
               "rows bigint, seconds double, status string, error string")
 SLOWEST = 5
@@ -53,10 +55,13 @@ def log_totals(log: DataFrame) -> DataFrame:
 def logged_query(
     spark: SparkSession, sql: str, args: dict | None, log_path: str, query_id: str, tables: list[str] | None = None,
 ) -> DataFrame:
-    """Run a query and append its log row. A failing log never fails the query; a failing query is logged."""
+    """Run a query once and append its log row; the result is read from where it was written.
+
+    A failing log never fails the query; a failing query is logged.
+    """
     started = time.perf_counter()
     try:
-        result = spark.sql(sql, args=args or {})
+        result = stage(spark.sql(sql, args=args or {}), "query")
         rows = result.count()
     except PySparkException as error:
         _log(spark, log_path, (query_id, sql, "consulta", None, tables, None, time.perf_counter() - started, "ERROR", str(error)))

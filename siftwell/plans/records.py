@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators import changes, documents, rules, runs
+from siftwell.operators.contracts import Contract
 from siftwell.operators.listing import is_system
 from siftwell.operators.replace import append_rows
 from siftwell.operators.rules import Rule
-from siftwell.plans.load import LINKS, RUNS, SYSTEM_TABLES, prepare, register_documents
+from siftwell.plans.load import LINKS, RUNS, SYSTEM_TABLES, check_contract, prepare, register_documents
 from siftwell.plans.store import Entry, Store
 from siftwell.session import key_join, stage
 
@@ -45,14 +46,19 @@ def _run_rows(opened: DataFrame, operation: str, status: str) -> DataFrame:
 
 def _recorded(
     store: Store, entity: dict, operation: str, opened: DataFrame, candidate: DataFrame,
-    write: Callable[[], list[Entry]], invariants: list[Rule] | None,
+    write: Callable[[], list[Entry]], invariants: list[Rule] | None, changed: DataFrame | None = None,
+    contract: Contract | None = None, fired: list[dict] | None = None,
 ) -> None:
-    """Check the candidate, then publish what `write` wrote with its runs; else only its failed runs."""
+    """Check the changed rows and the candidate, then publish what `write` wrote with its runs; else only its failed runs."""
     name = f"{entity['entidad']}.{operation}"
     try:
+        if contract is not None and changed is not None:
+            check_contract(changed, contract)
         if invariants:
             store.register_views()
-            rules.guard_write(candidate, entity["tabla"], invariants)
+            found = rules.guard_write(candidate, entity["tabla"], invariants)[1]
+            if fired is not None:
+                fired += [r for r in found if r["fired"]]
         written = write()
     except Exception:
         store.publish(store.append(RUNS, _run_rows(opened, name, runs.ERROR)))
@@ -64,16 +70,24 @@ def _recorded(
 
 def create(
     spark: SparkSession, store: Store, entity: dict, catalogue: dict[str, dict], requests: DataFrame,
-    invariants: list[Rule] | None = None,
+    invariants: list[Rule] | None = None, contract: Contract | None = None, now: Column | None = None,
+    defaults: dict[str, Column] | None = None, fired: list[dict] | None = None,
 ) -> DataFrame:
-    """Add the valid requests under one run; returns the refused ones with their error."""
+    """Add the valid requests under one run; returns the refused ones with their error.
+
+    New rows carry the time in created_at and updated_at and `defaults` in fields not asked for. Rows that break
+    the table's `contract` are never published. Alarms that fired are added to `fired`.
+    """
     prepare(store)
     table = entity["tabla"]
     opened = _open_runs(store, spark.range(1).select(F.lit(None).cast("bigint").alias("principal")))
     run_id = opened.first()["id"]
-    added, refused = changes.new_rows(requests, entity, catalogue, {t: store.read(t) for t in store.tables()}, run_id)
-    candidate = append_rows(store.read(table), store.conform(table, added))
-    _recorded(store, entity, "crear", opened, candidate, lambda: store.append(table, added), invariants)
+    now = F.current_timestamp() if now is None else now
+    added, refused = changes.new_rows(
+        requests, entity, catalogue, {t: store.read(t) for t in store.tables()}, run_id, now=now, defaults=defaults)
+    added = store.conform(table, added)
+    candidate = append_rows(store.read(table), added)
+    _recorded(store, entity, "crear", opened, candidate, lambda: store.append(table, added), invariants, added, contract, fired)
     return refused
 
 
@@ -83,23 +97,26 @@ def _principals(rows: DataFrame) -> DataFrame:
 
 def edit(
     spark: SparkSession, store: Store, entity: dict, asked: DataFrame, now: Column,
-    invariants: list[Rule] | None = None, id_col: str = "id",
+    invariants: list[Rule] | None = None, id_col: str = "id", catalogue: dict[str, dict] | None = None,
+    contract: Contract | None = None, fired: list[dict] | None = None,
 ) -> DataFrame:
-    """Apply (id, seq, fields) changes; returns the refused ones."""
+    """Apply (id, seq, fields) changes, named and resolved as in creations; returns the refused ones."""
     prepare(store)
     table = entity["tabla"]
     rows = store.read(table)
-    edited, refused = changes.edit_rows(rows, asked, entity, now, id_col)
+    tables = {t: store.read(t) for t in store.tables()}
+    edited, refused = changes.edit_rows(rows, asked, entity, now, id_col, catalogue, tables)
     refused = stage(refused, "refused")
     done = asked.select(F.col(id_col).alias("_asked")).distinct().join(refused, F.col("_asked") == F.col(id_col), "left_anti")
-    touched = key_join(rows, done, [(F.col(id_col), F.col("_asked"))], "left_semi", measure=True)
+    touched = key_join(rows, done, [(F.col(id_col), F.col("_asked"))], "left_semi")
 
     part_meta = entity["campos"].get(store.part_col(table))
     if part_meta is not None and not is_system(store.part_col(table), part_meta):
         write = lambda: store.overwrite(table, edited)  # an edit may move rows between parts
     else:
-        write = lambda: store.rewrite(table, touched, lambda part: changes.edit_rows(part, asked, entity, now, id_col)[0])
-    _recorded(store, entity, "editar", _open_runs(store, _principals(touched)), edited, write, invariants)
+        write = lambda: store.rewrite(table, touched, lambda part: changes.edit_rows(part, asked, entity, now, id_col, catalogue, tables)[0])
+    changed = key_join(edited, done, [(F.col(id_col), F.col("_asked"))], "left_semi")
+    _recorded(store, entity, "editar", _open_runs(store, _principals(touched)), edited, write, invariants, changed, contract, fired)
     return refused
 
 

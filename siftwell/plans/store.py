@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.operators import replace
-from siftwell.session import counted
 
 LOG_SCHEMA = "seq bigint, table string, part string, full boolean, path string, schema string, part_col string"
 NO_PART = "__HIVE_DEFAULT_PARTITION__"
@@ -114,13 +113,12 @@ class Store:
             for f in self.schema(table)])
 
     def _write(self, table: str, df: DataFrame, full: bool, touched: list[str] | None = None) -> tuple[list[Entry], int]:
-        """Folders written and their rows, counted by the same job."""
+        """Folders written and their rows, counted from the footers of what was written."""
         path = f"{self.root}/{table}/{uuid.uuid4().hex}"
         part_col = self.part_col(table)
-        df, rows = counted(df)
         if part_col is None:
             df.write.parquet(path)
-            return [Entry(table, None, full, path)], rows()
+            return [Entry(table, None, full, path)], self.spark.read.schema(df.schema).parquet(path).count()
         # Rows of a part go to few tasks, and a part too large for one task is split again.
         parted = df.withColumn("_part", F.col(part_col).cast("string")).hint("rebalance", "_part")
         parted.write.partitionBy("_part").parquet(path)
@@ -129,7 +127,8 @@ class Store:
         entries = [Entry(table, p, full, f"{path}/_part={_escape(p)}") for p in sorted(written)]
         if full:
             entries += [Entry(table, p, True, None) for p in sorted(set(touched or []) - written)]
-        return entries, rows()
+        rows = self.spark.read.schema(df.schema).parquet(path).count() if written else 0
+        return entries, rows
 
     def append(self, table: str, df: DataFrame) -> list[Entry]:
         """New folders beside the old ones; nothing is rewritten."""

@@ -1,17 +1,13 @@
-"""Session helpers: shared staging folder, size checks and joins that survive hot keys."""
+"""Session helpers: the shared staging folder, written intermediates and their owners, joins by key."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 from contextlib import contextmanager
+from contextvars import ContextVar
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
-
-SALTS = 16
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -45,20 +41,38 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+class Scope:
+    """Owns the folders staged while it is open, and deletes them when it closes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def close(self) -> None:
+        for path in self.paths:
+            files, folder = _files(self.spark, path)
+            files.delete(folder, True)
+        self.paths.clear()
+
+
+# The scope of the running thread (or task): loads that run side by side never see each other's.
+_scope: ContextVar[Scope | None] = ContextVar("staging scope", default=None)
 
 
 @contextmanager
 def staging(spark: SparkSession):
     """Folders staged inside are deleted at the end; nothing that reads them may outlive the block."""
-    _scopes.append([])
+    scope = Scope(spark)
+    token = _scope.set(scope)
     try:
-        yield
+        yield scope
     finally:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        for path in _scopes.pop():
-            folder = hadoop(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _scope.reset(token)
+        scope.close()
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -66,80 +80,29 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
     Cuts lineage, so a lost executor costs a re-read and not a recomputation, and fixes values
     that depend on the scan layout (line positions). Later steps read only the columns they use.
+    The open scope owns the folder; without one it belongs to the driver's JVM and goes with it.
     """
-    path = new_folder(df.sparkSession, label)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
+    scope = _scope.get()
+    if scope is not None:
+        scope.paths.append(path)
+    else:
+        files, folder = _files(spark, path)
+        files.deleteOnExit(folder)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def counted(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
-    """The frame with a row counter, read after its one write. A second scan is not needed."""
-    seen = Observation()
-
-    def rows() -> int:
-        try:
-            return seen.get["rows"]
-        except Py4JJavaError:  # a result known to be empty is planned away together with its counter
-            return 0
-
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), rows
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer estimate of the result size (never below the size of the files it scans)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    digits = text.rstrip("bkmg")
-    return int(digits) * units.get(text[len(digits):][:1], 1)
-
-
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    limit = broadcast_limit(df.sparkSession) if limit is None else limit
-    return 0 < estimated_bytes(df) <= limit
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def key_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[tuple[Column, Column]],
-    how: str = "left",
-    null_safe: bool = False,
-    measure: bool = False,
-    limit: int | None = None,
+    left: DataFrame, right: DataFrame, on: list[tuple[Column, Column]], how: str = "left", null_safe: bool = False,
 ) -> DataFrame:
-    """Join a left side that may have hot keys to a keyed right side.
-
-    A right side whose estimated size is below `limit` (the session's broadcast threshold unless
-    given) is broadcast. Otherwise the right side is repeated once per salt and the left rows are
-    spread over the salts, so a hot key is shared by many tasks; the number of salts never makes
-    the repeated side larger than the left one, and with no room for two Spark's own skew join
-    is what splits a hot key. The salt is the input partition number: it does not depend on row
-    order, hence a retried task yields the same rows, and exact copies of one row still spread
-    because they sit in different input splits.
-    `measure` is for a right side summed up from something large: the optimizer only knows the size
-    of what was read, so the side is written first and judged by what it really takes.
-    Allowed types: inner, left, left_semi, left_anti (each left row meets one salt only).
+    """Equi-join on pairs of columns, NULL equal to NULL if asked.
+
+    Nothing is hinted: Spark broadcasts a side below the session's threshold, and the adaptive skew join
+    that `tune` switches on splits a hot key of the other plans.
     """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"join type {how} repeats right rows once per salt")
     equals = [a.eqNullSafe(b) if null_safe else a == b for a, b in on]
     condition = equals[0]
     for term in equals[1:]:
         condition = condition & term
-    if measure and not fits_broadcast(right, limit):
-        right = stage(right, "side")
-    if fits_broadcast(right, limit):
-        return left.join(F.broadcast(right), condition, how)
-    salts = min(SALTS, estimated_bytes(left) // max(estimated_bytes(right), 1))
-    if salts < 2:
-        return left.join(right, condition, how)
-    salted_left = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    salted_right = right.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = salted_left.join(salted_right, condition & (F.col("_salt") == F.col("_rsalt")), how)
-    return joined.drop("_salt", "_rsalt")
+    return left.join(right, condition, how)

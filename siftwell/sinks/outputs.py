@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.operators.usage import LOG_SCHEMA
-from siftwell.session import counted, stage
+from siftwell.session import stage
 
 # Extension -> format.
 FORMATS = {".csv": "csv", ".parquet": "parquet"}
@@ -29,13 +29,14 @@ def resolve_name(template: str, values: dict, moment: datetime | None = None) ->
 
 
 def write(df: DataFrame, path: str, file_format: str, mode: str = "overwrite") -> int:
-    """Write and count in the same job."""
-    df, rows = counted(df)
+    """Write and count. Parquet is counted from the footers written; text is staged first, and counted there."""
+    spark, schema = df.sparkSession, df.schema
     if file_format == "csv":
+        df = stage(df, "output")
         df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
-    else:
-        df.write.mode(mode).parquet(path)
-    return rows()
+        return df.count()
+    df.write.mode(mode).parquet(path)
+    return spark.read.schema(schema).parquet(path).count()
 
 
 def write_output(

@@ -7,16 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.session import counted, stage
+from siftwell.session import stage
 
 MANIFEST = "_manifest"
 MANIFEST_SCHEMA = "table string, rows bigint"
 
 
 def _copy(df: DataFrame, path: str) -> int:
-    df, rows = counted(df)
     df.write.option("compression", "zstd").parquet(path)
-    return rows()
+    return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
 
 def take_snapshot(tables: dict[str, DataFrame], folder: str) -> DataFrame:

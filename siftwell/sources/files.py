@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.session import key_join
 from siftwell.sources.text_files import number_lines, read_lines
 
-# A file up to this size is hashed whole by one task; beyond it the lines are hashed by many.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
-
 
 def _binary(spark: SparkSession, folder: str | list[str], pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
@@ -25,26 +23,26 @@ def list_files(spark: SparkSession, folder: str | list[str], pattern: str = "*")
     return _binary(spark, folder, pattern).select(*_place())
 
 
-def hash_files(spark: SparkSession, folder: str | list[str], pattern: str = "*", whole: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """(file, uri, bytes, hash): SHA-256 of the bytes, or for larger files a digest of the numbered lines.
+def hash_files(spark: SparkSession, folder: str | list[str], pattern: str = "*") -> DataFrame:
+    """(file, uri, bytes, hash): one identity of the content for files of every size.
 
-    Which of the two applies depends on the size alone, so equal content has equal identity.
+    The bytes between line feeds are digested with their line numbers, so carriage returns and order
+    count, and the length of the file tells a final line feed. Splits of a large file are digested
+    by many tasks; neither their size nor the number of tasks shows in the result.
     """
-    found = _binary(spark, folder, pattern)
-    hashed = found.filter(F.col("length") <= whole).select(*_place(), F.sha2("content", 256).alias("hash"))
-    large = list_files(spark, folder, pattern).filter(F.col("bytes") > whole)
-    names = [r["file"] for r in large.select("file").collect()]
-    if not names:
-        return hashed
-    digests = digest_lines(number_lines(read_lines(spark, names))).withColumnRenamed("_file", "uri")
-    return hashed.unionByName(large.join(digests, "uri", "left").withColumn("hash", F.coalesce("hash", F.sha2(F.lit(""), 256))))
+    found = list_files(spark, folder, pattern)
+    digests = digest_lines(number_lines(read_lines(spark, folder, pattern, raw=True))).withColumnRenamed("_file", "_uri")
+    joined = key_join(found, digests, [(F.col("uri"), F.col("_uri"))])
+    return joined.select("file", "uri", "bytes", F.sha2(F.concat_ws("|", F.col("bytes"), F.coalesce("hash", F.lit(""))), 256).alias("hash"))
 
 
 def digest_lines(lines: DataFrame) -> DataFrame:
-    """(_file, hash) from sums over the numbered lines: order matters, splits and tasks do not."""
-    mark = F.xxhash64("_line", "value")
-    other = F.xxhash64("value", "_line", F.lit(1))
-    sums = lines.groupBy("_file").agg(
-        F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(38,0)")).alias("s"),
-        F.sum(other.cast("decimal(38,0)")).alias("o"))
-    return sums.select("_file", F.sha2(F.concat_ws("|", "n", "x", "s", "o"), 256).alias("hash"))
+    """(_file, hash): sums and parities of four independent 64-bit hashes of every numbered line.
+
+    The sums do not depend on the order in which lines are met; their numbers make the order of the file count.
+    """
+    marks = [F.xxhash64(F.lit(seed), "_line", "value") for seed in range(4)]
+    folded = lines.groupBy("_file").agg(
+        F.count("*").alias("n"), *[F.bit_xor(m).alias(f"x{i}") for i, m in enumerate(marks)],
+        *[F.sum(m.cast("decimal(38,0)")).alias(f"s{i}") for i, m in enumerate(marks)])
+    return folded.select("_file", F.sha2(F.concat_ws("|", *[F.col(c) for c in folded.columns if c != "_file"]), 256).alias("hash"))

@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from siftwell.session import key_join, stage
 
 UTF8 = {"utf-8", "utf-8-sig"}
-MULTILINE_COLUMNS = 512
-END_MARK = "\u0002"
-# A million splits, 100 TB of text, take about this much as a written table.
-SPLIT_TABLE_BYTES = 32 * 1024 * 1024
 
 
 @dataclass
@@ -40,8 +36,10 @@ def _decoded(value: Column, encoding: str) -> Column:
     return F.translate(latin, high.decode("latin-1"), meant)
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None, encoding: str = "utf-8-sig") -> DataFrame:
-    """Lines with their file, split and running position, written once.
+def read_lines(
+    spark: SparkSession, paths: str | list[str], pattern: str | None = None, encoding: str = "utf-8-sig", raw: bool = False,
+) -> DataFrame:
+    """Lines with their file, split and running position, written once. Raw lines are the bytes between line feeds.
 
     The position is only contiguous within one split of one scan, so it is fixed by writing it;
     every later step then reads the same numbers, whatever the executors or retries.
@@ -49,9 +47,9 @@ def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None
     reader = spark.read
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    lines = reader.text(paths).select(
+    lines = reader.text(paths, lineSep="\n" if raw else None).select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"), _decoded(F.col("value"), encoding).alias("value"))
+        F.monotonically_increasing_id().alias("_at"), (F.col("value").cast("binary") if raw else _decoded(F.col("value"), encoding)).alias("value"))
     return stage(lines, "lines")
 
 
@@ -65,28 +63,116 @@ def number_lines(lines: DataFrame) -> DataFrame:
     offsets = stage(splits, "splits").select(
         F.col("_file").alias("_f"), F.col("_block").alias("_b"), "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = key_join(lines, offsets, [(F.col("_file"), F.col("_f")), (F.col("_block"), F.col("_b"))], "inner", limit=SPLIT_TABLE_BYTES)
+    joined = key_join(lines, offsets, [(F.col("_file"), F.col("_f")), (F.col("_block"), F.col("_b"))], "inner")
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
     return joined.select("_file", "_block", number.alias("_line"), "value")
 
 
-def parse_cells(value: Column, delimiter: str, width: int) -> Column:
-    """Cells of a line as an array, as short as the line; an empty cell is '', surplus cells are dropped.
+@dataclass(frozen=True)
+class _Quoting:
+    """Patterns of cells parted by one delimiter. A quote counts only where a cell begins; doubled, it stands for itself.
 
-    A line without quotes is simply split. In the others an end mark tells empty cells, which the
-    parser reads as NULL, from cells the line does not have.
+    All repeated groups are possessive: they are loops without a way back, whatever the length of a line.
     """
-    schema = ", ".join(f"c{i} string" for i in range(width + 1))
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "emptyValue": "", "mode": "PERMISSIVE"}
-    marked = F.from_csv(F.concat(value, F.lit(delimiter + END_MARK)), schema, options)
-    cells = F.array(*[marked[f"c{i}"] for i in range(width + 1)])
-    end = F.array_position(cells, F.lit(END_MARK)).cast("int")
-    own = F.slice(cells, 1, F.when(end > 0, end - 1).otherwise(width))
-    quoted = F.transform(own, lambda x: F.coalesce(x, F.lit("")))
+
+    delimiter: str
+
+    @property
+    def _other(self) -> str:
+        return f"[^{re.escape(self.delimiter)}]*+"
+
+    body = r'[^"]*+(?:""[^"]*+)*+'
+
+    @property
+    def _cells(self) -> str:
+        """Whole cells, each with the delimiter after it."""
+        mark = re.escape(self.delimiter)
+        return f'(?:(?:"{self.body}"{self._other}|(?!"){self._other}){mark})*+'
+
+    @property
+    def opens(self) -> str:
+        """A line that begins outside a quoted cell and ends inside one."""
+        return f'^{self._cells}"{self.body}\\z'
+
+    @property
+    def stays(self) -> str:
+        """A line that begins inside a quoted cell and ends inside it or another one."""
+        return f'^{self.body}(?:"{self._other}{re.escape(self.delimiter)}{self._cells}"{self.body})?+\\z'
+
+    @property
+    def cell(self) -> str:
+        """One cell after a delimiter; an unclosed quote runs to the end."""
+        return f'{re.escape(self.delimiter)}("{self.body}"{self._other}|"{self.body}\\z|{self._other})'
+
+
+def parse_cells(value: Column, delimiter: str) -> Column:
+    """Cells of a record as an array, as short as the record; an empty cell is ''. An empty record has none.
+
+    A record without quotes is simply split. In a quoted cell, text after the closing quote is kept.
+    """
+    quoting = _Quoting(delimiter)
+    found = F.regexp_extract_all(F.concat(F.lit(delimiter), value), F.lit(quoting.cell), F.lit(1))
+    inner = f'^"({quoting.body})"?'
+
+    def unquoted(cell: Column) -> Column:
+        body = F.regexp_extract(cell, inner, 1)
+        tail = F.regexp_replace(cell, inner, "")
+        return F.when(F.startswith(cell, F.lit('"')), F.concat(F.replace(body, F.lit('""'), F.lit('"')), tail)).otherwise(cell)
+
     plain = F.split(value, re.escape(delimiter), -1)
     return (
         F.when(value == "", F.array().cast("array<string>"))
-        .when(F.contains(value, F.lit('"')), quoted).otherwise(plain))
+        .when(F.contains(value, F.lit('"')), F.transform(found, unquoted)).otherwise(plain))
+
+
+def join_records(lines: DataFrame, delimiter: str) -> DataFrame:
+    """Lines (_file, _block, _line, value) put together to records, each under the number of its first line.
+
+    A line break inside a quoted cell does not end a record. What a line does to the state of being inside
+    a cell is one of four things: it keeps it, turns it, or sets it to either. So the state before every
+    quoted line follows from the last line that sets it and the turns since, within its split, and from one
+    row per split for the splits before. Where no line opens a cell and leaves it open, lines are records.
+    """
+    quoting = _Quoting(delimiter)
+    quoted = lines.filter(F.contains("value", F.lit('"'))).select(
+        "_file", "_block", "_line", F.col("value").rlike(quoting.opens).cast("int").alias("_out"), F.col("value").rlike(quoting.stays).cast("int").alias("_in"))
+    marks = stage(quoted.filter("NOT (_out = 0 AND _in = 1)"), "quotes")
+    if marks.filter("_out = 1").limit(1).count() == 0:
+        return lines
+    in_split = Window.partitionBy("_file", "_block").orderBy("_line")
+    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("_turn", F.when(F.col("_out") > F.col("_in"), 1).otherwise(0)).withColumn("_turns", F.sum("_turn").over(in_split))
+    marks = marks.withColumn("_set", F.when(F.col("_out") == F.col("_in"), F.col("_out").bitwiseXOR((F.col("_turns") % 2).cast("int"))))
+    splits = marks.groupBy("_file", "_block").agg(
+        F.max_by("_set", F.when(F.col("_set").isNotNull(), F.col("_line"))).alias("_set"), F.sum("_turn").alias("_turns"))
+    in_file = Window.partitionBy("_file").orderBy("_block")
+    splits = splits.withColumn("_all", F.sum("_turns").over(in_file)).withColumn(
+        "_set", F.col("_set").bitwiseXOR(((F.col("_turns") + F.col("_all")) % 2).cast("int")))
+    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), F.coalesce(F.last("_set", True).over(earlier), F.lit(0)).bitwiseXOR(
+        ((F.col("_all") - F.col("_turns")) % 2).cast("int")).alias("_start"))
+    state = F.coalesce(F.last("_set", True).over(before), F.col("_start")).bitwiseXOR(((F.col("_turns") - F.col("_turn")) % 2).cast("int"))
+    placed = key_join(marks, starts, [(F.col("_file"), F.col("_f")), (F.col("_block"), F.col("_b"))], "inner").withColumn("_inside", state)
+    ends = F.when(F.col("_inside") == 1, F.col("_in")).otherwise(F.col("_out"))
+    events = stage(placed.withColumn("_ends", ends).filter("_inside <> _ends").select(
+        F.col("_file").alias("_f"), F.col("_block").alias("_b"), F.col("_line").alias("_l"), F.col("_ends").alias("_opened")), "events")
+
+    # the last event up to each line tells whether the line is inside a record, and which line opened it
+    told = key_join(lines, events, [(F.col("_file"), F.col("_f")), (F.col("_block"), F.col("_b")), (F.col("_line"), F.col("_l"))])
+    last = events.groupBy("_f", "_b").agg(F.max_by("_opened", "_l").alias("_was"), F.max(F.when(F.col("_opened") == 1, F.col("_l"))).alias("_from"))
+    sizes = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    known = key_join(sizes, last, [(F.col("_file"), F.col("_f")), (F.col("_block"), F.col("_b"))])
+    carried = known.select(F.col("_file").alias("_cf"), F.col("_block").alias("_cb"), F.last("_was", True).over(earlier).alias("_was"), F.last("_from", True).over(earlier).alias("_from"))
+    told = key_join(told, carried, [(F.col("_file"), F.col("_cf")), (F.col("_block"), F.col("_cb"))], "inner")
+    now = F.coalesce(F.last("_opened", True).over(in_split), F.col("_was"), F.lit(0))
+    opener = F.coalesce(F.last(F.when(F.col("_opened") == 1, F.col("_line")), True).over(in_split), F.col("_from"))
+    owned = told.select("_file", "_block", "_line", "value", F.when((now == 1) | (F.col("_opened") == 0), opener).alias("_record"))
+    owned = stage(owned, "owned")
+    single = owned.filter("_record IS NULL").select("_file", "_block", "_line", "value")
+    parts = F.sort_array(F.collect_list(F.struct("_line", "value")))
+    several = owned.filter("_record IS NOT NULL").groupBy("_file", "_record").agg(F.min("_block").alias("_block"), parts.alias("_parts")).select(
+        "_file", "_block", F.col("_record").alias("_line"), F.array_join(F.col("_parts.value"), "\n").alias("value"))
+    return single.unionByName(several)
 
 
 def _names(header: str, delimiter: str) -> list[str]:
@@ -103,18 +189,23 @@ def scan_csv(
 
     Files may order their columns differently: columns are found by name, the last one winning
     when a file repeats a name. Lines above the header are not rows. A blank line is a row of NULLs.
+    A quoted cell may hold line breaks, which are read as line feeds. A file without the header line is an error;
+    one without a byte is not listed by Spark's readers and so not seen.
     """
-    lines = number_lines(read_lines(spark, paths, pattern, encoding))
-    headers = lines.filter((F.col("_block") == 0) & (F.col("_line") == header_line)).select("_file", F.col("value").alias("_header"))
+    lines = stage(number_lines(read_lines(spark, paths, pattern, encoding)), "numbered")
+    headers = stage(lines.filter((F.col("_block") == 0) & (F.col("_line") == header_line)).select("_file", F.col("value").alias("_header")), "headers")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern or "*").load(paths).select(F.col("_metadata.file_path").alias("_found"))
+    short = found.join(headers, F.col("_found") == F.col("_file"), "left_anti").orderBy("_found").take(1)
+    if short:
+        raise ValueError(f"{short[0][0]} has fewer than {header_line} lines")
     layouts = [r[0] for r in headers.select("_header").distinct().collect()]  # header texts: schema, not data
     if not layouts:
-        raise ValueError(f"no file has {header_line} lines")
+        raise ValueError("no file found")
     named = {layout: _names(layout, delimiter) for layout in layouts}
     columns = [c for c in dict.fromkeys(n for names in named.values() for n in names) if c]
-    width = max(len(names) for names in named.values())
 
-    body = lines.filter(F.col("_line") > header_line)
-    cells = parse_cells(F.col("value"), delimiter, width)
+    body = join_records(lines.filter(F.col("_line") > header_line), delimiter)
+    cells = parse_cells(F.col("value"), delimiter)
     if len(layouts) == 1:
         place = {name: i for i, name in enumerate(named[layouts[0]])}
         parsed = body.select("_file", F.col("_line").alias("_row_num"), cells.alias("_cell"))
@@ -125,43 +216,12 @@ def scan_csv(
         [(text, {name: i for i, name in enumerate(names) if name}) for text, names in named.items()],
         "_layout string, _place map<string,int>")
     places = headers.join(known, F.col("_header") == F.col("_layout")).select(F.col("_file").alias("_f"), "_place")
-    placed = key_join(body, places, [(F.col("_file"), F.col("_f"))], "inner", measure=True)
+    placed = key_join(body, places, [(F.col("_file"), F.col("_f"))], "inner")
     parsed = placed.select("_file", F.col("_line").alias("_row_num"), "_place", cells.alias("_cell"))
     rows = parsed.select("_file", "_row_num", *[F.get("_cell", F.try_element_at("_place", F.lit(c))).alias(c) for c in columns])
     return Scan(rows, lines, columns)
 
 
-def scan_csv_multiline(
-    spark: SparkSession, paths: str | list[str], delimiter: str, header_line: int = 1,
-    encoding: str = "utf-8", pattern: str | None = None,
-) -> DataFrame:
-    """Files whose quoted cells hold line breaks. Such a file cannot be split: one task reads it.
-
-    All files share one layout. Blank lines are not records here.
-    """
-    reader = spark.read.options(sep=delimiter, quote='"', escape='"', multiLine=True, nullValue="\u0001", emptyValue="",
-                                encoding="utf-8" if codecs.lookup(encoding).name in UTF8 else encoding)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    wide = ", ".join(f"c{i} string" for i in range(MULTILINE_COLUMNS))
-    read = reader.schema(wide).csv(paths).select(
-        F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"), "*")
-    firsts = read.groupBy("_file").agg(F.min("_at").alias("_first"))
-    head = read.join(firsts, "_file").filter(F.col("_at") - F.col("_first") == header_line - 1).drop("_at", "_first", "_file")
-    layouts = [[c for c in r] for r in head.distinct().limit(2).collect()]
-    if len(layouts) != 1:
-        raise ValueError("the files must share one header")
-    if layouts[0][-1] is not None:
-        raise ValueError(f"more than {MULTILINE_COLUMNS - 1} columns")
-    place = {(name or "").removeprefix("\ufeff"): i for i, name in enumerate(layouts[0]) if name}
-    narrow = reader.schema(", ".join(f"c{i} string" for i in range(max(place.values()) + 1))).csv(paths)
-    records = stage(narrow.select(
-        F.col("_metadata.file_path").alias("_file"), F.lit(0).alias("_block"), F.monotonically_increasing_id().alias("_at"),
-        F.struct(*[F.col(f"c{i}").alias(n) for n, i in place.items()]).alias("value")), "records")
-    numbered = number_lines(records).filter(F.col("_line") > header_line)
-    return numbered.select("_file", F.col("_line").alias("_row_num"), "value.*")
-
-
 _REFERENCE_RE = re.compile(r"^([A-Za-z]{1,3})([1-9][0-9]{0,6})$")
 
 
@@ -179,9 +239,8 @@ def cell_position(reference: str) -> tuple[int, int]:
 def header_cells(lines: DataFrame, references: list[str], delimiter: str) -> DataFrame:
     """(file, ref, value) of cells above the rows; a cell beyond the end of its line is NULL."""
     places = {ref: cell_position(ref) for ref in references}
-    width = max(column for _, column in places.values())
     wanted = lines.filter((F.col("_block") == 0) & F.col("_line").isin([line for line, _ in places.values()]))
-    parsed = wanted.select("_file", "_line", parse_cells(F.col("value"), delimiter, width).alias("_cell"))
+    parsed = wanted.select("_file", "_line", parse_cells(F.col("value"), delimiter).alias("_cell"))
     found = F.array_compact(F.array(*[
         F.when(F.col("_line") == line, F.struct(F.lit(ref).alias("ref"), F.get("_cell", F.lit(column - 1)).alias("value")))
         for ref, (line, column) in places.items()]))

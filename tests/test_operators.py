@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import changes, date_evidence, documents, draft, listing, lookup, mapping, overlap, profile, replace, retention, rules, runs, usage, variables
-from siftwell.session import key_join, stage
+from siftwell.session import key_join, shared_folder, stage, staging
 from siftwell.sinks import outputs, snapshot
 from siftwell.sources import files, text_files
 
@@ -60,7 +60,7 @@ def test_registered_operation(spark):
 
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])
 def test_replacement_null_keys_and_repeats(spark, threshold):
-    """Same rows whether the keys are broadcast or spread over salts."""
+    """Same rows whether the keys are broadcast or shuffled."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
@@ -100,7 +100,12 @@ def test_profile_types(spark):
     spark.sql(sql)
     assert spark.table("borrador").columns[:3] == ["id", "ceros", "es"]
     spark.sql("DROP TABLE borrador")
-    assert draft.unique_names(["a", "b", "a", "a"]) == ["a", "b", "a_3", "a_4"]
+
+
+def test_drafted_names_are_unique(spark):
+    rows = spark.createDataFrame([(1, "x", "y", "z", "w")], "at int, `a b` string, `A-B` string, `a_b_2` string, c string")
+    names = [r["name"] for r in draft.draft_columns(profile.profile_columns(rows, rows.columns[1:], F.col("at"))).orderBy("position").collect()]
+    assert len(set(names)) == 4 and names[0] == "a_b" and names[3] == "c"
 
 
 def test_overlap_of_nothing(spark):
@@ -121,10 +126,12 @@ def test_label_status(spark):
 
 
 def test_filters():
-    assert listing.parse_filter("fecha<=2026-08-31") == ("fecha", "<=", "2026-08-31")
-    assert listing.parse_filter("a <> b") == ("a", "<>", "b")
-    with pytest.raises(ValueError):
-        listing.parse_filter("sin operador")
+    assert listing.parse_filter("due >= 2025-01-31 ") == ("due", ">=", "2025-01-31")
+    assert listing.parse_filter("title<>") == ("title", "<>", "")
+    assert listing.parse_filter("note=a<b") == ("note", "=", "a<b")
+    for bad in ("title", "= x", ""):
+        with pytest.raises(ValueError):
+            listing.parse_filter(bad)
 
 
 def test_listing_order_and_system_fields(spark):
@@ -297,22 +304,53 @@ def test_encodings(spark, tmp_path):
         assert encoding == "latin-1" or "€" in [r["año"] for r in rows.collect()]
 
 
-def test_quoted_line_breaks(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('n;t\n1;"dos\nlineas"\n2;x\n')
-    rows = text_files.scan_csv_multiline(spark, str(tmp_path / "a.csv"), ";")
-    assert [tuple(r)[1:] for r in rows.orderBy("_row_num").collect()] == [(2, "1", "dos\nlineas"), (3, "2", "x")]
+QUOTED = [
+    'k;t\n1;"two\nlines"\n2;x\n', 'k;t\n1;"a ""quoted"" ;\n\n end";z\n"2";"y"tail\n3;a"b\n', 'k;t\n"1\n2\n3";"4\n5"\n6;7\n',
+    'k;t\n1;"never closed\n2;x\n3;y"', 'k;t\n\n1;\n;2\n"";""\n', 'k;t\n1;"""x"""\n2;"\n";3\n', 'k;t\n1;x"\n2;"y\n"\n3;z', 'k;t\n"1";"\n\n"";\n";"\n"\n4;5\n']
+
+
+@pytest.mark.parametrize("text", QUOTED)
+@pytest.mark.parametrize("split", [7, 10_000])
+def test_quoted_records_like_a_plain_reader(spark, tmp_path, text, split):
+    import csv
+    import io
+
+    (tmp_path / "a.csv").write_text(text)
+    expected = [(c + [None, None])[:2] for c in csv.reader(io.StringIO(text, newline=""), delimiter=";")][1:]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = text_files.scan_csv(spark, str(tmp_path / "a.csv"), ";").rows.orderBy("_row_num").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [[r["k"], r["t"]] for r in rows] == expected
+
+
+def test_quotes_of_any_number(spark, tmp_path):
+    cell = 'say ""so"" ' * 20_000
+    (tmp_path / "a.csv").write_text("k;t\n" + ";".join(['"x"'] * 5000) + f'\n1;"{cell}\n"\n')
+    rows = text_files.scan_csv(spark, str(tmp_path / "a.csv"), ";").rows.orderBy("_row_num").collect()
+    assert rows[0]["t"] == "x" and rows[1]["t"] == cell.replace('""', '"') + "\n"
+
+
+def test_a_short_file_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("note\nk;t\n1;2\n")
+    (tmp_path / "b.csv").write_text("only\n")
+    with pytest.raises(ValueError, match="b.csv has fewer than 2 lines"):
+        text_files.scan_csv(spark, str(tmp_path), ";", header_line=2)
 
 
 def test_content_identity(spark, tmp_path):
-    import hashlib
-
-    (tmp_path / "a").mkdir()
-    for name, text in {"x.csv": "1\n2\n", "y.csv": "1\n2\n", "z.csv": "2\n1\n"}.items():
-        (tmp_path / "a" / name).write_text(text)
-    exact = {r["file"][-5:]: r["hash"] for r in files.hash_files(spark, str(tmp_path / "a")).collect()}
-    assert exact["x.csv"] == hashlib.sha256(b"1\n2\n").hexdigest() == exact["y.csv"] != exact["z.csv"]
-    by_lines = {r["file"][-5:]: r["hash"] for r in files.hash_files(spark, str(tmp_path / "a"), whole=1).collect()}
-    assert by_lines["x.csv"] == by_lines["y.csv"] != by_lines["z.csv"] and len(by_lines) == 3
+    texts = {"a": "x;1\n", "b": "x;1\n", "crlf": "x;1\r\n", "open": "x;1", "bom": "\ufeffx;1\n", "line": "\n", "two": "x;1\ny;2\n", "turned": "y;2\nx;1\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    found = {}
+    for split in (2, 10_000):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        found[split] = {r["file"].rsplit("/", 1)[-1]: r["hash"] for r in files.hash_files(spark, str(tmp_path)).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[2] == found[10_000]
+    assert found[2]["a"] == found[2]["b"] and len(set(found[2].values())) == len(texts) - 1
 
 
 def test_staged_folder_is_shared(spark):
