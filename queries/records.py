@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from queries import Tables, query
 from siftwell.operators import changes, listing, lookup
+from siftwell.operators.contracts import Contract, violation_counts
 
 CATALOGUE = {
     "nation": {"entidad": "nation", "tabla": "nation", "etiqueta": "label", "campos": {
@@ -167,6 +168,60 @@ def batch_edit_refused(t: Tables) -> DataFrame:
     return changes.edit_rows(order_records(t), order_changes(t), EDIT_ENTITY, now)[1]
 
 
+RELABEL_SQL = """
+WITH asked AS (SELECT CAST(c_custkey + (CASE WHEN c_custkey % 11 = 0 THEN 1000000 ELSE 0 END) AS VARCHAR) AS id, c_custkey % 7 AS kind, c_mktsegment AS segment,
+  (c_nationkey + 1) % 25 AS nation FROM customer WHERE c_mktsegment <> 'BUILDING')"""
+
+
+def relabelled(t: Tables) -> DataFrame:
+    """One change per client outside BUILDING: the next nation by label, alias and id, an unknown one, a synonym, a field that is none; some clients do not exist."""
+    following = (F.col("c_nationkey") + 1) % 25
+    asked = t.customer.filter("c_mktsegment <> 'BUILDING'").join(t.nation.select(F.col("n_nationkey").alias("_n"), "n_name"), following == F.col("_n"))
+    kind = F.col("c_custkey") % 7
+    text = lambda name, value: F.create_map(F.lit(name), value)
+    fields = (
+        F.when(kind == 0, text("nation", F.upper("n_name"))).when(kind == 1, text("nation_id", F.col("_n").cast("string")))
+        .when(kind == 2, text("nation", F.concat("n_name", F.lit("?")))).when(kind == 3, text("RAZON", F.concat(F.lit(" new "), F.col("c_name"))))
+        .when(kind == 4, text("Nation_ID", F.lit(" "))).when(kind == 5, text("colour", F.lit("red"))).otherwise(text("saldo", F.lit("1000,5"))))
+    far = F.when(F.col("c_custkey") % 11 == 0, 1000000).otherwise(0)
+    return asked.select((F.col("c_custkey") + far).cast("string").alias("id"), F.lit(1).alias("seq"), fields.alias("fields"))
+
+
+@query(RELABEL_SQL + """
+SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN kind = 3 THEN 'new ' || c_name ELSE c_name END AS nombre,
+  CASE WHEN kind IN (0, 1) THEN CAST(nation AS VARCHAR) WHEN kind = 4 THEN NULL ELSE CAST(c_nationkey AS VARCHAR) END AS nation_id,
+  CASE WHEN kind = 6 THEN 1000.5 ELSE c_acctbal END AS saldo
+FROM customer LEFT JOIN asked ON asked.id = CAST(c_custkey AS VARCHAR)""")
+def batch_edit_labels(t: Tables) -> DataFrame:
+    named = tables(t)
+    now = F.lit("2026-01-01").cast("timestamp_ntz")
+    edited, _ = changes.edit_rows(named["client"], relabelled(t), CATALOGUE["client"], now, catalogue=CATALOGUE, tables=named)
+    return edited.select("id", "nombre", "nation_id", "saldo")
+
+
+@query(RELABEL_SQL + """
+SELECT id, CASE WHEN kind = 2 THEN 'nation_id: missing nation' WHEN kind = 5 THEN 'unknown field: colour' ELSE 'no such row' END AS error
+FROM asked WHERE kind IN (2, 5) OR CAST(id AS BIGINT) >= 1000000""")
+def batch_edit_labels_refused(t: Tables) -> DataFrame:
+    named = tables(t)
+    now = F.lit("2026-01-01").cast("timestamp_ntz")
+    return changes.edit_rows(named["client"], relabelled(t), CATALOGUE["client"], now, catalogue=CATALOGUE, tables=named)[1]
+
+
+@query(REQUESTS_SQL + """,
+added AS (SELECT request, razon AS nombre, CAST(n_nationkey AS VARCHAR) AS nation_id, CAST(replace(saldo, ',', '.') AS DOUBLE) AS saldo FROM asked WHERE s_acctbal >= 0 AND n_regionkey > 1)
+SELECT 'allowed:ejecucion_id' AS rule, count(*) AS violations FROM added HAVING count(*) > 0
+UNION ALL SELECT 'check:saldo', count(*) FROM added WHERE saldo >= 5000 HAVING count(*) > 0
+UNION ALL SELECT 'not_null:created_at', count(*) FROM added WHERE false HAVING count(*) > 0""")
+def batch_create_contract(t: Tables) -> DataFrame:
+    """What the rows of valid requests, stamped and defaulted, break of a contract before they are written."""
+    named = tables(t)
+    entity = CATALOGUE["client"] | {"campos": CATALOGUE["client"]["campos"] | {"created_at": {"tipo": "timestamp"}}}
+    added, _ = changes.new_rows(requests(t), entity, CATALOGUE, named, 9, now=F.lit("2026-01-01").cast("timestamp_ntz"), defaults={"origen": F.lit("batch")})
+    contract = Contract(not_null=["created_at", "origen", "ejecucion_id"], checks={"saldo": "saldo < 5000"}, allowed={"ejecucion_id": [1]})
+    return violation_counts(added, contract)
+
+
 @query("SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def batch_delete(t: Tables) -> DataFrame:
     """Orders with a returned line are deleted."""
