@@ -14,18 +14,19 @@ least difference that two folded parity bitmaps show. What remains is counted ex
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from siftwell.llm.common import Work, WordHasher, components, mix, text_column, whole_text
 
-COLUMNS = 1 << 20  # counters of the table of frequencies: 8 MB on the driver and in each task, whatever the input
-PART = 1 << 16
+COLUMNS = 1 << 22  # counters of the table of frequencies: 16 MB in each task, whatever the input
+PART = 1 << 18
 BITMAP = 1024
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -47,7 +48,7 @@ def gram_sets(texts: list[str], size: int, hasher: WordHasher) -> Iterator[np.nd
 
 
 def counter_of(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(44)).astype(np.int64)
+    return (grams >> np.uint64(64 - COLUMNS.bit_length() + 1)).astype(np.int64)
 
 
 def bitmap(grams: np.ndarray) -> bytes:
@@ -56,60 +57,73 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def node_of(grams: np.ndarray) -> int | None:
+    """The name of a set: 64 bits of a digest of its members; an empty set has none."""
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None
+
+
 def first_pass(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n, digest) per document, and per task the counts of its grams in parts of the table."""
-    schema = StructType([rows.schema["id"], *StructType.fromDDL("n long, digest string, part int, counts binary").fields])
+    """(id, n, node) per document, and per task the counts of its grams in packed parts of the table."""
+    schema = StructType([rows.schema["id"], *StructType.fromDDL("n long, node long, part int, counts binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts, held, waiting, kind = WordHasher(), np.zeros(COLUMNS, np.int64), [], 0, None
+        hasher, counts, held, waiting, kind = WordHasher(), np.zeros(COLUMNS, np.uint32), [], 0, None
 
         def flush() -> None:
             nonlocal counts, held, waiting
             if held:
-                counts += np.bincount(counter_of(np.concatenate(held)), minlength=COLUMNS)
+                counts += np.bincount(counter_of(np.concatenate(held)), minlength=COLUMNS).astype(np.uint32)
             held, waiting = [], 0
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            n, digests = [], []
+            n, nodes = [], []
             for grams in gram_sets(text_column(batch, "text"), size, hasher):
                 n.append(len(grams))
-                digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).hexdigest() if len(grams) else None)
+                nodes.append(node_of(grams))
                 held.append(grams)
                 waiting += len(grams)
                 if waiting > COLUMNS:
                     flush()
             empty = [None] * len(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())],
-                schema.names)
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())], schema.names)
         flush()
         if kind is not None and counts.any():
             parts = range(COLUMNS // PART)
+            none = [None] * len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None] * len(parts), kind), pa.array([None] * len(parts), pa.int64()), pa.array([None] * len(parts), pa.string()),
-                 pa.array(list(parts), pa.int32()), pa.array([counts[p * PART:(p + 1) * PART].astype(np.int32).tobytes() for p in parts], pa.binary())], schema.names)
+                [pa.array(none, kind), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(list(parts), pa.int32()),
+                 pa.array([packed(counts[p * PART:(p + 1) * PART]) for p in parts], pa.binary())], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype(np.uint32).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.uint32)
+
+
 def frequencies(counted: DataFrame) -> np.ndarray:
-    """The tasks' counts added up: within each task that reads some, then per part. The result has a fixed size."""
-    def add(kind):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    sums[part] = sums.get(part, 0) + np.frombuffer(counts, kind).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
-        return run
+    """The tasks' counts added up: within each task that reads some, then per part. The result has a fixed size;
+    a sum stops at what 32 bits hold, which leaves the order of the columns a valid one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0), batch.column(1), strict=True):
+                part = part.as_py()
+                sums[part] = np.minimum(sums.get(part, np.uint64(0)) + unpacked(counts.as_py()).astype(np.uint64), np.uint64(2**32 - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([packed(s) for s in sums.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    once = counted.where("part IS NOT NULL").select("part", "counts").mapInArrow(add(np.int32), schema)
-    table = np.zeros(COLUMNS, np.int64)
-    for row in once.repartition("part").mapInArrow(add(np.int64), schema).collect():
-        table[row["part"] * PART:(row["part"] + 1) * PART] = np.frombuffer(row["counts"], np.int64)
-    return np.minimum(table, 2**32 - 1).astype(np.uint32)
+    once = counted.where("part IS NOT NULL").select("part", "counts").mapInArrow(run, schema)
+    table = np.zeros(COLUMNS, np.uint32)
+    for row in once.repartition("part").mapInArrow(run, schema).collect():
+        table[row["part"] * PART:(row["part"] + 1) * PART] = unpacked(row["counts"])
+    return table
 
 
 def needed(n: int, percent: int) -> int:
@@ -118,43 +132,60 @@ def needed(n: int, percent: int) -> int:
 
 
 def second_pass(rows: DataFrame, size: int, percent: int, table: np.ndarray) -> DataFrame:
-    """(id, n, digest, grams, bits): the rarest columns of each row, as many as one of a linked row must be among."""
-    schema = StructType([rows.schema["id"], *StructType.fromDDL("n long, digest string, grams array<long>, bits binary").fields])
-
+    """(node, n, grams, bits): the rarest columns of each row, as many as one of a linked row must be among."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            n, digests, first, bits = [], [], [], []
+            nodes, n, first, bits = [], [], [], []
             for grams in gram_sets(text_column(batch, "text"), size, hasher):
-                n.append(len(grams))
-                digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).hexdigest() if len(grams) else None)
-                keep = len(grams) - needed(len(grams), percent) + 1 if len(grams) else 0
-                order = np.lexsort((grams, table[counter_of(grams)]))[:keep]
-                first.append(grams[order].view(np.int64))
-                bits.append(bitmap(grams))
+                if len(grams):
+                    nodes.append(node_of(grams))
+                    n.append(len(grams))
+                    order = np.lexsort((grams, table[counter_of(grams)]))[:len(grams) - needed(len(grams), percent) + 1]
+                    first.append(grams[order].view(np.int64))
+                    bits.append(bitmap(grams))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                schema.names)
+                [pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["node", "n", "grams", "bits"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.select("text").mapInArrow(run, "node long, n long, grams array<long>, bits binary")
 
 
 def full_sets(rows: DataFrame, size: int) -> DataFrame:
     """(node, grams): all columns of the given rows, as sorted bytes."""
-    schema = StructType([StructField("node", rows.schema["id"].dataType), *StructType.fromDDL("grams binary").fields])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            sets = [g.tobytes() for g in gram_sets(text_column(batch, "text"), size, hasher)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema.names)
+            sets = list(gram_sets(text_column(batch, "text"), size, hasher))
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], ["node", "grams"])
+
+    return rows.select("text").mapInArrow(run, "node long, grams binary")
+
+
+def differ_little(bits: np.ndarray, others: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m with these bitmaps can reach the similarity: not if they differ in too many members."""
+    least = -(-percent * (n + m) // (100 + percent))
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.bitwise_count(bits ^ others).sum(axis=-1) <= n + m - 2 * least)
 
-    return rows.mapInArrow(run, schema)
+
+def bitmaps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITMAP // 64)
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow."""
+    one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = differ_little(bitmaps(batch.column("bits_a")), bitmaps(batch.column("bits_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the bound."""
-    kind = pairs.schema["a"].dataType
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -167,63 +198,45 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)])).distinct()
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) of rows (gram, i, j, side, node, n, component, bits), sorted by block (gram, i, j): every pair of
     different components of a block, one row of side i and one of side j, that sizes and bitmaps allow."""
-    kind = rows.schema["node"].dataType
-
-    def block(cols: list) -> tuple[list, list]:
-        side, node, n, group, bits = cols
-        n, bits = np.array(n, np.int64), np.frombuffer(b"".join(bits), np.uint64).reshape(len(n), BITMAP // 64)
-        code = np.unique(np.array(group), return_inverse=True)[1]
-        side = np.array(side)
+    def block(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        side, node, n, group = (part.column(c).to_numpy() for c in ("side", "node", "n", "component"))
+        bits = bitmaps(part.column("bits"))
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
         a, b = [], []
         for p in left:
-            # side 0 marks a block with itself: each pair once
-            others = right[right > p] if side[p] == 0 else right
-            others = others[(code[others] != code[p]) & (100 * np.minimum(n[others], n[p]) >= percent * np.maximum(n[others], n[p]))]
-            if not len(others):
-                continue
-            both = n[others] + n[p]
-            least = -(-percent * both // (100 + percent))
-            near = np.bitwise_count(bits[others] ^ bits[p]).sum(axis=1) <= both - 2 * least
-            found = others[near]
-            a += [node[p]] * len(found)
-            b += [node[q] for q in found]
-        return a, b
+            others = right[right > p] if side[p] == 0 else right  # side 0 marks a block with itself: each pair once
+            others = others[group[others] != group[p]]
+            found = others[differ_little(bits[others], bits[p], n[others], n[p], percent)]
+            a.append(np.full(len(found), node[p]))
+            b.append(node[found])
+        return np.concatenate(a) if a else node[:0], np.concatenate(b) if b else node[:0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, source = None, [[], [], [], [], []], None
-        a, b = [], []
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("gram", "i", "j")], axis=1)
+            ends = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), batch.num_rows]
+            for x, y in zip(ends[:-1], ends[1:], strict=True):
+                if held and tuple(keys[x]) != last:
+                    yield done(held)
+                    held = []
+                held, last = [*held, batch.slice(x, y - x)], tuple(keys[x])
+        if held:
+            yield done(held)
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, source), pa.array(b, source)], ["a", "b"])
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = block(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            source = batch.schema.field("node").type
-            rows_ = batch.to_pydict()
-            for key, *row in zip(zip(rows_["gram"], rows_["i"], rows_["j"], strict=True), rows_["side"], rows_["node"], rows_["n"], rows_["component"], rows_["bits"], strict=True):
-                if key != now:
-                    if len(held[0]) > 1:
-                        x, y = block(held)
-                        a, b = a + x, b + y
-                        if len(a) > 10_000:
-                            yield done()
-                            a, b = [], []
-                    now, held = key, [[], [], [], [], []]
-                for column, value in zip(held, row, strict=True):
-                    column.append(value)
-        if len(held[0]) > 1:
-            x, y = block(held)
-            a, b = a + x, b + y
-        if a:
-            yield done()
-
-    return rows.mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block_rows: int = 1000) -> DataFrame:
@@ -233,47 +246,63 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
     one. component_id is the smallest key reachable by links, its own included. Without words, or with a null
     text, the set is empty and linked with nothing; a null key gives a null component and links with nothing;
     rows of one key are one document with several sets; repeated rows give repeated rows; an empty table gives
-    none; other columns are not read. Grams are told apart by 64-bit hashes.
+    none; other columns are not read. Grams and whole sets are told apart by 64-bit hashes.
     """
     work = Work(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(key).alias("id"), whole_text(text).alias("text"))
     first = work.stage(first_pass(rows, size), "sets")
     table = frequencies(first)
-    members = first.where("part IS NULL").select("id", "n", "digest")
-    classes = work.stage(members.where("id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("id").alias("node")), "classes")
-    # of documents with equal sets one goes on
-    one = classes.select(F.col("digest").alias("d"), "node")
-    columns = second_pass(rows, size, percent, table).join(one, (F.col("id") == F.col("node")) & (F.col("digest") == F.col("d"))).select(
-        "node", "digest", "n", "grams", "bits").dropDuplicates(["node", "digest"])
-    columns = work.stage(columns, "columns")
-    met = columns.select("node", "n", F.explode("grams").alias("gram"))
+    members = first.where("part IS NULL").select("id", "n", "node")
+    # documents with equal sets are one row of the matrix, named by the digest of the set
+    columns = work.stage(second_pass(rows, size, percent, table), "columns")
+    nodes = work.stage(columns.select("node", "n", "bits").dropDuplicates(["node"]), "nodes")
+    met = columns.select("node", F.explode("grams").alias("gram"))
     shared = met.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram")
-    cells = work.stage(met.join(shared, "gram").select("gram", "node", "n"), "cells")
+    cells = work.stage(met.join(shared, "gram").select("gram", "node").distinct(), "cells")
+    work.drop(columns)
     # the row with the fewest columns of its own is the most central of those that meet
-    alone = cells.groupBy("node").agg((F.max("n") - F.count(F.lit(1))).alias("alone"))
+    alone = cells.groupBy("node").agg(F.count(F.lit(1)).alias("met")).join(nodes.select("node", "n"), "node").select("node", (F.col("n") - F.col("met")).alias("alone"))
     ranked = cells.join(alone, "node")
     centre = work.stage(ranked.groupBy("gram").agg(F.min(F.struct("alone", "node")).alias("best"), F.count(F.lit(1)).alias("rows")).select(
         "gram", F.col("best.node").alias("centre"), "rows"), "centres")
-    star = work.stage(cells.join(centre, "gram").where("node <> centre").select(
-        F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "star")
-    wanted = work.stage(cells.select("node").distinct(), "wanted")
-    sets = work.stage(full_sets(rows.join(wanted, F.col("id") == F.col("node"), "left_semi"), size), "full")
+    star = cells.join(centre, "gram").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    star = work.stage(possible(star, nodes, percent), "star")
+    reps = work.stage(members.where("id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")), "representatives")
+
+    def sets_of(wanted: DataFrame, label: str) -> DataFrame:
+        ids = work.stage(reps.join(wanted, "node", "left_semi").select("id").distinct(), "wanted")
+        given = rows.join(ids.hint("merge") if label == "star" else ids, "id", "left_semi")
+        return work.stage(full_sets(given, size).join(wanted, "node", "left_semi"), f"{label}-sets")
+
+    ends = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(ends, "star")
     links = work.stage(linked(star, sets, percent), "links")
     groups = work.stage(components(work, links), "groups")
-    # columns whose rows are not all in one group yet
+    # columns whose rows are not all in one group yet; two rows have met already, one of them as the centre
     placed = cells.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).where(
         "low < high AND rows > 2").select("gram", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"))
-    bits = columns.select("node", "bits").dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiles = placed.join(split, "gram").join(bits, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = placed.join(split, "gram").join(nodes, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                          F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side"), "node", "n", "component", "bits")
     tiles = tiles.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    more = block_pairs(tiles, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    found = work.stage(linked(more, sets, percent), "links")
-    if not found.isEmpty():
-        groups = work.stage(components(work, links.unionByName(found)), "groups")
-    of_class = classes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = members.join(of_class, "digest", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    more = block_pairs(tiles, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = work.stage(more.join(star, ["a", "b"], "left_anti"), "more")
+    if not more.isEmpty():
+        ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+        lacking = work.stage(ends.join(sets.select("node"), "node", "left_anti"), "lacking")
+        if not lacking.isEmpty():
+            sets = sets.unionByName(sets_of(lacking, "more"))
+        links = work.stage(links.unionByName(linked(more, sets, percent)), "links")
+        groups = work.stage(components(work, links), "groups")
+    # rows of one key are one document: their sets are joined, too
+    several = members.where("id IS NOT NULL AND node IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("far")).where("a < far").select("id", "a")
+    same = work.stage(members.where("node IS NOT NULL").join(several, "id").select("a", F.col("node").alias("b")).distinct(), "same")
+    if not same.isEmpty():
+        groups = components(work, links.unionByName(same))
+    of_node = reps.join(groups, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
+    smallest = of_node.groupBy("component").agg(F.min("id").alias("component_id"))
+    labelled = work.stage(of_node.join(smallest, "component").select("node", "component_id"), "labelled")
+    out = members.join(labelled, "node", "left")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))

@@ -22,8 +22,7 @@ def near_copies(seed, groups_, each):
 
 
 @pytest.mark.parametrize("seed,percent,block", [(1, 85, 1000), (2, 85, 7), (3, 60, 5)])
-def test_against_all_pairs(spark, monkeypatch, seed, percent, block):
-    monkeypatch.setattr(jaccard, "COLUMNS", 1 << 20)
+def test_against_all_pairs(spark, seed, percent, block):
     common = prose(77, 25)
     texts = near_copies(seed, 25, 14) + [f"{prose(5000 + i, 30)} {common}" for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
