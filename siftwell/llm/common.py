@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 
 from siftwell.session import new_folder
 
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of a few megabytes: a worker holds one, its texts and its results at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 class Work:
     """The written intermediates of one call, in a folder of their own below the cluster's shared folder.
@@ -20,6 +27,7 @@ class Work:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         self.spark = spark
         self.folder = new_folder(spark, label)
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftwell.llm.common import text_column, whole_text
+from siftwell.llm.common import bound_batches, text_column, whole_text
 
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z: digits, letters and every byte of a character beyond ASCII
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -112,6 +112,7 @@ def scan(
     equal item ids are one item; repeated documents are judged alike; an empty table gives none, an empty
     benchmark no hit. Given columns of the new names are replaced.
     """
+    bound_batches(docs.sparkSession)
     new = ("n_words", "n_hit", "items", "spans", "contaminated")
     rows = docs.select(*[c for c in docs.columns if c not in new], whole_text(text).alias("__whole"))
     kept = rows.columns

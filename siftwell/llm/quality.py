@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from siftwell.llm.common import Work, logistic, sampled, sigmoid, text_column, whole_text
+from siftwell.llm.common import Work, bound_batches, logistic, sampled, sigmoid, text_column, whole_text
 
 SHAPE = bytes(
     ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256))
@@ -66,6 +66,7 @@ class Model:
 
 def per_text(docs: DataFrame, text: str, column: str, function) -> DataFrame:
     """All columns but one of that name, and `column`: function of a list of whole texts, as doubles."""
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != column]
     given = docs.select(*keep, whole_text(text).alias("__whole"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from siftwell.llm.common import Work, WordHasher, mix, text_column, whole_text
+from siftwell.llm.common import WordHasher, Work, bound_batches, mix, text_column, whole_text
 
 BITS = 128
 SALT = np.uint64(0x632BE59BD9B4E019)
@@ -60,6 +60,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprint(docs: DataFrame, text: str = "text", column: str = "fingerprint") -> DataFrame:
     """All columns and the fingerprint of each whole text (null as empty); a given column of that name is replaced."""
+    bound_batches(docs.sparkSession)
     from pyspark.sql.types import StringType
 
     given = docs.select(*[c for c in docs.columns if c != column], whole_text(text).alias("__whole"))
