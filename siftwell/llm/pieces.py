@@ -23,8 +23,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from siftwell.llm.common import bound_batches, whole_text
 
 MARK = "▁"  # what the model has for a space
-KEPT_WORDS = 400_000  # memory of a worker; words beyond it are encoded again when they return
-KEPT_PAIRS = 2_000_000
+KEPT_WORDS = 200_000  # memory of a worker; words beyond it are encoded again when they return
+KEPT_PAIRS = 500_000
 
 
 class Pieces:
@@ -176,6 +176,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
                     arrays.append(pa.array([pieces.decode(x) if x else "" for x in encoded], pa.string()))
                     names.append(decoded)
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        pieces.known.clear()  # the worker lives on for other stages
 
     return given.mapInArrow(run, schema)
 
