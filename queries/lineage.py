@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from queries import Tables, query
 from siftwell.operators import documents, retention, runs, usage
+from siftwell.plans import load
+from siftwell.plans import retention as plan
+from siftwell.plans.store import Store
+from siftwell.session import new_folder
 
 
 def run_events(t: Tables) -> DataFrame:
@@ -255,6 +259,22 @@ def history_purge(t: Tables) -> DataFrame:
     return after.select("hash", "status", F.date_format("purged_at", "yyyy-MM-dd").alias("purged"))
 
 
+@query(USES_SQL + """
+SELECT CAST(c_custkey AS VARCHAR) AS hash, CASE WHEN c_mktsegment = 'BUILDING' OR k.hash IS NULL THEN 'purgado' ELSE 'disponible' END AS status,
+       CASE WHEN c_mktsegment <> 'BUILDING' AND k.hash IS NULL THEN '2026-01-29' END AS purged
+FROM customer LEFT JOIN (SELECT DISTINCT hash FROM kept) k ON k.hash = CAST(c_custkey AS VARCHAR)""")
+def store_purge(t: Tables) -> DataFrame:
+    """The same retention on a store: every use is a link of a run of its process, and the purge publishes the registry."""
+    store = load.prepare(Store(t.spark, new_folder(t.spark, "store")))
+    used = uses(t).withColumn("run_id", F.xxhash64("load", "kind"))
+    runs_of = used.select(F.col("run_id").alias("id"), F.lit(1).alias("seq"), F.col("load").alias("carga"), F.col("kind").alias("tipo"), F.lit("OK").alias("estado")).distinct()
+    registered = customer_documents(t).withColumn("prefix", F.substring(F.sha2("hash", 256), 1, 1))
+    store.publish(
+        store.append(load.RUNS, runs_of) + store.append(load.LINKS, used.withColumnRenamed("used_at", "fecha")) + store.append(load.DOCUMENTS, registered))
+    plan.purge_documents(store, POLICIES, F.lit(NOW).cast("timestamp_ntz"))
+    return store.read(load.DOCUMENTS).select("hash", "status", F.date_format("purged_at", "yyyy-MM-dd").alias("purged"))
+
+
 @query("""
 WITH snaps AS (SELECT o_orderpriority AS entity, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS name, o_orderdate AS taken FROM orders),
 buckets AS (SELECT *, 'd' AS k, date_trunc('day', taken) AS b, 7 AS n FROM snaps UNION ALL SELECT *, 'w', date_trunc('week', taken), 8 FROM snaps

@@ -287,7 +287,7 @@ def sales_files(t: Tables) -> str:
 
 def sales_store(t: Tables) -> Store:
     store = load.prepare(Store(t.spark, new_folder(t.spark, "store")))
-    store.create("venta", "sale_date date, party bigint, amount double, origin string", part_col=None)
+    store.create("venta", "sale_date date, party bigint, amount double, origin string", bucket_keys=SALES_KEYS, buckets=8)
     store.publish(store.append("venta", sales_target(t)))
     return store
 

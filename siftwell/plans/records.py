@@ -40,7 +40,8 @@ def _open_runs(store: Store, principals: DataFrame) -> DataFrame:
 
 def _run_rows(opened: DataFrame, operation: str, status: str) -> DataFrame:
     known = {"id": F.col("id"), "seq": F.lit(1), "ejecucion_id_principal": F.coalesce("principal", "id"),
-             "carga": F.lit(operation), "tipo": F.lit("cli"), "estado": F.lit(status)}
+             "carga": F.lit(operation), "tipo": F.lit("cli"), "estado": F.lit(status),
+             "fecha": F.current_timestamp().cast("timestamp_ntz"), "usuario": F.lit(opened.sparkSession.sparkContext.sparkUser())}
     return opened.select(*[known.get(c, F.lit(None)).alias(c) for c in _RUN_COLUMNS])
 
 
@@ -145,7 +146,7 @@ def attach(spark: SparkSession, store: Store, entity: dict, requests: DataFrame,
     good = checked.filter("status = 'ok'")
     opened = _open_runs(store, good)
     links = key_join(good, opened.withColumnRenamed("principal", "_p"), [(F.col("principal"), F.col("_p"))], "inner").select(
-        F.col("id").alias("run_id"), "hash", "tag").distinct()
+        F.col("id").alias("run_id"), "hash", "tag").distinct().withColumn("fecha", F.current_timestamp().cast("timestamp_ntz"))
     arrived = requests.join(good.select("hash").distinct(), "hash", "left_semi").select("hash", "name", "bytes")
     entries: list[Entry] = store.append(LINKS, links)
     entries += register_documents(store, arrived)

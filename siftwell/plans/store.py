@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,8 +63,16 @@ class Store:
     def tables(self) -> list[str]:
         return sorted({e["table"] for e in self._log()})
 
-    def create(self, table: str, schema: str | T.StructType, part_col: str | None = None) -> None:
-        """Declare a table; `part_col` names a coarse replacement key it is kept apart by."""
+    def create(
+        self, table: str, schema: str | T.StructType, part_col: str | None = None, bucket_keys: list[str] | None = None, buckets: int = 64,
+    ) -> None:
+        """Declare a table; `part_col` names a coarse replacement key it is kept apart by.
+
+        Without a coarse key, `bucket_keys` keep the rows apart by a hash of these columns, so that a change of few
+        keys reads and writes few buckets.
+        """
+        if bucket_keys:
+            part_col = json.dumps({"keys": bucket_keys, "buckets": buckets})
         self.create_all({table: schema}, part_col)
 
     def create_all(self, schemas: dict[str, str | T.StructType], part_col: str | None = None) -> None:
@@ -89,7 +97,21 @@ class Store:
         return T.StructType.fromJson(json.loads(self._declared(table)["schema"]))
 
     def part_col(self, table: str) -> str | None:
-        return self._declared(table)["part_col"]
+        """The column a table is kept apart by, if it is one."""
+        kept = self._declared(table)["part_col"]
+        return None if kept and kept.startswith("{") else kept
+
+    def part(self, table: str) -> tuple[Column | None, list[str]]:
+        """The part of a row as text, and the columns that tell it; NULL without parts."""
+        kept = self._declared(table)["part_col"]
+        if kept is None:
+            return None, []
+        if not kept.startswith("{"):
+            return F.col(kept).cast("string"), [kept]
+        declared = json.loads(kept)
+        types = {f.name: f.dataType for f in self.schema(table)}
+        keys = [F.col(k).cast(types[k]) for k in declared["keys"]]
+        return F.pmod(F.xxhash64(*keys), F.lit(declared["buckets"])).cast("string"), declared["keys"]
 
     def _live(self, table: str, pending: list[Entry] | None = None) -> list[Entry]:
         entries = [Entry(e["table"], e["part"], e["full"], e["path"]) for e in self._log() if e["table"] == table and (e["path"] or e["full"])]
@@ -115,12 +137,12 @@ class Store:
     def _write(self, table: str, df: DataFrame, full: bool, touched: list[str] | None = None) -> tuple[list[Entry], int]:
         """Folders written and their rows, counted from the footers of what was written."""
         path = f"{self.root}/{table}/{uuid.uuid4().hex}"
-        part_col = self.part_col(table)
-        if part_col is None:
+        part = self.part(table)[0]
+        if part is None:
             df.write.parquet(path)
             return [Entry(table, None, full, path)], self.spark.read.schema(df.schema).parquet(path).count()
         # Rows of a part go to few tasks, and a part too large for one task is split again.
-        parted = df.withColumn("_part", F.col(part_col).cast("string")).hint("rebalance", "_part")
+        parted = df.withColumn("_part", part).hint("rebalance", "_part")
         parted.write.partitionBy("_part").parquet(path)
         # An empty part leaves no folder: a replacement that empties one must still hide the old rows.
         written = {_unescape(p) for p in _subfolders(self.spark, path)}
@@ -142,10 +164,10 @@ class Store:
 
         The change must not move rows to another part.
         """
-        part_col = self.part_col(table)
-        if part_col is None:
+        part, told_by = self.part(table)
+        if part is None or not set(told_by) <= set(touched.columns):
             return self.overwrite(table, change(self.read(table)))
-        found = touched.select(F.col(part_col).cast("string")).distinct().collect()  # part names, like a listing
+        found = touched.select(part).distinct().collect()  # part names, like a listing
         parts = [NO_PART if r[0] is None else r[0] for r in found]
         if not parts:
             return []
@@ -163,9 +185,9 @@ class Store:
         if not keys:
             return self.append(table, incoming), 0
         rows = self.conform(table, incoming)
-        part_col = self.part_col(table)
-        if part_col in keys:
-            found = rows.select(F.col(part_col).cast("string")).distinct().collect()  # part names, like a listing
+        part, told_by = self.part(table)
+        if part is not None and set(told_by) <= set(keys):
+            found = rows.select(part).distinct().collect()  # part names, like a listing
             touched = [NO_PART if r[0] is None else r[0] for r in found]
             target = self.read(table, parts=touched, pending=pending)
         else:
