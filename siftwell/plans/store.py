@@ -21,6 +21,10 @@ LOG_SCHEMA = "seq bigint, table string, part string, full boolean, path string,
 NO_PART = "__HIVE_DEFAULT_PARTITION__"
 
 
+class StoreMoved(RuntimeError):
+    """What was written builds on a content that is no longer the current one."""
+
+
 @dataclass(frozen=True)
 class Entry:
     """One folder of a table. A full entry replaces the earlier ones of its part."""
@@ -200,9 +204,11 @@ class Store:
         return [e.part for e in self._live(table) if e.part is not None]
 
     def publish(self, entries: list[Entry]) -> None:
-        """Make written folders the content of their tables, all at once."""
+        """Make written folders the content of their tables, all at once; refused if others have published since the log was read."""
         if entries:
             seq = self._next()
+            if Store(self.spark, self.root)._next() != seq:
+                raise StoreMoved(f"{self.root} has changed since it was read: refresh and write again")
             self._append_log([(seq + i, e.table, e.part, e.full, e.path, None, None) for i, e in enumerate(entries)])
 
     def register_views(self, pending: list[Entry] | None = None) -> None:

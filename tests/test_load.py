@@ -307,3 +307,19 @@ def test_parts_with_awkward_names(spark, tmp_path):
     assert {(r["k"], r["n"]) for r in seen.read("t").collect()} == {("x=y/%z", 10), (None, 20), ("plain", 3)}
     seen.publish(seen.overwrite("t", frame(("only", 4))))
     assert [tuple(r) for r in Store(spark, str(tmp_path / "s")).read("t").collect()] == [("only", 4)]
+
+
+def test_a_writer_that_was_overtaken_is_refused(spark, tmp_path):
+    from siftwell.plans.store import StoreMoved
+
+    first = Store(spark, str(tmp_path / "s"))
+    first.create("t", "n int")
+    second = Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([(1,)], "n int")
+    late = second.overwrite("t", rows)
+    first.publish(first.append("t", rows))
+    with pytest.raises(StoreMoved):
+        second.publish(late)
+    second.refresh()
+    second.publish(second.append("t", rows))
+    assert Store(spark, str(tmp_path / "s")).read("t").count() == 2
