@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,23 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def released(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's results; at its end the worker, which lives on for other stages, gives back the memory it no longer uses."""
+    try:
+        yield from rows
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # a C library without it keeps its own counsel
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_rows(rows: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow in small batches, with the worker's memory given back after each task."""
+    bound_batches(rows.sparkSession)
+    return rows.mapInArrow(lambda batches: released(function(batches)), schema)
+
+
 class Work:
     """The written intermediates of one call, in a folder of their own below the cluster's shared folder.
 

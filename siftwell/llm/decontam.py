@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftwell.llm.common import bound_batches, text_column, whole_text
+from siftwell.llm.common import map_rows, text_column, whole_text
 
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z: digits, letters and every byte of a character beyond ASCII
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-FOUND = "n_words long, hits array<struct<first:long,last:long>>, items array<string>"
+FOUND = "n_words long, hits array<struct<first:long,last:long>>, items array<string>, spans array<struct<start:long,`end`:long>>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -112,39 +112,32 @@ def scan(
     equal item ids are one item; repeated documents are judged alike; an empty table gives none, an empty
     benchmark no hit. Given columns of the new names are replaced.
     """
-    bound_batches(docs.sparkSession)
     new = ("n_words", "n_hit", "items", "spans", "contaminated")
     rows = docs.select(*[c for c in docs.columns if c not in new], whole_text(text).alias("__whole"))
     kept = rows.columns
-    found = StructType.fromDDL(FOUND)
     rows = rows.selectExpr("*", "CAST(0 AS bigint) AS n_words", "CAST(array() AS array<struct<first:bigint,last:bigint>>) AS hits", "CAST(array() AS array<string>) AS items")
+    schema = StructType(rows.schema.fields[:-3] + StructType.fromDDL(FOUND).fields)
+    runs_of = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     for block in blocks(benchmark, item, item_text, block_bytes):
         windows = Windows(block, size)
 
         def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n, hits, items = [], [], []
+                n, hits, items, spans = [], [], [], []
                 for whole, before, named in zip(text_column(batch, "__whole"), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                    words, runs, held = windows.scan(whole)
+                    words, found, held = windows.scan(whole)
+                    found = merged(found + [(h["first"], h["last"]) for h in before])
                     n.append(words)
-                    hits.append([{"first": a, "last": b} for a, b in merged(runs + [(h["first"], h["last"]) for h in before])] if runs else before)
+                    hits.append([{"first": a, "last": b} for a, b in found])
                     items.append(sorted(held.union(named)))
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-3], pa.array(n, pa.int64()), pa.array(hits, kind), pa.array(items, pa.list_(pa.string()))], batch.schema.names)
-
-        rows = rows.mapInArrow(run, StructType(rows.schema.fields[:-3] + found.fields))
-    spans = StructType.fromDDL("spans array<struct<start:long,`end`:long>>")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[{"start": a, "end": b} for a, b in original(whole, [(h["first"], h["last"]) for h in hits])] if hits else []
-                   for whole, hits in zip(text_column(batch, "__whole"), batch.column("hits").to_pylist(), strict=True)]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "spans"])
+                    spans.append([{"start": a, "end": b} for a, b in original(whole, found)] if found else [])
+                columns = [pa.array(n, pa.int64()), pa.array(hits, runs_of), pa.array(items, pa.list_(pa.string())),
+                           pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(schema) - 4], *columns], schema.names)
 
+        rows = map_rows(rows, run, schema)
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + 1)
-    placed = rows.mapInArrow(place, StructType(rows.schema.fields + spans.fields)).withColumn("n_hit", hit)
+    placed = rows.withColumn("n_hit", hit)
     return placed.select(
         *[c for c in kept if c != "__whole"], "n_words", "n_hit", "items", "spans",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * words_per_hit >= F.col("n_words"))).alias("contaminated"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftwell.llm.common import Work, WordHasher, components, mix, text_column, whole_text
+from siftwell.llm.common import WordHasher, Work, components, map_rows, mix, text_column, whole_text
 
 COLUMNS = 1 << 22  # counters of the table of frequencies: 16 MB in each task, whatever the input
 PART = 1 << 18
@@ -96,7 +96,7 @@ def first_pass(rows: DataFrame, size: int) -> DataFrame:
                 [pa.array(none, kind), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(list(parts), pa.int32()),
                  pa.array([packed(counts[p * PART:(p + 1) * PART]) for p in parts], pa.binary())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_rows(rows, run, schema)
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -119,9 +119,9 @@ def frequencies(counted: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([packed(s) for s in sums.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    once = counted.where("part IS NOT NULL").select("part", "counts").mapInArrow(run, schema)
+    once = map_rows(counted.where("part IS NOT NULL").select("part", "counts"), run, schema)
     table = np.zeros(COLUMNS, np.uint32)
-    for row in once.repartition("part").mapInArrow(run, schema).collect():
+    for row in map_rows(once.repartition("part"), run, schema).collect():
         table[row["part"] * PART:(row["part"] + 1) * PART] = unpacked(row["counts"])
     return table
 
@@ -147,7 +147,7 @@ def second_pass(rows: DataFrame, size: int, percent: int, table: np.ndarray) ->
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["node", "n", "grams", "bits"])
 
-    return rows.select("text").mapInArrow(run, "node long, n long, grams array<long>, bits binary")
+    return map_rows(rows.select("text"), run, "node long, n long, grams array<long>, bits binary")
 
 
 def full_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -158,7 +158,7 @@ def full_sets(rows: DataFrame, size: int) -> DataFrame:
             sets = list(gram_sets(text_column(batch, "text"), size, hasher))
             yield pa.RecordBatch.from_arrays([pa.array([node_of(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], ["node", "grams"])
 
-    return rows.select("text").mapInArrow(run, "node long, grams binary")
+    return map_rows(rows.select("text"), run, "node long, grams binary")
 
 
 def differ_little(bits: np.ndarray, others: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -181,7 +181,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep = differ_little(bitmaps(batch.column("bits_a")), bitmaps(batch.column("bits_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return map_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), run, "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,7 +198,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return map_rows(both, run, "a long, b long").distinct()
 
 
 def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -236,7 +236,7 @@ def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
         a, b = block(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_rows(rows, run, "a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block_rows: int = 1000) -> DataFrame:

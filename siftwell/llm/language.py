@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from siftwell.llm.common import Work, bound_batches, sampled, text_column, whole_text
+from siftwell.llm.common import Work, map_rows, sampled, text_column, whole_text
 
 OTHER = re.compile(r"[\W\d_]+")
 BLOCK = 4096
@@ -88,7 +88,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", narrow: float =
     Null texts and texts without a letter are `und`, score 0, not accepted. Given columns of these names are
     replaced; repeated rows are judged alike; an empty table gives none.
     """
-    bound_batches(docs.sparkSession)
     new = ("lang_pred", "score", "margin", "accepted")
     given = docs.select(*[c for c in docs.columns if c not in new], whole_text(text).alias("__whole"))
     schema = given.drop("__whole").schema.add("lang_pred", StringType()).add("score", DoubleType()).add("margin", DoubleType()).add("accepted", BooleanType())
@@ -100,4 +99,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", narrow: float =
                        pa.array([f[0] != "und" and f[2] >= narrow for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *new])
 
-    return given.mapInArrow(run, schema)
+    return map_rows(given, run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from siftwell.llm.common import bound_batches, whole_text
+from siftwell.llm.common import map_rows, whole_text
 
 MARK = "▁"  # what the model has for a space
 KEPT_WORDS = 200_000  # memory of a worker; words beyond it are encoded again when they return
@@ -158,7 +158,6 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     one is replaced. Rows are independent: repeated rows give equal results, an empty table gives none. `model` is a path that every
     executor has.
     """
-    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (ids, decoded)]
     given = docs.select(*keep, whole_text(text).alias("__whole"))
     schema = given.drop("__whole").schema.add(ids, ArrayType(IntegerType()))
@@ -178,7 +177,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
                 yield pa.RecordBatch.from_arrays(arrays, names)
         pieces.known.clear()  # the worker lives on for other stages
 
-    return given.mapInArrow(run, schema)
+    return map_rows(given, run, schema)
 
 
 def parts(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from siftwell.llm.common import Work, bound_batches, logistic, sampled, sigmoid, text_column, whole_text
+from siftwell.llm.common import Work, logistic, map_rows, sampled, sigmoid, text_column, whole_text
 
 SHAPE = bytes(
     ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256))
@@ -66,7 +66,6 @@ class Model:
 
 def per_text(docs: DataFrame, text: str, column: str, function) -> DataFrame:
     """All columns but one of that name, and `column`: function of a list of whole texts, as doubles."""
-    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != column]
     given = docs.select(*keep, whole_text(text).alias("__whole"))
 
@@ -75,7 +74,7 @@ def per_text(docs: DataFrame, text: str, column: str, function) -> DataFrame:
             values = pa.array(np.asarray(function(text_column(batch, "__whole")), np.float64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], [*batch.schema.names[:-1], column])
 
-    return given.mapInArrow(run, given.drop("__whole").schema.add(column, DoubleType()))
+    return map_rows(given, run, given.drop("__whole").schema.add(column, DoubleType()))
 
 
 def fit(
@@ -112,7 +111,7 @@ def fit(
             x = [model.features(t) for t in text_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
-    measured = rest.where("text <> ''").select("label", "text").mapInArrow(measure, "label int, x array<double>").toPandas().sort_values(
+    measured = map_rows(rest.where("text <> ''").select("label", "text"), measure, "label int, x array<double>").toPandas().sort_values(
         "x", key=lambda s: s.map(tuple))
     y = measured["label"].to_numpy(float)
     if len(set(y)) < 2:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from siftwell.llm.common import WordHasher, Work, bound_batches, mix, text_column, whole_text
+from siftwell.llm.common import WordHasher, Work, map_rows, mix, text_column, whole_text
 
 BITS = 128
 SALT = np.uint64(0x632BE59BD9B4E019)
@@ -60,7 +60,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprint(docs: DataFrame, text: str = "text", column: str = "fingerprint") -> DataFrame:
     """All columns and the fingerprint of each whole text (null as empty); a given column of that name is replaced."""
-    bound_batches(docs.sparkSession)
     from pyspark.sql.types import StringType
 
     given = docs.select(*[c for c in docs.columns if c != column], whole_text(text).alias("__whole"))
@@ -71,7 +70,7 @@ def fingerprint(docs: DataFrame, text: str = "text", column: str = "fingerprint"
             found = [hexed(f) for f in fingerprints(text_column(batch, "__whole"), hasher)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], [*batch.schema.names[:-1], column])
 
-    return given.mapInArrow(run, given.drop("__whole").schema.add(column, StringType()))
+    return map_rows(given, run, given.drop("__whole").schema.add(column, StringType()))
 
 
 def edited(text: str, following: str) -> str:
@@ -125,7 +124,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         if held:
             yield pa.RecordBatch.from_pylist([{"id": held[0], "fingerprint": hexed(held[2]), "part": part, "tail": held[1]}], schema=kinds)
 
-    made = work.stage(rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, schema), "made")
+    made = work.stage(map_rows(rows.repartitionByRange("id").sortWithinPartitions("id", "text"), run, schema), "made")
     # one row per range: which range comes next; texts are not moved for it
     ranges = made.where("head IS NOT NULL").select("part")
     order = Window.orderBy("part")
@@ -145,7 +144,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 out.append(row_of(r["id"], r["tail"], own, new, fingerprints([new], hasher)[0], following))
             yield pa.RecordBatch.from_pylist(out, schema=arrow(batch.schema.field(0).type))
 
-    closed = ends.mapInArrow(close, schema)
+    closed = map_rows(ends, close, schema)
     wanted = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     return made.where("head IS NULL AND tail IS NULL").select(*wanted).unionByName(closed.select(*wanted)).withColumnRenamed("id", key)
 

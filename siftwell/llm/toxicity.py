@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Work, logistic, sampled, sigmoid, text_column, whole_text
+from siftwell.llm.common import Work, logistic, map_rows, sampled, sigmoid, text_column, whole_text
 from siftwell.llm.quality import per_text
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
@@ -123,7 +123,7 @@ def term_counts(rows: DataFrame, spared: list[str]) -> DataFrame:
                 [pa.array([t for t, _ in terms], pa.string()), pa.array([s for _, s in terms], pa.bool_()),
                  pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], ["term", "stem", "toxic", "clean"])
 
-    return rows.select("label", "text").mapInArrow(count, "term string, stem boolean, toxic long, clean long").groupBy("term", "stem").agg(
+    return map_rows(rows.select("label", "text"), count, "term string, stem boolean, toxic long, clean long").groupBy("term", "stem").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -143,7 +143,7 @@ def contexts(rows: DataFrame, model: Model) -> DataFrame:
                 out += [(p, label) for p in phrases]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([k for _, k in out], pa.int32())], ["phrase", "label"])
 
-    return rows.select("label", "text").mapInArrow(count, "phrase string, label int").groupBy("phrase").agg(
+    return map_rows(rows.select("label", "text"), count, "phrase string, label int").groupBy("phrase").agg(
         F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
 
 
@@ -193,7 +193,7 @@ def fit(
             x = [model.feature(t) for t in text_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["label", "x"])
 
-    measured = given.mapInArrow(measure, "label int, x double").toPandas().sort_values(["label", "x"])
+    measured = map_rows(given, measure, "label int, x double").toPandas().sort_values(["label", "x"])
     y = measured["label"].to_numpy(float)
     weight = np.where(y == 1, counts[1] / max(toxic, 1), counts[0] / max(clean, 1))
     weight *= len(y) / weight.sum()

@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Work, whole_text
+from siftwell.llm.common import Work, map_rows, whole_text
 
 CHUNK = 1 << 18
 GZIP = 31  # zlib window bits of a gzip stream
@@ -76,7 +76,7 @@ def write_monolithic(work: Work, records: DataFrame, level: int = 1) -> DataFram
             out.close()
             yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "records": count}])
 
-    return work.stage(records.mapInArrow(write, WRITTEN), "monolithic-files")
+    return work.stage(map_rows(records, write, WRITTEN), "monolithic-files")
 
 
 def inflated(stream) -> Iterator[bytes]:
@@ -161,7 +161,7 @@ def normalise(work: Work, files: DataFrame, level: int = 6) -> DataFrame:
             yield pa.RecordBatch.from_pylist(done)
 
     n = max(files.count(), 1)
-    made = work.stage(files.select("file").repartition(n).mapInArrow(rewrite, WRITTEN), "member-files")
+    made = work.stage(map_rows(files.select("file").repartition(n), rewrite, WRITTEN), "member-files")
     made._archive_path = folder
     return made
 
@@ -205,7 +205,7 @@ def read_members(index: DataFrame) -> DataFrame:
         if source:
             source.close()
 
-    return index.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(read, READ)
+    return map_rows(index.repartition("file").sortWithinPartitions("file", "offset"), read, READ)
 
 
 def archive(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", least: int = 100) -> DataFrame:
