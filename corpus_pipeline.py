@@ -30,8 +30,8 @@ def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    groups = jaccard.join(docs.select("doc_id", "text"))
+    """The document with the smallest id of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    groups = jaccard.join(docs.select("doc_id", "text"), size=5, percent=80)
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(Work(spark, "near").stage(others, "others"), "doc_id", "left_anti").select(*docs.columns)
 

@@ -38,5 +38,19 @@ def test_stages_keep_clean_documents(spark, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(kept[4])
 
 
+def test_near_copies_are_those_of_five_words(spark):
+    texts = {}
+    for i, (words, changed) in enumerate([(50, [25]), (97, [20, 60]), (40, [20]), (90, [20, 60]), (120, [])]):
+        base = prose(4000 + i, words).split()
+        texts[10 * i] = " ".join(base)
+        texts[10 * i + 1] = " ".join(f"other{j}" if j in changed else w for j, w in enumerate(base))
+    sets = {d: shingles(t, 5) for d, t in texts.items()}
+    label, narrow = groups(sets, 80), groups({d: shingles(t) for d, t in texts.items()})
+    assert [d for d in texts if label[d] != narrow[d]] == [1, 11] and label[21] == 21 and label[31] == 31 and label[41] == 40
+    docs = spark.createDataFrame([(d, t, "xx", "s", len(t)) for d, t in texts.items()], COLUMNS)
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert {r["doc_id"] for r in kept.collect()} == {d for d in texts if label[d] == d}
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
