@@ -215,16 +215,20 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def sampled(rows: DataFrame, key: str, label: str, per_label: int, seed: int) -> DataFrame:
+def sampled(rows: DataFrame, key: str, label: str, per_label: int, seed: int, parts: int = 256) -> DataFrame:
     """(key, label, rank) of at most `per_label` rows per label: those of the smallest hashes of their keys.
 
-    Every task keeps that many of a label before they are shuffled, so nothing grows with the table.
+    A label's keys are ranked in `parts` parts by hash first, and only that many of each part are ranked together,
+    so the last task of a label gets at most parts * per_label short rows, whatever the table.
     """
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key)
-    return rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).distinct().withColumn(
-        "rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
+    known = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).distinct()
+    hashed = known.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key).cast("string"))).withColumn("__part", F.pmod("__hash", F.lit(parts)))
+    for group in ([label, "__part"], [label]):
+        order = Window.partitionBy(*group).orderBy("__hash", key)
+        hashed = hashed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
+    return hashed.select(key, label, "rank")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, steps: int = 100) -> np.ndarray:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.llm import language, quality, toxicity
-from siftwell.llm.common import fold_of
+from siftwell.llm.common import fold_of, sampled
 from tests.llm.plain import SCHEMA, awkward
 
 SYLLABLES = {"xx": "ka to mi ra ne su ho".split(), "yy": "brel grun stof plag drem".split(), "zz": "ói éa çu àn ùl".split()}
@@ -91,3 +91,18 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(docs, model).collect()} == {0.5} and toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_a_sample_is_ranked_in_parts_first(spark):
+    rows = spark.range(6000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', 'b') AS label")
+    rows = rows.unionByName(rows.limit(50)).unionByName(spark.createDataFrame([(None, "a"), (7000, None)], "doc_id long, label string"))
+    made = sampled(rows, "doc_id", "label", 1500, 6, parts=4)
+    hashed = rows.where("doc_id IS NOT NULL AND label IS NOT NULL").distinct().selectExpr("label", "doc_id", "xxhash64(6, CAST(doc_id AS string)) AS h")
+    expected = {}
+    for r in sorted(hashed.collect(), key=lambda r: (r["h"], r["doc_id"])):
+        expected.setdefault(r["label"], []).append(r["doc_id"])
+    assert made.columns == ["doc_id", "label", "rank"]
+    assert {(r["doc_id"], r["label"], r["rank"]) for r in made.collect()} == {
+        (d, name, i + 1) for name, ids in expected.items() for i, d in enumerate(ids[:1500])}
+    windows = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in line]
+    assert len(windows) == 2 and "[label" in windows[0] and "__part" not in windows[0] and "__part" in windows[1]
