@@ -161,11 +161,11 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     work = Work(spark, "op3")
     out = work.stage(simhash.with_next(documents(spark, folder)), "prints")
     copies = work.stage(out.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies")), "copies")
-    asked = out.where(F.col("doc_id") % 100 == 0).select("fingerprint").distinct()
-    near = simhash.within(copies, asked).join(copies.withColumnRenamed("fingerprint", "found"), "found").groupBy("query").agg(
+    asked = out.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("asked"), F.col("fingerprint").alias("query")).distinct()
+    near = simhash.within(copies, asked.select(F.col("query").alias("fingerprint"))).join(copies.withColumnRenamed("fingerprint", "found"), "found").groupBy("query").agg(
         (F.sum("copies") - 1).alias("n_near"))
-    asked_ids = out.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("asked"), F.col("fingerprint").alias("query")).join(near, "query")
-    return out.join(asked_ids.select("asked", "n_near"), F.col("doc_id") == F.col("asked"), "left").drop("asked")
+    told = asked.join(near, "query")
+    return out.join(told, (F.col("doc_id") == F.col("asked")) & (F.col("fingerprint") == F.col("query")), "left").drop("asked", "query")
 
 
 LINES_SQL = r"""

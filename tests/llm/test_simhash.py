@@ -1,6 +1,6 @@
 import hashlib
 
-from siftwell.llm import simhash
+from siftwell.llm import queries, simhash
 from tests.llm.plain import SCHEMA, awkward, prose
 
 
@@ -46,3 +46,16 @@ def test_long_text_in_pieces_has_the_same_words():
     whole = list(WordHasher().texts([text]))[0][0]
     cut = list(WordHasher(limit=500).texts([text]))[0][0]
     assert (whole == cut).all() and len(whole) == 3000
+
+
+def test_query_on_repeated_ids(spark, tmp_path):
+    base = prose(1, 300)
+    texts = [(100, base), (100, base), (100, prose(2, 300)), (101, base), (103, f"{base} tail"), (200, prose(3, 300)), (201, prose(4, 300)), (None, base)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = queries.op3_simhash(spark, str(tmp_path)).collect()
+    prints = [(r["doc_id"], r["fingerprint"]) for r in made]
+    assert len(made) == len(texts)
+    for r in made:
+        near = [(d, f) for d, f in prints if (bits(f) ^ bits(r["fingerprint"])).bit_count() <= 6]
+        asked = r["doc_id"] is not None and r["doc_id"] % 100 == 0
+        assert r["n_near"] == (len(near) - 1 if asked else None)
