@@ -157,13 +157,14 @@ def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    """Fingerprints of all documents and of their edits. n_near: for each hundredth id, the other documents within 6 bits."""
+    """Fingerprints of all documents and of their edits. For each hundredth id, n_near: the other documents
+    within 6 bits; near_classes: the smallest id of each fingerprint found, its own among them."""
     work = Work(spark, "op3")
     out = work.stage(simhash.with_next(documents(spark, folder)), "prints")
-    copies = work.stage(out.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    copies = work.stage(out.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("class_id")), "copies")
     asked = out.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("asked"), F.col("fingerprint").alias("query")).distinct()
     near = simhash.within(copies, asked.select(F.col("query").alias("fingerprint"))).join(copies.withColumnRenamed("fingerprint", "found"), "found").groupBy("query").agg(
-        (F.sum("copies") - 1).alias("n_near"))
+        (F.sum("copies") - 1).alias("n_near"), F.array_sort(F.collect_list("class_id")).alias("near_classes"))
     told = asked.join(near, "query")
     return out.join(told, (F.col("doc_id") == F.col("asked")) & (F.col("fingerprint") == F.col("query")), "left").drop("asked", "query")
 

@@ -58,4 +58,6 @@ def test_query_on_repeated_ids(spark, tmp_path):
     for r in made:
         near = [(d, f) for d, f in prints if (bits(f) ^ bits(r["fingerprint"])).bit_count() <= 6]
         asked = r["doc_id"] is not None and r["doc_id"] % 100 == 0
-        assert r["n_near"] == (len(near) - 1 if asked else None)
+        classes = sorted(min(d for d, g in prints if g == f and d is not None) for f in {f for _, f in near})
+        assert r["n_near"] == (len(near) - 1 if asked else None) and r["near_classes"] == (classes if asked else None)
+    assert sorted(len(r["near_classes"]) for r in made if r["near_classes"]) == [1, 1, 2, 2]
