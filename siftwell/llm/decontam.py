@@ -2,7 +2,8 @@
 
 Texts are normalised to lower-case words parted by one space, scanned once, and every hit is mapped back to
 its place in the original text. The benchmark is the stated query set: it is read in blocks of bounded size,
-each an automaton of its own, and the documents pass one after the other through them.
+each an automaton of its own, and the documents pass one after the other through them. A few blocks make one
+plan; the documents and their hits are written before the next few, so that no plan holds the whole benchmark.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftwell.llm.common import map_rows, text_column, whole_text
+from siftwell.llm.common import Work, map_rows, text_column, whole_text
 
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z: digits, letters and every byte of a character beyond ASCII
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+CHAIN = 4  # blocks, each a Python step, in one plan
 FOUND = "n_words long, hits array<struct<first:long,last:long>>, items array<string>, spans array<struct<start:long,`end`:long>>"
 
 
@@ -92,7 +94,7 @@ def original(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about `limit` bytes of text; one block is on the driver at a time."""
+    """The items in blocks of about `limit` bytes of text; the driver reads one at a time, and holds those of a plan until it is written."""
     given = benchmark.select(F.col(item).cast("string").alias("item"), whole_text(text).alias("text")).where("item IS NOT NULL").distinct()
     total = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     count = max(1, -(-total // limit))
@@ -118,7 +120,14 @@ def scan(
     rows = rows.selectExpr("*", "CAST(0 AS bigint) AS n_words", "CAST(array() AS array<struct<first:bigint,last:bigint>>) AS hits", "CAST(array() AS array<string>) AS items")
     schema = StructType(rows.schema.fields[:-3] + StructType.fromDDL(FOUND).fields)
     runs_of = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    for block in blocks(benchmark, item, item_text, block_bytes):
+    work = held = None
+    for number, block in enumerate(blocks(benchmark, item, item_text, block_bytes)):
+        if number and number % CHAIN == 0:
+            work = work or Work(docs.sparkSession, "decontam")
+            rows, before_it = work.stage(rows, "hits"), held
+            held = rows
+            if before_it is not None:
+                work.drop(before_it)
         windows = Windows(block, size)
 
         def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:

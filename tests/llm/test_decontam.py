@@ -49,3 +49,12 @@ def test_awkward_rows(spark):
     assert len(out) == len(awkward()) and {r["doc_id"] for r in out if r["contaminated"]} == {16, 19, 22, 25, None}
     assert decontam.scan(spark.createDataFrame([], SCHEMA), items).count() == 0
     assert decontam.scan(spark.createDataFrame(awkward(), SCHEMA), items.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_many_blocks_in_short_plans(spark):
+    items = [(i, prose(7000 + i, 30)) for i in range(40)]
+    docs = [(i, f"{prose(7100 + i, 50)} {prose(7000 + i, 30)} {prose(7000 + (i + 7) % 40, 30)}") for i in range(45)]
+    out = decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=500)
+    steps = out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert 1 <= steps <= 4
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in out.collect()} == plain(docs, items)
