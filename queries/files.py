@@ -24,26 +24,33 @@ def order_lines(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("at"), F.concat_ws(";", "o_orderkey", "o_custkey", "o_orderstatus").alias("line"))
 
 
+KEYS_A_FILE = 20_000
+
+
+def write_parts(rows: DataFrame, path: str, separator: str = "\n") -> None:
+    """Lines (part, at, line) in one file per part, ordered by `at`; the number of files follows the rows."""
+    rows.select("part", "at", "line").repartition("part").sortWithinPartitions("part", "at").select("part", "line").write.option(
+        "lineSep", separator).partitionBy("part").text(path)
+
+
 @query("""SELECT * FROM (VALUES ('other row', 'differs'), ('other separator', 'differs'), ('same', 'equal'), ('shorter', 'differs')) AS v(variant, identity)
 WHERE (SELECT count(*) FROM orders) > 1""")
 def file_identity(t: Tables) -> DataFrame:
-    """All orders written as one file five ways: only the same bytes have the same identity."""
+    """All orders written five ways, a file per range of keys: only the same bytes have the same identity."""
     lines, last = order_lines(t), t.orders.agg(F.max("o_orderkey")).first()[0]
     folder = new_folder(t.spark, "identity")
     variants = {"first": (lines, "\n"), "same": (lines, "\n"), "other separator": (lines, "\r\n"), "shorter": (lines.filter(F.col("at") < last), "\n"),
                 "other row": (lines.withColumn("line", F.when(F.col("at") == last, F.reverse("line")).otherwise(F.col("line"))), "\n")}
     for name, (rows, separator) in variants.items():
-        # one file each, as a file is what has the identity
-        rows.orderBy("at").select("line").coalesce(1).write.option("lineSep", separator).text(f"{folder}/{name}")
-    found = hash_files(t.spark, [f"{folder}/{name}" for name in variants], "part-*").select(
-        F.url_decode(F.regexp_extract("uri", r"/([^/]+)/part-[^/]*$", 1)).alias("variant"), "hash")
-    first = found.filter("variant = 'first'").select(F.col("hash").alias("first"))
-    return found.filter("variant <> 'first'").join(first, F.col("hash") == F.col("first"), "left").select(
-        "variant", F.when(F.col("first").isNotNull(), "equal").otherwise("differs").alias("identity"))
-
-
-def cell(text: Column) -> Column:
-    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        write_parts(rows.withColumn("part", F.floor(F.col("at") / KEYS_A_FILE)), f"{folder}/variant={name}", separator)
+    place = r"/variant=([^/]+)/part=([^/]+)/part-[^/]*$"
+    found = hash_files(t.spark, folder, "part-*").select(
+        F.url_decode(F.regexp_extract("uri", place, 1)).alias("variant"), F.regexp_extract("uri", place, 2).alias("part"), "hash")
+    first = found.filter("variant = 'first'").select("part", "hash", F.lit(True).alias("met"))
+    parts = first.agg(F.count("*").alias("parts"))
+    compared = found.filter("variant <> 'first'").join(first, ["part", "hash"], "left").groupBy("variant").agg(F.count("*").alias("n"), F.count("met").alias("met"))
+    return compared.crossJoin(parts).select(
+        "variant", F.when((F.col("n") == F.col("parts")) & (F.col("met") == F.col("parts")), "equal").otherwise("differs").alias("identity"))
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '') || ';"' || lang AS body, lang FROM documents""")
@@ -51,11 +58,8 @@ def csv_quoted(t: Tables) -> DataFrame:
     """Texts with delimiters, quotes and line breaks in quoted cells, written and read back."""
     folder = new_folder(t.spark, "quoted")
     body = F.concat(F.coalesce("text", F.lit("")), F.lit(';"'), F.col("lang"))
-    line = F.concat_ws(";", F.col("doc_id").cast("string"), cell(body), F.col("lang"))
-    head = t.spark.range(1).select(F.lit(None).cast("bigint").alias("at"), F.lit("doc_id;body;lang").alias("line"))
-    # the header is the first line of every file
-    rows = t.documents.select(F.col("doc_id").alias("at"), line.alias("line")).unionByName(head)
-    rows.orderBy("at").select("line").coalesce(1).write.text(folder)
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), body.alias("body"), "lang")
+    rows.write.options(header=True, sep=";", quoteAll=True, escape='"', **PLAIN).csv(folder)
     return scan_csv(t.spark, folder, ";", pattern="part-*").rows.select("doc_id", "body", "lang")
 
 
