@@ -33,3 +33,8 @@ def test_quoted_cells_in_many_files(spark, written):
     found = {r["doc_id"]: (r["body"], r["lang"]) for r in files.csv_quoted(t).collect()}
     assert found == {str(r["doc_id"]): ((r["text"] or "").replace("\r\n", "\n").replace("\r", "\n") + ';"en', "en") for r in t.documents.collect()}
     assert written("")[0] > 1
+
+
+def test_header_cells_of_many_files(spark, written):
+    found = sorted((r["ref"], r["value"]) for r in files.file_header_cells(Tables(spark)).collect())
+    assert found == [("A1", "A; B"), ("B2", "2;"), ("C2", None)] and written("")[0] == 2
