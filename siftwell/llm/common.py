@@ -79,6 +79,15 @@ class Work:
         for df in staged:
             self._files().delete(self._hadoop(df._work_path), True)
 
+    def last(self, df: DataFrame, label: str) -> DataFrame:
+        """Write the result, and delete all other tables and files of the call."""
+        out = self.stage(df, label)
+        files = self._files()
+        for status in files.listStatus(self._hadoop(self.folder)):
+            if not out._work_path.endswith("/" + status.getPath().getName()):
+                files.delete(status.getPath(), True)
+        return out
+
 
 def whole_text(column: str | Column) -> Column:
     """The text, null as empty."""

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm import chat_trees, decontam, jaccard, language, line_runs, pieces, quality, simhash, toxicity, warc
+from siftwell.llm import (
+    block_names, chat_trees, decontam, fill_middle, jaccard, language, line_runs, pieces, quality, simhash, term_scan, toxicity, warc,
+)
 from siftwell.llm.common import Work, fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +211,60 @@ SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS compon
 def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with their group of texts alike."""
     return jaccard.join(documents(spark, folder))
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NAMES_SQL = f"""
+WITH t AS (SELECT doc_id, {LOWERED} AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY text) AS kept, sha256(text) AS text_sha256
+FROM t"""
+
+
+@query(NAMES_SQL)
+def op11_block_names(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with the one of their equals that stays, by integer names of their blocks."""
+    return block_names.dedup(documents(spark, folder)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+TERMS_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM t),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS term FROM t)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term),
+p AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS part FROM f JOIN w USING (term), s),
+r AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM q JOIN p USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query(TERMS_SQL)
+def op12_term_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of each benchmark item, by the counts of its terms in the texts."""
+    return term_scan.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+MIDDLE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS ws,
+  sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+d AS (SELECT doc_id, text, ws, CAST(len(ws) AS BIGINT) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)) AS hs FROM t),
+k AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR hs[3] % 100 >= 50 THEN 'plain'
+    WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, array_to_string(ws[1:a], '') AS prefix, array_to_string(ws[a + 1:b], '') AS middle, array_to_string(ws[b + 1:n], '') AS suffix FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c"""
+
+
+@query(MIDDLE_SQL)
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents cut for fill-in-middle, and the texts rebuilt from what was made of them."""
+    out = fill_middle.transform(documents(spark, folder))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_of(F.col("output")).alias("output_sha256"),
+                      sha256_of(fill_middle.restored()).alias("restored_sha256"))
