@@ -40,15 +40,22 @@ def runs(lines: DataFrame, least: int, gram: int, window: int) -> DataFrame:
     """(key, proof, place, id, th, from, to): the shortest runs of at least `least` words around selected grams."""
     by_doc = Window.partitionBy("id", "th")
     ordered = by_doc.orderBy("c")
-    placed = lines.withColumn("c", F.sum("n").over(by_doc.orderBy("pos")) - F.col("n")).withColumn("total", F.sum("n").over(by_doc))
+    placed = lines.withColumn("e", F.sum("n").over(by_doc.orderBy("pos"))).withColumn("c", F.col("e") - F.col("n")).withColumn("total", F.sum("n").over(by_doc))
     here = placed.withColumn("lines", F.collect_list("h").over(ordered.rangeBetween(0, gram - 1))).withColumn(
         "last", F.max("c").over(ordered.rangeBetween(0, gram - 1))).withColumn(
         "print", F.when(F.col("c") + gram <= F.col("total"), F.struct(F.xxhash64("lines").alias("hash"), (-F.col("c")).alias("at")))).drop("lines")
     here = here.withColumn("least", F.min("print").over(ordered.rangeBetween(0, window - 1)))
     # a line is selected if one of the windows that hold it picked it
     here = here.withColumn("picked", F.collect_list(F.col("least.at")).over(ordered.rangeBetween(-(window - 1), 0)))
-    around = F.collect_list(F.struct("c", "n", "pos", "h", "g")).over(ordered.rowsBetween(-(least + 1), least + 1))
-    chosen = here.withColumn("around", around).where(F.array_contains("picked", -F.col("c"))).select("id", "th", "c", "n", "last", "around")
+    # the lines that begin within `least` words before or end within `least` words after, and the next one on either side
+    line, by_end = F.struct("c", "n", "pos", "h", "g"), by_doc.orderBy("e")
+    here = here.withColumns({
+        "before": F.last(line).over(ordered.rangeBetween(Window.unboundedPreceding, -least)),
+        "left": F.collect_list(line).over(ordered.rangeBetween(1 - least, -1)),
+        "right": F.collect_list(line).over(by_end.rangeBetween(0, least - 1)),
+        "beyond": F.last(line).over(by_doc.orderBy(F.desc("e")).rangeBetween(Window.unboundedPreceding, -least))})
+    around = F.filter(F.concat(F.array("before"), "left", "right", F.array("beyond")), lambda x: x.isNotNull())
+    chosen = here.where(F.array_contains("picked", -F.col("c"))).select("id", "th", "c", "n", "last", around.alias("around"))
     # from each line before, the first end that makes the run long enough; to each line after, the last such start
     starts = F.filter("around", lambda a: (a["c"] <= F.col("c")) & (F.col("last") - a["c"] < least))
     ends = F.filter("around", lambda b: (b["c"] >= F.col("last")) & (end_of(b) - (F.col("c") + F.col("n")) < least))
