@@ -7,9 +7,10 @@ places in turn, until each document has one name. By induction a name of level k
 without collisions. There are as many levels as the longest text has doublings, each with half the rows.
 
 Only DataFrame expressions. Blocks and pairs are made distinct before they are sorted, with a partial aggregation
-before the shuffle, so a block of a third of all rows is one row per task. The way from an occurrence back to its
-block's name goes by two 64-bit hashes instead of the content; that no two distinct blocks share them is checked, and
-with another seed they are taken anew if it does not hold. No hash takes part in a name.
+before the shuffle, so a block of a third of all rows is one row per task. Distinct blocks are told apart by their
+whole content; two 64-bit hashes then stand for each, in the sort behind its first bytes and on the way from an
+occurrence back to its name. That no two distinct blocks share them is checked, and with another seed they are taken
+anew if it does not hold, so no name rests on a hash alone.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql.window import Window
 
 from siftwell.llm.common import Work, whole_text
 
+HEAD = 16  # bytes by which blocks are sorted first: what is sampled and sorted stays short
 ROW = (1 << 33) - 1  # the lower bits of monotonically_increasing_id: a row's place in its partition
 
 
@@ -66,7 +68,7 @@ def first_names(work: Work, docs: DataFrame, key: str, text: str, size: int) ->
         head = [F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in ("key", "raw_hash", "sha256")]
         placed = work.stage(blocks(whole, size).select("uid", "n", "pos", *head, *marks(seed)), "blocks")
         distinct = blocks(docs.select(folded(text).cast("binary").alias("raw")), size).select("block").distinct()
-        names = ranked(work, distinct, ["block"], *marks(seed))
+        names = ranked(work, distinct.select(F.substring("block", 1, HEAD).alias("head"), *marks(seed)), ["head", "h", "g"], "h", "g")
         if names.groupBy("h", "g").count().where("count > 1").isEmpty():
             break
         work.drop(placed)
