@@ -91,9 +91,9 @@ def profile_columns(rows: DataFrame, columns: list[str], order: Column) -> DataF
 
 
 def sample_rows(rows: DataFrame, limit: int, order: Column) -> tuple[DataFrame, bool]:
-    """First rows in order and whether more exist (a top-n, not a sort of everything)."""
-    peek = rows.orderBy(order).limit(limit + 1).select(F.lit(1)).count()
-    return rows.orderBy(order).limit(limit), peek > limit
+    """First rows in order and whether more exist: one top-n with a row more, written, and no sort of everything."""
+    held = stage(rows.orderBy(order).limit(limit + 1), "sample")
+    return held.orderBy(order).limit(limit), held.count() > limit
 
 
 def cardinality(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -93,6 +94,18 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *by: str, column: str = "place", start: int = 1) -> DataFrame:
+    """The rows with their places in the order of `by`: sorted by ranges, counted per range, and the ranges before added.
+
+    The sizes of the ranges are one short row per task.
+    """
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = stage(df.orderBy(*by).withColumns({"_part": F.spark_partition_id(), "_own": own}), "dealt")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn(column, F.lit(start) + F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
 def key_join(
     left: DataFrame, right: DataFrame, on: list[tuple[Column, Column]], how: str = "left", null_safe: bool = False,
 ) -> DataFrame:

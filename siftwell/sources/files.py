@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.session import key_join
-from siftwell.sources.text_files import number_lines, read_lines
 
 
 def _binary(spark: SparkSession, folder: str | list[str], pattern: str) -> DataFrame:
@@ -23,26 +22,62 @@ def list_files(spark: SparkSession, folder: str | list[str], pattern: str = "*")
     return _binary(spark, folder, pattern).select(*_place())
 
 
+# Fixed values of the identity: changing one changes every hash. Primes below 2**31, so that products fit 64 bits; one base each.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+BASES = (1318926727, 982451653, 1597334677, 1150833019)
+DIGIT = 9  # bits of an exponent that one table of powers covers
+
+
+def _power(exponent: Column, base: int, prime: int, digits: int) -> Column:
+    """base ** exponent modulo the prime, from one table of powers per digit of the exponent."""
+    result = None
+    for place in range(digits):
+        step = pow(base, 1 << (DIGIT * place), prime)
+        table = [1]
+        for _ in range((1 << DIGIT) - 1):
+            table.append(table[-1] * step % prime)
+        digit = F.shiftright(exponent, DIGIT * place).bitwiseAND(F.lit((1 << DIGIT) - 1)).cast("int")
+        found = F.get(F.expr(f"array({', '.join(f'{x}L' for x in table)})"), digit)
+        result = found if result is None else (result * found) % F.lit(prime)
+    return result
+
+
+def digest_lines(lines: DataFrame) -> DataFrame:
+    """(_file, hash) of lines (_file, _block, _at, value): polynomials of the lines' hashes, put together from those of the splits.
+
+    A file's digest is the sum of hash * base ** (line number) modulo four primes. A split does not know the number
+    of its first line, but its own sum, over positions from anywhere on, is multiplied by the power that is missing
+    once the splits before it are counted. So one aggregation reads the lines, one short row per split goes through
+    the shuffle, and neither the size of the splits nor their order of reading shows in the result.
+    """
+    hashes = [F.xxhash64(F.lit(seed), "value") for seed in (1, 2)]
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sums = []
+    for i, (prime, base) in enumerate(zip(PRIMES, BASES, strict=True)):
+        term = (F.pmod(hashes[i // 2], F.lit(prime)) * _power(place, base, prime, 4)) % F.lit(prime)
+        sums.append((F.sum(term) % F.lit(prime)).alias(f"s{i}"))
+    splits = lines.groupBy("_file", "_block").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *sums)
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(in_file), F.lit(0)))
+    moved = []
+    for i, (prime, base) in enumerate(zip(PRIMES, BASES, strict=True)):
+        back = _power(F.col("first"), pow(base, -1, prime), prime, 4)
+        moved.append(((F.col(f"s{i}") * ((back * _power(F.col("before"), base, prime, 5)) % F.lit(prime))) % F.lit(prime)).alias(f"m{i}"))
+    whole = splits.select("_file", "n", *moved).groupBy("_file").agg(
+        F.sum("n").alias("n"), *[(F.sum(f"m{i}") % F.lit(prime)).alias(f"m{i}") for i, prime in enumerate(PRIMES)])
+    return whole.select("_file", F.sha2(F.concat_ws("|", "n", *[f"m{i}" for i in range(len(PRIMES))]), 256).alias("hash"))
+
+
 def hash_files(spark: SparkSession, folder: str | list[str], pattern: str = "*") -> DataFrame:
     """(file, uri, bytes, hash): one identity of the content for files of every size.
 
-    The bytes between line feeds are digested with their line numbers, so carriage returns and order
-    count, and the length of the file tells a final line feed. Splits of a large file are digested
-    by many tasks; neither their size nor the number of tasks shows in the result.
+    The bytes between line feeds are digested with their order, so carriage returns count, and the length of the file
+    tells a final line feed. The content is read once, by as many tasks as there are splits, and written nowhere.
     """
     found = list_files(spark, folder, pattern)
-    digests = digest_lines(number_lines(read_lines(spark, folder, pattern, raw=True))).withColumnRenamed("_file", "_uri")
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"),
+        F.col("value").cast("binary").alias("value"))
+    digests = digest_lines(lines).withColumnRenamed("_file", "_uri")
     joined = key_join(found, digests, [(F.col("uri"), F.col("_uri"))])
     return joined.select("file", "uri", "bytes", F.sha2(F.concat_ws("|", F.col("bytes"), F.coalesce("hash", F.lit(""))), 256).alias("hash"))
-
-
-def digest_lines(lines: DataFrame) -> DataFrame:
-    """(_file, hash): sums and parities of four independent 64-bit hashes of every numbered line.
-
-    The sums do not depend on the order in which lines are met; their numbers make the order of the file count.
-    """
-    marks = [F.xxhash64(F.lit(seed), "_line", "value") for seed in range(4)]
-    folded = lines.groupBy("_file").agg(
-        F.count("*").alias("n"), *[F.bit_xor(m).alias(f"x{i}") for i, m in enumerate(marks)],
-        *[F.sum(m.cast("decimal(38,0)")).alias(f"s{i}") for i, m in enumerate(marks)])
-    return folded.select("_file", F.sha2(F.concat_ws("|", *[F.col(c) for c in folded.columns if c != "_file"]), 256).alias("hash"))

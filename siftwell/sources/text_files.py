@@ -37,9 +37,10 @@ def _decoded(value: Column, encoding: str) -> Column:
 
 
 def read_lines(
-    spark: SparkSession, paths: str | list[str], pattern: str | None = None, encoding: str = "utf-8-sig", raw: bool = False,
+    spark: SparkSession, paths: str | list[str], pattern: str | None = None, encoding: str = "utf-8-sig",
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Lines with their file, split and running position, written once. Raw lines are the bytes between line feeds.
+    """Lines with their file, split and running position, written once; of the files in `only` (uri), if given.
 
     The position is only contiguous within one split of one scan, so it is fixed by writing it;
     every later step then reads the same numbers, whatever the executors or retries.
@@ -47,22 +48,33 @@ def read_lines(
     reader = spark.read
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    lines = reader.text(paths, lineSep="\n" if raw else None).select(
+    lines = reader.text(paths).select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"), (F.col("value").cast("binary") if raw else _decoded(F.col("value"), encoding)).alias("value"))
-    return stage(lines, "lines")
+        F.monotonically_increasing_id().alias("_at"), _decoded(F.col("value"), encoding).alias("value"))
+    return stage(lines if only is None else of_files(lines, only), "lines")
+
+
+ENTRIES = 1 << 23  # files whose hashes are sent to every task: 64 MB of them
+
+
+def of_files(rows: DataFrame, only: DataFrame, file: str = "_file") -> DataFrame:
+    """Rows whose file is one of `only` (uri). Tasks are sent eight bytes per file up to a bound, and rows move beyond it only;
+    a file that shares its hash is told apart by who joins the rows with its files."""
+    marks = only.select(F.xxhash64("uri").alias("_mark")).distinct()
+    marks = F.broadcast(marks) if marks.count() <= ENTRIES else marks
+    return rows.join(marks, F.xxhash64(file) == F.col("_mark"), "left_semi")
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Adds `_line`, the line number within the file.
+    """Adds `_line`, the line number within the file, whenever the written lines are read.
 
-    One row per file split is enough: its first position and the lines in the splits before it.
+    One row per file split is enough: its first position and the lines in the splits before it. These rows are
+    written, the numbered lines are not.
     """
     splits = lines.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stage(splits, "splits").select(
-        F.col("_file").alias("_f"), F.col("_block").alias("_b"), "_first",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = stage(splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "splits").select(
+        F.col("_file").alias("_f"), F.col("_block").alias("_b"), "_first", "_before")
     joined = key_join(lines, offsets, [(F.col("_file"), F.col("_f")), (F.col("_block"), F.col("_b"))], "inner")
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
     return joined.select("_file", "_block", number.alias("_line"), "value")
@@ -183,18 +195,19 @@ def _names(header: str, delimiter: str) -> list[str]:
 
 def scan_csv(
     spark: SparkSession, paths: str | list[str], delimiter: str, header_line: int = 1,
-    encoding: str = "utf-8-sig", pattern: str | None = None,
+    encoding: str = "utf-8-sig", pattern: str | None = None, only: DataFrame | None = None,
 ) -> Scan:
     """Files of a folder in one scan; line `header_line` of each file names its columns.
 
     Files may order their columns differently: columns are found by name, the last one winning
     when a file repeats a name. Lines above the header are not rows. A blank line is a row of NULLs.
     A quoted cell may hold line breaks, which are read as line feeds. A file without the header line is an error;
-    one without a byte is not listed by Spark's readers and so not seen.
+    one without a byte is not listed by Spark's readers and so not seen. `only` (uri) leaves the other files unread.
     """
-    lines = stage(number_lines(read_lines(spark, paths, pattern, encoding)), "numbered")
+    lines = number_lines(read_lines(spark, paths, pattern, encoding, only))
     headers = stage(lines.filter((F.col("_block") == 0) & (F.col("_line") == header_line)).select("_file", F.col("value").alias("_header")), "headers")
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern or "*").load(paths).select(F.col("_metadata.file_path").alias("_found"))
+    found = found if only is None else found.join(only, F.col("_found") == F.col("uri"), "left_semi")
     short = found.join(headers, F.col("_found") == F.col("_file"), "left_anti").orderBy("_found").take(1)
     if short:
         raise ValueError(f"{short[0][0]} has fewer than {header_line} lines")

@@ -353,6 +353,22 @@ def test_content_identity(spark, tmp_path):
     assert found[2]["a"] == found[2]["b"] and len(set(found[2].values())) == len(texts) - 1
 
 
+def test_identity_counts_the_order_of_lines_in_many_splits(spark, tmp_path):
+    lines = [f"{i * 7919 % 10007};{i % 3}" for i in range(3000)]
+    far, near = lines.copy(), lines.copy()
+    far[5], far[2900] = far[2900], far[5]
+    near[1000], near[1001] = near[1001], near[1000]
+    texts = {"a": lines, "same": lines, "far": far, "near": near, "blank": [""] * 700, "blanks": [""] * 701}
+    for name, own in texts.items():
+        (tmp_path / name).write_text("\n".join(own))
+    found = []
+    for split in (700, 4000, 1 << 27):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        found.append({r["file"].rsplit("/", 1)[-1]: r["hash"] for r in files.hash_files(spark, str(tmp_path)).collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == found[2] and found[0]["a"] == found[0]["same"] and len(set(found[0].values())) == len(texts) - 1
+
+
 def test_staged_folder_is_shared(spark):
     df = stage(spark.range(5).toDF("n"))
     assert spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0] and df.count() == 5
