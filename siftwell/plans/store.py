@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.operators import replace
+from siftwell.operators import merge, replace
 
 LOG_SCHEMA = "seq bigint, table string, part string, full boolean, path string, schema string, part_col string"
 NO_PART = "__HIVE_DEFAULT_PARTITION__"
@@ -132,9 +132,9 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def conform(self, table: str, df: DataFrame) -> DataFrame:
-        """The table's columns in its types; columns it lacks are dropped, missing ones are NULL."""
-        return df.select(*[
+    def conform(self, table: str, df: DataFrame, *also: str) -> DataFrame:
+        """The table's columns in its types; columns it lacks are dropped but for `also`, missing ones are NULL."""
+        return df.select(*also, *[
             (F.col(f"`{f.name}`").cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in self.schema(table)])
 
@@ -160,24 +160,39 @@ class Store:
         """New folders beside the old ones; nothing is rewritten."""
         return self._write(table, self.conform(table, df), full=False)[0]
 
-    def overwrite(self, table: str, df: DataFrame) -> list[Entry]:
-        return self._write(table, self.conform(table, df), full=True, touched=self._parts(table))[0]
+    def overwrite(self, table: str, df: DataFrame, pending: list[Entry] | None = None) -> list[Entry]:
+        return self._write(table, self.conform(table, df), full=True, touched=self._parts(table, pending))[0]
 
-    def rewrite(self, table: str, touched: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[Entry]:
+    def rewrite(
+        self, table: str, touched: DataFrame, change: Callable[[DataFrame], DataFrame], pending: list[Entry] | None = None,
+    ) -> list[Entry]:
         """Rows changed in place. Only the parts that hold a touched row are read and written.
 
         The change must not move rows to another part.
         """
         part, told_by = self.part(table)
         if part is None or not set(told_by) <= set(touched.columns):
-            return self.overwrite(table, change(self.read(table)))
+            return self._write(
+                table, self.conform(table, change(self.read(table, pending=pending))), full=True, touched=self._parts(table, pending))[0]
         found = touched.select(part).distinct().collect()  # part names, like a listing
         parts = [NO_PART if r[0] is None else r[0] for r in found]
         if not parts:
             return []
-        rows = self.conform(table, change(self.read(table, parts=parts)))
+        rows = self.conform(table, change(self.read(table, parts=parts, pending=pending)))
         return self._write(table, rows, full=True, touched=parts)[0]
 
+    def merge(self, table: str, source: DataFrame, keys: list[str], mode: str, pending: list[Entry] | None = None) -> list[Entry]:
+        """Rows updated, inserted or deleted by key (see operators.merge). `source` should be staged.
+
+        A table kept apart by its keys is read and written in the parts that a source key falls in. Where an update
+        sets the column that tells the part without it being a key, rows may move, and the whole table is written.
+        """
+        merge.check_sources(self.read(table, pending=pending), source, keys)
+        told_by = self.part(table)[1]
+        typed = self.conform(table, source).select(*[c for c in source.columns if c in self.schema(table).names])
+        touched = typed.select(*told_by) if told_by and set(told_by) <= set(keys) else typed.limit(0).select(F.lit(None).alias("_any"))
+        return self.rewrite(table, touched, lambda rows: merge.merge_rows(rows, typed, keys, mode), pending)
+
     def replace(
         self, table: str, incoming: DataFrame, keys: list[str], promoted: int, pending: list[Entry] | None = None,
     ) -> tuple[list[Entry], int]:
@@ -195,13 +210,13 @@ class Store:
             touched = [NO_PART if r[0] is None else r[0] for r in found]
             target = self.read(table, parts=touched, pending=pending)
         else:
-            touched = self._parts(table)
+            touched = self._parts(table, pending)
             target = self.read(table, pending=pending)
         entries, now = self._write(table, replace.replace_block(target, rows, keys), full=True, touched=touched)
         return entries, target.count() + promoted - now
 
-    def _parts(self, table: str) -> list[str]:
-        return [e.part for e in self._live(table) if e.part is not None]
+    def _parts(self, table: str, pending: list[Entry] | None = None) -> list[str]:
+        return [e.part for e in self._live(table, pending) if e.part is not None]
 
     def publish(self, entries: list[Entry]) -> None:
         """Make written folders the content of their tables, all at once; refused if others have published since the log was read."""

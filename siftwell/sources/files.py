@@ -25,21 +25,18 @@ def list_files(spark: SparkSession, folder: str | list[str], pattern: str = "*")
 # Fixed values of the identity: changing one changes every hash. Primes below 2**31, so that products fit 64 bits; one base each.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1318926727, 982451653, 1597334677, 1150833019)
-DIGIT = 9  # bits of an exponent that one table of powers covers
+DIGIT = 6  # bits of an exponent that one table of powers covers
 
 
-def _power(exponent: Column, base: int, prime: int, digits: int) -> Column:
-    """base ** exponent modulo the prime, from one table of powers per digit of the exponent."""
-    result = None
+def _power(exponent: str, base: int, prime: int, digits: int) -> str:
+    """SQL of base ** exponent modulo the prime, from one table of powers per digit of the exponent."""
+    result = ""
     for place in range(digits):
         step = pow(base, 1 << (DIGIT * place), prime)
-        table = [1]
-        for _ in range((1 << DIGIT) - 1):
-            table.append(table[-1] * step % prime)
-        digit = F.shiftright(exponent, DIGIT * place).bitwiseAND(F.lit((1 << DIGIT) - 1)).cast("int")
-        found = F.get(F.expr(f"array({', '.join(f'{x}L' for x in table)})"), digit)
-        result = found if result is None else (result * found) % F.lit(prime)
-    return result
+        table = ", ".join(f"{pow(step, n, prime)}L" for n in range(1 << DIGIT))
+        found = f"get(array({table}), cast(shiftright({exponent}, {DIGIT * place}) & {(1 << DIGIT) - 1} AS int))"
+        result = f"({result} * {found}) % {prime}L" if result else found
+    return f"({result})"
 
 
 def digest_lines(lines: DataFrame) -> DataFrame:
@@ -50,22 +47,15 @@ def digest_lines(lines: DataFrame) -> DataFrame:
     once the splits before it are counted. So one aggregation reads the lines, one short row per split goes through
     the shuffle, and neither the size of the splits nor their order of reading shows in the result.
     """
-    hashes = [F.xxhash64(F.lit(seed), "value") for seed in (1, 2)]
-    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sums = []
-    for i, (prime, base) in enumerate(zip(PRIMES, BASES, strict=True)):
-        term = (F.pmod(hashes[i // 2], F.lit(prime)) * _power(place, base, prime, 4)) % F.lit(prime)
-        sums.append((F.sum(term) % F.lit(prime)).alias(f"s{i}"))
-    splits = lines.groupBy("_file", "_block").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *sums)
+    fields = list(enumerate(zip(PRIMES, BASES, strict=True)))
+    placed = lines.selectExpr("_file", "_block", f"_at & {(1 << 33) - 1}L AS _place", "xxhash64(1, value) AS h0", "xxhash64(2, value) AS h1")
+    sums = [F.expr(f"sum((pmod(h{i // 2}, {p}L) * {_power('_place', b, p, 6)}) % {p}L) % {p}L AS s{i}") for i, (p, b) in fields]
+    splits = placed.groupBy("_file", "_block").agg(F.min("_place").alias("first"), F.count(F.lit(1)).alias("n"), *sums)
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("before", F.coalesce(F.sum("n").over(in_file), F.lit(0)))
-    moved = []
-    for i, (prime, base) in enumerate(zip(PRIMES, BASES, strict=True)):
-        back = _power(F.col("first"), pow(base, -1, prime), prime, 4)
-        moved.append(((F.col(f"s{i}") * ((back * _power(F.col("before"), base, prime, 5)) % F.lit(prime))) % F.lit(prime)).alias(f"m{i}"))
-    whole = splits.select("_file", "n", *moved).groupBy("_file").agg(
-        F.sum("n").alias("n"), *[(F.sum(f"m{i}") % F.lit(prime)).alias(f"m{i}") for i, prime in enumerate(PRIMES)])
-    return whole.select("_file", F.sha2(F.concat_ws("|", "n", *[f"m{i}" for i in range(len(PRIMES))]), 256).alias("hash"))
+    moved = [f"(s{i} * (({_power('first', pow(b, -1, p), p, 6)} * {_power('before', b, p, 8)}) % {p}L)) % {p}L AS m{i}" for i, (p, b) in fields]
+    whole = splits.selectExpr("_file", "n", *moved).groupBy("_file").agg(F.sum("n").alias("n"), *[F.expr(f"sum(m{i}) % {p}L AS m{i}") for i, (p, _) in fields])
+    return whole.select("_file", F.sha2(F.concat_ws("|", "n", *[f"m{i}" for i, _ in fields]), 256).alias("hash"))
 
 
 def hash_files(spark: SparkSession, folder: str | list[str], pattern: str = "*") -> DataFrame:
