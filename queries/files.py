@@ -156,6 +156,47 @@ def load_hooks(t: Tables) -> DataFrame:
     return store.read("diary")
 
 
+@query("""
+WITH p AS (SELECT 1 AS run, c_acctbal AS amount FROM customer UNION ALL SELECT 2, s_acctbal FROM supplier UNION ALL SELECT 3, NULL FROM nation)
+SELECT run, 'before' AS moment, count(*) AS n FROM p GROUP BY run
+UNION ALL SELECT run, 'after', CASE WHEN coalesce(min(amount), 0) < -999.5 THEN 0 ELSE count(*) END FROM p GROUP BY run""")
+def delivery_hooks(t: Tables) -> DataFrame:
+    """Three files by one plan: a rule, a variable and two actions that look at each file by itself."""
+    store = store_of(t, balance=BALANCE, diary="run bigint, moment string, n bigint")
+    rule = {"nombre": "debt", "tipo": "stop", "mensaje": "a balance far below zero", "sql": "SELECT key FROM _entrante WHERE amount < -999.5"}
+    actions = [{"momento": "antes", "tabla": "diary", "sql": "SELECT :ejecucion_id AS run, 'before' AS moment, count(*) AS n FROM _entrante"},
+               {"momento": "tras_promover", "tabla": "diary", "sql": "SELECT :ejecucion_id AS run, 'after' AS moment, least(:promovidas, :v_n) AS n"},
+               {"momento": "al_fallar", "tabla": "diary", "sql": "SELECT :ejecucion_id AS run, 'after' AS moment, 0 AS n"}]
+    counted = {"momento": "antes", "sql": "SELECT count(*) AS n FROM _entrante"}
+    changes = {"acciones": actions, "validaciones": [rule], "variables": [counted]}
+    load.run_load(t.spark, store, {**BALANCES, "carpeta": inbox(t, "delivery", **parties(t)), **changes}, unit="each")
+    return store.read("diary")
+
+
+@query("""
+SELECT c_custkey AS key, c_name AS name, CASE WHEN o.n IS NOT NULL THEN CAST(o.n AS DOUBLE) ELSE c_acctbal END AS amount FROM customer
+LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'""")
+def keyed_changes(t: Tables) -> DataFrame:
+    """Customers' balances set to their numbers of orders and one segment deleted, both by key, and both twice."""
+    store = store_of(t)
+    store.create("account", "key bigint, name string, amount double", bucket_keys=["key"], buckets=16)
+    store.publish(store.append("account", t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"))))
+    known = t.customer.select(F.col("c_custkey").alias("key"))
+    counts = t.orders.groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("amount")).join(known, "key", "left_semi")
+    gone = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("key"))
+    for mode, rows in (("actualizar", counts), ("borrar", gone)) * 2:
+        store.publish(store.merge("account", stage(rows, "changes"), ["key"], mode))
+    return store.read("account")
+
+
+@query("""
+SELECT n_name AS query, CASE WHEN n_nationkey < 2 THEN 'ERROR' ELSE 'OK' END AS status,
+  CASE WHEN n_nationkey >= 2 THEN (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) END AS rows FROM nation""")
+def query_log_nations(t: Tables) -> DataFrame:
+    """The log of one query per nation, two of which fail."""
+    return nation_log(t, t.nation)
+
+
 @query("""
 SELECT 1 AS run, 'c' AS side, c_custkey AS key FROM customer UNION ALL SELECT 2, 's', s_suppkey FROM supplier UNION ALL SELECT 3, 'n', n_nationkey FROM nation""")
 def run_stamp(t: Tables) -> DataFrame:
@@ -183,9 +224,13 @@ SELECT n_name AS query, CASE WHEN n_nationkey < 2 THEN 'ERROR' ELSE 'OK' END AS
   CASE WHEN n_nationkey >= 2 THEN (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) END AS rows FROM nation WHERE n_nationkey < 5""")
 def query_log(t: Tables) -> DataFrame:
     """Queries with a bound value, some of which fail, and what the log says of them."""
+    return nation_log(t, t.nation.filter("n_nationkey < 5"))
+
+
+def nation_log(t: Tables, nations: DataFrame) -> DataFrame:
     path = new_folder(t.spark, "log")
     t.customer.createOrReplaceTempView("logged_customers")
-    for row in t.nation.filter("n_nationkey < 5").select("n_nationkey", "n_name").collect():
+    for row in nations.select("n_nationkey", "n_name").collect():
         sql = f"SELECT * FROM logged_customers WHERE {'absent' if row[0] < 2 else 'c_nationkey'} = :nation"
         try:
             usage.logged_query(t.spark, sql, {"nation": row[0]}, path, row[1], ["customer"])

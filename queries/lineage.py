@@ -29,6 +29,17 @@ def run_status(t: Tables) -> DataFrame:
     return runs.current_runs(run_events(t))
 
 
+@query("""
+WITH e AS (SELECT user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS run_id, event_id, event_type FROM events)
+SELECT run_id, event_id FROM e WHERE event_type NOT IN ('error', 'purchase')
+  AND run_id NOT IN (SELECT run_id FROM e WHERE event_type IN ('error', 'purchase'))""")
+def run_orphans(t: Tables) -> DataFrame:
+    """A user's day as a run: the opening events of days on which nothing was bought and nothing failed."""
+    day = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date"))
+    events = run_events(t).withColumnRenamed("seq", "event_id").join(t.events.select("event_id", (F.col("user_id") * 100000 + day).alias("_day")), "event_id")
+    return runs.open_runs(events.withColumn("run_id", F.col("_day"))).select("run_id", "event_id")
+
+
 def order_runs(t: Tables) -> DataFrame:
     """Orders as runs: the customer number names the run each one is chained to, when it is an earlier one."""
     return t.orders.select(

@@ -18,6 +18,12 @@ def current_runs(events: DataFrame, seq_col: str = "seq") -> DataFrame:
         *[F.min_by(c, seq_col).alias(c) for c in opened])
 
 
+def open_runs(events: DataFrame) -> DataFrame:
+    """Opening events of runs that neither ended nor failed: their writer is still at work, or was killed."""
+    closed = events.filter(F.col("status") != RUNNING).select(F.col("run_id").alias("_closed")).distinct()
+    return key_join(events.filter(F.col("status") == RUNNING), closed, [(F.col("run_id"), F.col("_closed"))], "left_anti")
+
+
 def latest_ok_runs(runs: DataFrame) -> DataFrame:
     """Latest successful run of each load."""
     return runs.filter(F.col("status") == OK).groupBy("load").agg(F.max("run_id").alias("run_id"))

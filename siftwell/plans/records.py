@@ -1,8 +1,9 @@
 """Batches of record changes as recorded, guarded and published writes.
 
 Every write leaves a run. A creation is its own principal; an edit, a deletion or an attachment is
-chained to the run that created the row. When an invariant stops a write, the table stays as it
-was and the run is kept as failed.
+chained to the run that created the row. A run is published as begun before its work, and as ended together
+with what it wrote; when an invariant stops a write, the table stays as it was and the run is kept as failed.
+A writer that is killed leaves its run open: `open_runs` lists such runs, `give_up` marks them as failed.
 """
 
 from __future__ import annotations
@@ -38,9 +39,11 @@ def _open_runs(store: Store, principals: DataFrame) -> DataFrame:
     return stage(distinct.select((F.lit(base) + F.monotonically_increasing_id()).alias("id"), "principal"), "runs")
 
 
-def _run_rows(opened: DataFrame, operation: str, status: str) -> DataFrame:
-    known = {"id": F.col("id"), "seq": F.lit(1), "ejecucion_id_principal": F.coalesce("principal", "id"),
-             "carga": F.lit(operation), "tipo": F.lit("cli"), "estado": F.lit(status),
+def _run_rows(opened: DataFrame, operation: str | Column, status: str) -> DataFrame:
+    """The event of each run that opens or closes it."""
+    operation = F.lit(operation) if isinstance(operation, str) else operation
+    known = {"id": F.col("id"), "seq": F.lit(1 if status == runs.RUNNING else 2), "ejecucion_id_principal": F.coalesce("principal", "id"),
+             "carga": operation, "tipo": F.lit("cli"), "estado": F.lit(status),
              "fecha": F.current_timestamp().cast("timestamp_ntz"), "usuario": F.lit(opened.sparkSession.sparkContext.sparkUser())}
     return opened.select(*[known.get(c, F.lit(None)).alias(c) for c in _RUN_COLUMNS])
 
@@ -50,8 +53,10 @@ def _recorded(
     write: Callable[[], list[Entry]], invariants: list[Rule] | None, changed: DataFrame | None = None,
     contract: Contract | None = None, fired: list[dict] | None = None,
 ) -> None:
-    """Check the changed rows and the candidate, then publish what `write` wrote with its runs; else only its failed runs."""
+    """Publish the runs as begun, check the changed rows and the candidate, then publish what `write` wrote with the ended runs;
+    else only the failed ones."""
     name = f"{entity['entidad']}.{operation}"
+    store.publish(store.append(RUNS, _run_rows(opened, name, runs.RUNNING)))
     try:
         if contract is not None and changed is not None:
             check_contract(changed, contract)
@@ -69,6 +74,21 @@ def _recorded(
     store.publish(written + store.append(RUNS, _run_rows(opened, name, runs.OK)))
 
 
+def open_runs(store: Store, before: Column | None = None) -> DataFrame:
+    """(run_id, status, principal, operation, opened): runs begun, before a moment if one is given, that are not closed."""
+    events = store.read(RUNS).select(
+        F.col("id").alias("run_id"), F.col("estado").alias("status"), F.col("ejecucion_id_principal").alias("principal"),
+        F.col("carga").alias("operation"), F.col("fecha").alias("opened"))
+    found = runs.open_runs(events)
+    return found if before is None else found.filter(F.col("opened") < before)
+
+
+def give_up(store: Store, orphans: DataFrame) -> None:
+    """Close open runs as failed; their tables are as they were, since nothing was published."""
+    opened = stage(orphans.select(F.col("run_id").alias("id"), "principal", "operation"), "orphans")
+    store.publish(store.append(RUNS, _run_rows(opened, F.col("operation"), runs.ERROR)))
+
+
 def create(
     spark: SparkSession, store: Store, entity: dict, catalogue: dict[str, dict], requests: DataFrame,
     invariants: list[Rule] | None = None, contract: Contract | None = None, now: Column | None = None,
@@ -148,6 +168,7 @@ def attach(spark: SparkSession, store: Store, entity: dict, requests: DataFrame,
     links = key_join(good, opened.withColumnRenamed("principal", "_p"), [(F.col("principal"), F.col("_p"))], "inner").select(
         F.col("id").alias("run_id"), "hash", "tag").distinct().withColumn("fecha", F.current_timestamp().cast("timestamp_ntz"))
     arrived = requests.join(good.select("hash").distinct(), "hash", "left_semi").select("hash", "name", "bytes")
+    store.publish(store.append(RUNS, _run_rows(opened, f"{entity['tabla']}.adjuntar", runs.RUNNING)))
     entries: list[Entry] = store.append(LINKS, links)
     entries += register_documents(store, arrived)
     entries += store.append(RUNS, _run_rows(opened, f"{entity['tabla']}.adjuntar", runs.OK))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from siftwell.operators import merge, replace
 
-LOG_SCHEMA = "seq bigint, table string, part string, full boolean, path string, schema string, part_col string"
+LOG_SCHEMA = "seq bigint, table string, part string, full boolean, path string, schema string, part_col string, origin string"
 NO_PART = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -84,7 +84,7 @@ class Store:
         for table, schema in schemas.items():
             if table not in known:
                 parsed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-                rows.append((seq, table, None, False, None, parsed.json(), part_col))
+                rows.append((seq, table, None, False, None, parsed.json(), part_col, None))
         if rows:
             self._append_log(rows)
 
@@ -218,13 +218,20 @@ class Store:
     def _parts(self, table: str, pending: list[Entry] | None = None) -> list[str]:
         return [e.part for e in self._live(table, pending) if e.part is not None]
 
-    def publish(self, entries: list[Entry]) -> None:
-        """Make written folders the content of their tables, all at once; refused if others have published since the log was read."""
+    def published(self, origin: str) -> bool:
+        """Whether something was published under this origin."""
+        return any(e["origin"] == origin for e in self._log())
+
+    def publish(self, entries: list[Entry], origin: str | None = None) -> None:
+        """Make written folders the content of their tables, all at once; refused if others have published since the log was read.
+
+        `origin` names what they came from, like a batch of a stream; it becomes visible with them and not without them.
+        """
         if entries:
             seq = self._next()
             if Store(self.spark, self.root)._next() != seq:
                 raise StoreMoved(f"{self.root} has changed since it was read: refresh and write again")
-            self._append_log([(seq + i, e.table, e.part, e.full, e.path, None, None) for i, e in enumerate(entries)])
+            self._append_log([(seq + i, e.table, e.part, e.full, e.path, None, None, origin) for i, e in enumerate(entries)])
 
     def register_views(self, pending: list[Entry] | None = None) -> None:
         for table in self.tables():

@@ -15,12 +15,13 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 
 def watch_folder(
     spark: SparkSession, store: Store, definition: dict, checkpoint: str, parameters: dict | None = None,
-    available_now: bool = True, unit: str = "auto", on_result=None,
+    available_now: bool = True, unit: str = "auto", on_result=None, force: bool = False,
 ) -> StreamingQuery:
     """Start the incremental load.
 
-    The file source's checkpoint remembers paths, the run log remembers contents. A batch that is
-    repeated after a failure finds its content in the run log and adds nothing.
+    The file source's checkpoint remembers paths, the run log remembers contents. A batch is published under the name
+    of its stream and its number; one that is repeated after a failure finds itself in the store's log and adds nothing.
+    `force` loads contents that were loaded before, under other names, again.
     The stream itself only carries the names of the new files, not a byte of their content; the load
     plan reads the rows.
     """
@@ -32,7 +33,7 @@ def watch_folder(
     def load(batch: DataFrame, batch_id: int) -> None:
         names = [r["file"] for r in batch.distinct().collect()]  # file names, not rows
         if names:
-            results: list[Result] = run_load(batch.sparkSession, store, {**definition, "carpeta": names, "patron": "*"}, parameters, unit=unit)
+            results: list[Result] = run_load(batch.sparkSession, store, {**definition, "carpeta": names, "patron": "*"}, parameters, force=force, unit=unit, origin=f"{checkpoint} {batch_id}")
             if on_result:
                 on_result(batch_id, results)
 

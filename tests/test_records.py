@@ -128,3 +128,25 @@ def test_writes_touch_only_the_parts_of_their_rows(spark, tmp_path):
     after = {e.part: e.path for e in store._live("tag")}
     assert after["B"] == before["B"] and after["A"] != before["A"] and "C" not in after
     assert {(r["id"], r["word"]) for r in store.read("tag").collect()} == {("1", "new"), ("2", "old")} and [p for _, _, p in history(store)] == [1, 8]
+
+
+def test_a_killed_writer_leaves_its_run_open(spark, shelf, monkeypatch):
+    lend(spark, shelf, ("a", "OKAFOR", "Emma", "out", "2025-01-31", "2"))
+    assert records.open_runs(shelf).count() == 0
+
+    def killed(*_, **__):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(shelf, "rewrite", killed)
+    asked = spark.createDataFrame([(loans(shelf)["Emma"]["id"], 1, {"state": "back"})], CHANGE)
+    with pytest.raises(KeyboardInterrupt):
+        records.edit(spark, shelf, LOAN, asked, at("2025-02-01"), catalogue=CATALOGUE)
+    monkeypatch.undo()
+    assert loans(shelf)["Emma"]["state"] == "out" and history(shelf)[-1] == ("loan.editar", runs.RUNNING, 1)
+    seen = Store(spark, shelf.root)
+    assert [(r["operation"], r["principal"]) for r in records.open_runs(seen).collect()] == [("loan.editar", 1)]
+    assert records.open_runs(seen, before=at("2000-01-01")).count() == 0
+    records.give_up(seen, records.open_runs(seen))
+    assert records.open_runs(seen).count() == 0
+    shelf.refresh()
+    assert history(shelf) == [("loan.crear", "OK", 1), ("loan.editar", "ERROR", 1)]

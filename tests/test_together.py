@@ -148,3 +148,12 @@ def test_rules_share_a_scan(spark):
     own = [(r, rules.by_row(r.sql)) for r in given[:4]]
     fired = rules.fired_rows(spark, "numbers", own, {"p_least": 90})
     assert fired._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_a_batch_is_published_once(gauges):
+    gauges.put("a.txt", "N1|2024.01.01|1|")
+    gauges.put("b.txt", "N2|2024.01.01|2|")
+    assert [r.promoted for r in gauges.run(origin="stream 0", force=True)] == [2]
+    assert gauges.run(origin="stream 0", force=True) == [] and len(gauges.rows()) == 2
+    assert [r.promoted for r in gauges.run(origin="stream 1", force=True, unit="file")] == [1, 1]
+    assert gauges.run(origin="stream 1", force=True, unit="file") == [] and len(gauges.rows()) == 4
