@@ -23,7 +23,7 @@ from siftwell.llm.common import Work, map_rows, text_column, whole_text
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z: digits, letters and every byte of a character beyond ASCII
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 CHAIN = 4  # blocks, each a Python step, in one plan
-FOUND = "n_words long, hits array<struct<first:long,last:long>>, items array<string>, spans array<struct<start:long,`end`:long>>"
+FOUND = "__n long, __hits array<struct<first:long,last:long>>, __items array<string>, __spans array<struct<start:long,`end`:long>>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -112,12 +112,13 @@ def scan(
     original text; contaminated: a word is hit and there are at most `words_per_hit` words for each that is. Null and empty
     texts have no words and are not contaminated; items without words and null item ids are not looked for;
     equal item ids are one item; repeated documents are judged alike; an empty table gives none, an empty
-    benchmark no hit. Given columns of the new names are replaced.
+    benchmark no hit. Given columns of the new names are replaced, other columns are kept whatever their names, but
+    for names that begin with two underscores. A text of any length is scanned whole, in one task's memory.
     """
     new = ("n_words", "n_hit", "items", "spans", "contaminated")
-    rows = docs.select(*[c for c in docs.columns if c not in new], whole_text(text).alias("__whole"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new], whole_text(text).alias("__whole"))
     kept = rows.columns
-    rows = rows.selectExpr("*", "CAST(0 AS bigint) AS n_words", "CAST(array() AS array<struct<first:bigint,last:bigint>>) AS hits", "CAST(array() AS array<string>) AS items")
+    rows = rows.selectExpr("*", "CAST(0 AS bigint) AS __n", "CAST(array() AS array<struct<first:bigint,last:bigint>>) AS __hits", "CAST(array() AS array<string>) AS __items")
     schema = StructType(rows.schema.fields[:-3] + StructType.fromDDL(FOUND).fields)
     runs_of = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     work = held = None
@@ -133,7 +134,7 @@ def scan(
         def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n, hits, items, spans = [], [], [], []
-                for whole, before, named in zip(text_column(batch, "__whole"), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                for whole, before, named in zip(text_column(batch, "__whole"), batch.column("__hits").to_pylist(), batch.column("__items").to_pylist(), strict=True):
                     words, found, held = windows.scan(whole)
                     found = merged(found + [(h["first"], h["last"]) for h in before])
                     n.append(words)
@@ -145,8 +146,9 @@ def scan(
                 yield pa.RecordBatch.from_arrays([*batch.columns[:len(schema) - 4], *columns], schema.names)
 
         rows = map_rows(rows, run, schema)
-    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + 1)
-    placed = rows.withColumn("n_hit", hit)
+    hit = F.aggregate("__hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + 1)
+    placed = rows.withColumn("__hit", hit)
+    spans = F.col("__spans") if "__spans" in rows.columns else F.array().cast("array<struct<start:bigint,`end`:bigint>>")
     return placed.select(
-        *[c for c in kept if c != "__whole"], "n_words", "n_hit", "items", "spans",
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * words_per_hit >= F.col("n_words"))).alias("contaminated"))
+        *[F.col(f"`{c}`") for c in kept if c != "__whole"], F.col("__n").alias("n_words"), F.col("__hit").alias("n_hit"), F.col("__items").alias("items"),
+        spans.alias("spans"), ((F.col("__hit") > 0) & (F.col("__hit") * words_per_hit >= F.col("__n"))).alias("contaminated"))

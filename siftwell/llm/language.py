@@ -25,7 +25,11 @@ TEMPER = 0.25  # neighbouring bytes are not independent evidence
 
 
 def letters(text: str) -> bytes:
-    return OTHER.sub(" ", text.lower()).strip().encode()
+    """The lower-case letters of a text, runs of anything else as one space. Numerals that are no digits are no letters either."""
+    plain = OTHER.sub(" ", text.lower()).strip()
+    if not plain.replace(" ", "a").isalpha():
+        plain = " ".join("".join(c if c.isalpha() else " " for c in plain).split())
+    return plain.encode()
 
 
 class Model:
@@ -86,7 +90,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", narrow: float =
     """All columns and lang_pred, score (0 to 1), margin and accepted (margin at least `narrow`).
 
     Null texts and texts without a letter are `und`, score 0, not accepted. Given columns of these names are
-    replaced; repeated rows are judged alike; an empty table gives none.
+    replaced; repeated rows are judged alike; an empty table gives none. Texts of any length are compressed whole, block by block.
     """
     new = ("lang_pred", "score", "margin", "accepted")
     given = docs.select(*[c for c in docs.columns if c not in new], whole_text(text).alias("__whole"))

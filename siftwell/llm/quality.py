@@ -125,5 +125,5 @@ def fit(
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """All columns and the probability of label 1 of each whole text. Null and empty texts score 0; repeated rows
-    score alike; an empty table gives none; a given column of that name is replaced."""
+    score alike; texts of any length are compressed whole; an empty table gives none; a given column of that name is replaced."""
     return per_text(docs, text, column, model.scores)

@@ -11,9 +11,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -91,8 +93,10 @@ class Model:
                 if start and text[start - 1].isalnum() or whole and end < len(text) and text[end].isalnum():
                     continue
                 (spared if exception else found).append((start, end, weight))
-        if spared:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _ in spared)]
+        if spared:  # a match is spared if of the phrases that begin no later one ends no earlier
+            spared.sort()
+            starts, ends = [a for a, _, _ in spared], list(accumulate((b for _, b, _ in spared), max))
+            found = [f for f in found if not (at := bisect_right(starts, f[0])) or ends[at - 1] < f[1]]
         return found
 
     def feature(self, text: str) -> float:
@@ -127,6 +131,19 @@ def term_counts(rows: DataFrame, spared: list[str]) -> DataFrame:
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+REST, NEXT = re.compile(r"\w*"), re.compile(r"\w* \w+")
+
+
+def begin_of_word(text: str, space: int) -> int:
+    """Where the word before a space begins; the place itself if there is no space or no word before it."""
+    if space < 0 or text[space] != " ":
+        return space
+    at = space
+    while at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at -= 1
+    return at
+
+
 def contexts(rows: DataFrame, model: Model) -> DataFrame:
     """(phrase, toxic, clean): documents by word pair around a term."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +152,9 @@ def contexts(rows: DataFrame, model: Model) -> DataFrame:
             for label, text in zip(batch.column(0).to_pylist(), text_column(batch, "text"), strict=True):
                 folded, phrases = fold(text), set()
                 for start, end, _ in model.matches(folded):
-                    before, after = re.search(r"\w+ $", folded[max(0, start - 40):start]), re.match(r"\w* \w+", folded[end:end + 60])
-                    if before:
-                        phrases.add(before[0] + folded[start:end] + re.match(r"\w*", folded[end:])[0])
+                    rest, after = REST.match(folded, end), NEXT.match(folded, end)
+                    if (before := begin_of_word(folded, start - 1)) < start - 1:
+                        phrases.add(folded[before:start] + folded[start:end] + rest[0])
                     if after:
                         phrases.add(folded[start:end] + after[0])
                 out += [(p, label) for p in phrases]
@@ -149,12 +166,12 @@ def contexts(rows: DataFrame, model: Model) -> DataFrame:
 
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 5000,
-    support: int = 5, least: float = 3.0, most_terms: int = 5000, exceptions: tuple[str, ...] = (),
+    support: int = 5, least: float = 3.0, exceptions: tuple[str, ...] = (),
 ) -> Model:
     """Learn terms, exceptions and calibration from a bounded sample: at most `rows` labelled texts per label.
 
-    A term is kept when at least `support` toxic texts hold it and its log-odds are at least `least`, the
-    `most_terms` heaviest of them. A stem gives way to a word that makes up nearly all of it, and covers its
+    A term is kept when at least `support` toxic texts hold it and its log-odds are at least `least`; so there are
+    at most as many as the sample's toxic texts have terms, over `support`. A stem gives way to a word that makes up nearly all of it, and covers its
     other words. Words inside the given exception phrases are not counted; a word pair around a term that
     occurs in `support` clean texts and in no toxic one becomes an exception, too. Without rows of both labels the lexicon is empty and every score the same.
     """
@@ -173,7 +190,7 @@ def fit(
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     spared = sorted({fold(e) for e in exceptions})
     heavy = term_counts(given, spared).withColumn("weight", odds).where((F.col("toxic") >= support) & (F.col("weight") >= min(least, math.log(max(clean, 2)))))
-    found = heavy.orderBy(F.desc(F.col("weight") * F.log("toxic")), "term", "stem").limit(most_terms).collect()
+    found = heavy.orderBy(F.desc(F.col("weight") * F.log("toxic")), "term", "stem").collect()
     words = {r["term"]: (r["toxic"], r["weight"]) for r in found if not r["stem"]}
     stems = {r["term"]: (r["toxic"], r["weight"]) for r in found if r["stem"]}
     for stem in sorted(stems, key=len, reverse=True):
@@ -185,7 +202,7 @@ def fit(
         for longer in [s for s in stems if len(s) > len(stem) and s.startswith(stem)]:
             del stems[longer]
     model = Model({w: x for w, (_, x) in words.items() if not any(w.startswith(s) for s in stems)}, {s: x for s, (_, x) in stems.items()})
-    pairs = contexts(given, model).where((F.col("toxic") == 0) & (F.col("clean") >= support)).orderBy(F.desc("clean"), "phrase").limit(most_terms).collect()
+    pairs = contexts(given, model).where((F.col("toxic") == 0) & (F.col("clean") >= support)).orderBy(F.desc("clean"), "phrase").collect()
     model.exceptions = sorted({*spared, *(r["phrase"] for r in pairs)})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,5 +221,6 @@ def fit(
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """All columns and the probability of label 1 of each whole text. Null and empty texts score like a text without a
-    match; repeated rows score alike; an empty table gives none; a given column of that name is replaced."""
+    match; repeated rows score alike; texts of any length are matched whole; an empty table gives none; a given column of that name
+    is replaced."""
     return per_text(docs, text, column, model.scores)

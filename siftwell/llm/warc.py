@@ -12,6 +12,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import Work, map_rows, whole_text
 
 CHUNK = 1 << 18
+PLAIN = " !\"#$&'()*+,/:;=?@[\\]^`{|}~"  # signs of an id that stand for themselves in a header
 GZIP = 31  # zlib window bits of a gzip stream
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN = "file string, records long"
@@ -36,15 +38,27 @@ def header_value(text: str) -> str:
     return text.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(kind: str, name: str, uri: str | None, digest: str, payload: bytes, refers_to: str | None) -> bytes:
+NO_PAGE = "<urn:page-without-id>"
+
+
+def page_name(key: str | None) -> str:
+    """The name of a page: its id with what would end or change a header line written as %XX; a null id has a name of its own."""
+    return NO_PAGE if key is None else f"<urn:page:{quote(key, safe=PLAIN)}>"
+
+
+def page_of(name: str | None) -> str | None:
+    return None if name is None or name == NO_PAGE else unquote(name[len("<urn:page:"):-1])
+
+
+def record(kind: str, name: str | None, uri: str | None, digest: str, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC record. A revisit holds no payload but its digest and length."""
-    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
+    lines = [("WARC-Type", kind), ("WARC-Record-ID", page_name(name)), ("WARC-Date", "1970-01-01T00:00:00Z"),
              ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload)))]
     if uri is not None:
         lines.append(("WARC-Target-URI", header_value(uri)))
     block = b""
     if kind == "revisit":
-        lines += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", PROFILE)]
+        lines += [("WARC-Refers-To", page_name(refers_to)), ("WARC-Profile", PROFILE)]
     else:
         lines.append(("Content-Type", "application/http; msgtype=response"))
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
@@ -198,8 +212,8 @@ def read_members(index: DataFrame) -> DataFrame:
                     payload = block.partition(b"\r\n\r\n")[2]
                     size, digest = len(payload), hashlib.sha256(payload).hexdigest()
                 refers = said.get("WARC-Refers-To")
-                out.append({"id": said["WARC-Record-ID"][10:-1], "type": said["WARC-Type"], "payload_bytes": size, "payload_digest": digest,
-                            "refers_to": refers and refers[10:-1]})
+                out.append({"id": page_of(said["WARC-Record-ID"]), "type": said["WARC-Type"], "payload_bytes": size, "payload_digest": digest,
+                            "refers_to": page_of(refers)})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
                 ("id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]))
         if source:
@@ -215,7 +229,8 @@ def archive(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     pages with equal payloads of at least `least` bytes those with the smallest id are responses and the
     others revisit it; a null id is never the smallest, and shorter payloads are responses always. Null html
     is an empty payload, a null url leaves the header out, repeated rows are records of their own, an empty
-    table gives none, and other columns are not read.
+    table gives none, and other columns are not read. Ids of any characters come back as they were given. Payloads
+    are written and hashed whole, whatever their length; one payload at a time is in a task's memory.
     """
     work = Work(pages.sparkSession, "warc")
     kind = pages.schema[page].dataType
@@ -230,8 +245,8 @@ def archive(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     typed = rows.join(repeats, F.col("page").eqNullSafe(F.col("rpage")) & (F.col("digest") == F.col("rdigest")), "left")
     files = write_monolithic(work, typed.select(
         F.col("page").cast("string").alias("id"), "uri", "html", "digest", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("type"),
-        F.col("first").cast("string").alias("refers_to")).withColumn("id", F.coalesce("id", F.lit("null"))))
+        F.col("first").cast("string").alias("refers_to")))
     read = read_members(index_of(pages.sparkSession, normalise(work, files)))
     return read.select(
-        F.when(F.col("id") != "null", F.col("id")).cast(kind).alias(page), F.col("type").alias("record_type"),
+        F.col("id").cast(kind).alias(page), F.col("type").alias("record_type"),
         F.col("refers_to").cast(kind).alias("refers_to"), "payload_bytes", "payload_digest")

@@ -106,3 +106,47 @@ def test_a_sample_is_ranked_in_parts_first(spark):
         (d, name, i + 1) for name, ids in expected.items() for i, d in enumerate(ids[:1500])}
     windows = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in line]
     assert len(windows) == 2 and "[label" in windows[0] and "__part" not in windows[0] and "__part" in windows[1]
+
+
+def test_numerals_are_no_letters():
+    model = language.Model({"xx": b"ka to mi ra", "yy": b"brel grun"})
+    for text in ("\u00bd \u00b2", "\u2460\u2461", "\u2167", "12 \u0664", "\u0300", "_", "!?"):
+        assert model.predict(text) == ("und", 0.0, 0.0)
+    assert language.letters("a\u00bdb \u2460c") == b"a b c" and model.predict("ka\u00b2")[0] == "xx"
+
+
+def test_sizes_by_language_against_a_plain_version():
+    import zstandard
+
+    words = {"xx": speak("xx", 1, 300), "yy": speak("yy", 2, 300)}
+    model = language.Model({k: v.lower().encode() for k, v in words.items()})
+    for text in (speak("xx", 3, 20), speak("yy", 4, 3000), speak("xx", 5, 8) + speak("yy", 6, 9)):
+        sizes = {}
+        for name in sorted(words):
+            packer = zstandard.ZstdCompressor(level=5, dict_data=zstandard.ZstdCompressionDict(words[name].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                                              write_content_size=False, write_checksum=False)
+            plain = "".join(c if c.isalpha() else " " for c in text.lower()).strip()
+            plain = " ".join(plain.split()).encode()
+            sizes[name] = sum(len(packer.compress(plain[i:i + 4096])) for i in range(0, len(plain), 4096))
+        best = min(sizes, key=lambda k: (sizes[k], k))
+        other = next(k for k in sizes if k != best)
+        lang, _, margin = model.predict(text)
+        assert lang == best and margin == pytest.approx((sizes[other] - sizes[best]) / sizes[best])
+
+
+def test_lexicon_against_regular_expressions():
+    import math
+    import re
+
+    model = toxicity.Model({"bad": 2.0, "vile": 3.0}, {"nast": 1.5}, ["not bad", "vile weed of"])
+    pick = random.Random(4)
+    pieces = ["bad", "B4d", "v\u0456le", "nasty", "nastiest", "not bad", "vile weed of", "vile weed", "badly", "xbad", "plain", "\u00e9", "bad-", "not  bad"]
+    for _ in range(300):
+        text = " ".join(pick.choice(pieces) for _ in range(pick.randrange(0, 30)))
+        folded = toxicity.fold(text)
+        edge = r"(?<![^\W_])", r"(?![^\W_])"
+        spared = [m.span() for e in map(toxicity.fold, model.exceptions) for m in re.finditer(f"(?={edge[0]}({re.escape(e)}){edge[1]})", folded) for m in [re.compile(re.escape(e)).match(folded, m.start())]]
+        found = [(m.start(), m.start() + len(w), x) for w, x in model.words.items() for m in re.finditer(f"(?={edge[0]}{w}{edge[1]})", folded)]
+        found += [(m.start(), m.start() + len(s), x) for s, x in model.stems.items() for m in re.finditer(f"(?={edge[0]}{s})", folded)]
+        total = sum(x for a, b, x in found if not any(c <= a and b <= d for c, d in spared))
+        assert model.feature(text) == pytest.approx(total / (1 + math.log1p(len(folded) / 100)))

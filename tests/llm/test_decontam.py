@@ -47,6 +47,9 @@ def test_awkward_rows(spark):
     items = spark.createDataFrame([(1, prose(1, 60), "x")], "item_id long, text string, doc_id string")
     out = decontam.scan(spark.createDataFrame([(*r, 3) for r in awkward()], SCHEMA + ", n_hit int"), items).collect()
     assert len(out) == len(awkward()) and {r["doc_id"] for r in out if r["contaminated"]} == {16, 19, 22, 25, None}
+    named = spark.createDataFrame([(1, prose(1, 60), "mine", 5, "own"), (2, "x", None, 6, "own")], "doc_id long, text string, hits string, ab int, Spans string")
+    told = {r["doc_id"]: r for r in decontam.scan(named, items).collect()}
+    assert told[1]["hits"] == "mine" and told[2]["ab"] == 6 and told[1]["n_hit"] == 60 and told[2]["spans"] == []
     assert decontam.scan(spark.createDataFrame([], SCHEMA), items).count() == 0
     assert decontam.scan(spark.createDataFrame(awkward(), SCHEMA), items.limit(0)).where("n_hit > 0").count() == 0
 

@@ -38,6 +38,29 @@ def test_stages_keep_clean_documents(spark, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(kept[4])
 
 
+def test_columns_that_operators_use_and_empty_tables(spark, tmp_path):
+    more = ", items string, n_lines string, hits int, `a.b` int, n_hit string, __score string, component_id string"
+    own = ("mine", "seven", 3, 4, "h", "s", "c")
+    rows = [(i, f"{prose(i, 60)}.\n{prose(70 + i, 60)}", "xx", "s", 1, *own) for i in range(20)]
+    rows += [(50, rows[3][1], "xx", "s", 1, *own)] * 2 + [(60, None, None, None, None, *[None] * 7), (61, "", "xx", "s", 0, *own)]
+    item = spark.createDataFrame([(1, prose(5, 40))], "item_id long, text string")
+    item.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = spark.createDataFrame(rows, COLUMNS + more)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, given, str(tmp_path))
+        assert out.dtypes == given.dtypes, name
+        assert {tuple(r)[5:] for r in out.collect()} <= {own, (None,) * 7}, name
+        assert stage(spark, given.limit(0), str(tmp_path)).count() == 0
+    kept = corpus_pipeline.drop_benchmark(spark, given, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in kept} == {r[0] for r in rows} - {5}
+    near = corpus_pipeline.keep_one_of_each(spark, given, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in near} == {r[0] for r in rows} - {50}
+    runs = corpus_pipeline.drop_repeated_runs(spark, given, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in runs} == {r[0] for r in rows} - {50}
+    assert corpus_pipeline.encode(spark, given.limit(0), str(tmp_path)).count() == 0
+
+
 def test_near_copies_are_those_of_five_words(spark):
     texts = {}
     for i, (words, changed) in enumerate([(50, [25]), (97, [20, 60]), (40, [20]), (90, [20, 60]), (120, [])]):

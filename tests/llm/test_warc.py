@@ -22,6 +22,15 @@ def test_revisits_and_read_back(spark):
     assert warc.archive(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_ids_of_any_characters(spark):
+    ids = ["null", None, "a\r\nWARC-Type: x", "<urn:page:1>", "%41 é漢", "", "page-without-id", ": "]
+    rows = [(i, "u", "z" * 200 if n % 2 else f"own {n}") for n, i in enumerate(ids)]
+    out = warc.archive(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert sorted(str(r["page_id"]) for r in out) == sorted(map(str, ids)) and len(out) == len(ids)
+    first = min(i for n, i in enumerate(ids) if n % 2 and i is not None)
+    assert {(r["page_id"], r["refers_to"]) for r in out if r["record_type"] == "revisit"} == {(i, first) for n, i in enumerate(ids) if n % 2 and i != first}
+
+
 def test_normaliser_writes_members_and_index(spark):
     work = Work(spark, "test-warc")
     records = spark.createDataFrame([(str(i), "u", "body" * i, "response", None, "d") for i in range(40)], "id string, uri string, html string, type string, refers_to string, digest string")
