@@ -160,13 +160,13 @@ def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and of their edits. For each hundredth id, n_near: the other documents
-    within 6 bits; near_classes: the smallest id of each fingerprint found, its own among them."""
+    within 12 bits; near_class: the smallest id among all these and the equals of its own text."""
     work = Work(spark, "op3")
     out = work.stage(simhash.with_next(documents(spark, folder)), "prints")
     copies = work.stage(out.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("class_id")), "copies")
     asked = out.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("asked"), F.col("fingerprint").alias("query")).distinct()
     near = simhash.within(copies, asked.select(F.col("query").alias("fingerprint"))).join(copies.withColumnRenamed("fingerprint", "found"), "found").groupBy("query").agg(
-        (F.sum("copies") - 1).alias("n_near"), F.array_sort(F.collect_list("class_id")).alias("near_classes"))
+        (F.sum("copies") - 1).alias("n_near"), F.min("class_id").alias("near_class"))
     told = asked.join(near, "query")
     return out.join(told, (F.col("doc_id") == F.col("asked")) & (F.col("fingerprint") == F.col("query")), "left").drop("asked", "query")
 
@@ -248,7 +248,10 @@ def op12_term_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 MIDDLE_SQL = r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS ws,
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS ws,
   sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
 d AS (SELECT doc_id, text, ws, CAST(len(ws) AS BIGINT) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)) AS hs FROM t),
 k AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,

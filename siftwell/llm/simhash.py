@@ -2,8 +2,8 @@
 
 Every distinct word of a text votes with the weight 1 + ln(its count) on each bit of the fingerprint, for or
 against as the bits of its hash say. Fingerprints are hexadecimal strings of 128 bits. The search cuts them
-into blocks and keeps one table per choice of `agree` blocks: with blocks = radius + agree, two fingerprints
-within the radius agree on that many blocks, so they meet in at least one table.
+into eight blocks and keeps one table per choice of two. Two fingerprints within 12 bits meet in at least one
+table after a bit or none is changed in each of its blocks.
 """
 
 from __future__ import annotations
@@ -155,38 +155,73 @@ def arrow(kind: pa.DataType) -> pa.Schema:
                       ("near_edited", number), ("near_next", number), ("part", pa.int64()), ("head", text), ("tail", text)])
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Bits in which two hexadecimal fingerprints differ."""
-    total = F.lit(0)
-    for at in range(1, BITS // 4 + 1, 8):
-        total = total + F.bit_count(F.conv(F.substring(a, at, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(b, at, 8), 16, 10).cast("long")))
-    return total
+def halves(print_: Column | str) -> list[Column]:
+    """The two 64-bit numbers of a hexadecimal fingerprint."""
+    part = [F.conv(F.substring(print_, at, 8), 16, 10).cast("long") for at in range(1, BITS // 4 + 1, 8)]
+    return [F.shiftleft(part[i], 32).bitwiseOR(part[i + 1]) for i in (0, 2)]
 
 
-def within(prints: DataFrame, queries: DataFrame, radius: int = 6, agree: int = 2, column: str = "fingerprint") -> DataFrame:
+def written(high: Column, low: Column) -> Column:
+    return F.lower(F.concat(*[F.lpad(F.hex(half), 16, "0") for half in (high, low)]))
+
+
+def distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Bits in which two fingerprints differ."""
+    return F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
+
+
+BLOCKS, WIDTH, FARTHEST = 8, 16, 12
+TABLES = list(combinations(range(BLOCKS), 2))
+
+
+def block(number: int, high: str, low: str) -> str:
+    """SQL of one of the eight blocks of a fingerprint."""
+    return f"(shiftrightunsigned({(high, low)[number // 4]}, {48 - WIDTH * (number % 4)}) & 65535L)"
+
+
+def keys(high: str, low: str) -> str:
+    """SQL of a fingerprint's keys, one per table: the table's number and its two blocks."""
+    return ", ".join(f"({t << 2 * WIDTH}L | shiftleft({block(i, high, low)}, {WIDTH}) | {block(j, high, low)})" for t, (i, j) in enumerate(TABLES))
+
+
+def probes() -> list[int]:
+    """What to change in an asked fingerprint's keys to meet all within 12 bits: table number and changed bits.
+
+    Twelve differing bits leave, of eight blocks, (a) two that agree, or (b) one that agrees and two with a single
+    differing bit, or (c) four with a single one. So all tables are probed as they are; all but four without a
+    common block with a bit changed in either block, since (b) offers two tables; and with a bit changed in both
+    blocks only the tables within the groups 0-2, 3-5 and 6-7, of which any four blocks have two in one.
+    """
+    found = []
+    for t, (i, j) in enumerate(TABLES):
+        single = [1 << (WIDTH + bit) for bit in range(WIDTH)], [1 << bit for bit in range(WIDTH)]
+        masks = [0]
+        if j != i + 4:
+            masks += [*single[0], *single[1]]
+        if i // 3 == j // 3:
+            masks += [a | b for a in single[0] for b in single[1]]
+        found += [t << 2 * WIDTH | mask for mask in masks]
+    return found
+
+
+def within(prints: DataFrame, queries: DataFrame, radius: int = FARTHEST, column: str = "fingerprint") -> DataFrame:
     """(query, found, distance): for each distinct query fingerprint all distinct fingerprints within the radius, itself too.
 
-    Both sides are made distinct first, so copies cost one row. A pair comes out of the first of the tables
-    in which it meets and of no other. Null fingerprints are found by none. The tables of the queries are
-    written before the join, so that Spark judges their size by what they are.
+    Both sides are made distinct first, so copies cost one row. Every fingerprint stands in 28 tables under two of its
+    eight blocks, and only the asked ones are looked up under changed keys, too (see `probes`); the search is exact up to
+    12 bits. Keys, fingerprints and the asked ones' numbers travel as integers. Null fingerprints are found by none.
     """
+    if not 0 <= radius <= FARTHEST:
+        raise ValueError(f"the tables find all within {FARTHEST} bits, not within {radius}")
     work = Work(prints.sparkSession, "within")
-    blocks = radius + agree
-    size = BITS // 4 // blocks
-    if size < 1:
-        raise ValueError("radius and agree leave no digit to a block")
-    starts = [1 + i * size for i in range(blocks)]
-    sizes = [size] * (blocks - 1) + [BITS // 4 - size * (blocks - 1)]
-
-    def tables(side: DataFrame, name: str) -> DataFrame:
-        keys = [F.concat(F.lit("".join(f"{i}." for i in some)), *[F.substring(F.col(name), starts[i], sizes[i]) for i in some])
-                for some in combinations(range(blocks), agree)]
-        return side.select(F.col(column).alias(name)).where(f"{name} IS NOT NULL").distinct().select(name, F.posexplode(F.array(*keys)).alias("table", "key"))
-
-    pairs = work.stage(tables(queries, "query"), "queries").join(tables(prints, "found").drop("table"), "key")
-    same = F.array(*[F.substring("query", starts[i], sizes[i]) == F.substring("found", starts[i], sizes[i]) for i in range(blocks)])
-    choices = list(combinations(range(blocks), agree))
-    first = F.array_position(F.array(*[
-        F.forall(F.array(*[F.lit(i) for i in some]), lambda i: F.element_at(same, i + 1)) for some in choices]), F.lit(True)) - 1
-    return pairs.where(F.col("table") == first).withColumn("distance", distance(F.col("query"), F.col("found"))).where(
-        F.col("distance") <= radius).select("query", "found", "distance")
+    high, low = halves(F.col(column))
+    sides = [side.where(F.col(column).isNotNull()).select(high.alias("high"), low.alias("low")).distinct() for side in (prints, queries)]
+    asked = work.stage(sides[1].select(F.monotonically_increasing_id().alias("number"), F.col("high").alias("q_high"), F.col("low").alias("q_low")), "asked")
+    whole, changed = f"{(1 << 2 * WIDTH) - 1}L", ", ".join(f"{p}L" for p in probes())
+    looked = asked.selectExpr("number", f"array({keys('q_high', 'q_low')}) AS own").selectExpr(
+        "number", f"explode(transform(array({changed}), p -> get(own, cast(shiftright(p, {2 * WIDTH}) AS int)) ^ (p & {whole}))) AS key")
+    tables = sides[0].selectExpr("high", "low", f"explode(array({keys('high', 'low')})) AS key")
+    met = looked.join(tables, "key").select("number", "high", "low").join(asked, "number")
+    apart = distance((F.col("high"), F.col("low")), (F.col("q_high"), F.col("q_low")))
+    return met.withColumn("distance", apart).where(F.col("distance") <= radius).select("q_high", "q_low", "high", "low", "distance").distinct().select(
+        written(F.col("q_high"), F.col("q_low")).alias("query"), written(F.col("high"), F.col("low")).alias("found"), "distance")

@@ -33,12 +33,58 @@ def test_search_finds_all_within_the_radius(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     prints = simhash.fingerprint(docs).cache()
     known = [r["fingerprint"] for r in prints.collect()]
-    for radius in (3, 6):
+    for radius in (3, 6, 12):
         found = {(r["query"], r["found"]): r["distance"] for r in simhash.within(prints, prints.where("doc_id % 10 = 0"), radius).collect()}
         expected = {(q, f): (bits(q) ^ bits(f)).bit_count() for q in known[::10] for f in known if (bits(q) ^ bits(f)).bit_count() <= radius}
         assert found == expected and len(found) > 24
 
 
+def test_every_place_of_twelve_bits(spark):
+    """Fingerprints that differ in chosen bits, spread over the eight blocks in every way that matters."""
+    import random
+
+    import pytest
+
+    pick, pairs = random.Random(5), []
+    spreads = [(2,) * 6, (1,) * 4 + (2,) * 4, (0,) + (1,) * 2 + (2,) * 5, (0, 0) + (2,) * 6, (12,), (3, 3, 3, 3), (1,) * 8, (1, 1, 1, 1, 1, 1, 1, 5), (0, 1, 1, 1, 1, 1, 1, 6)]
+    for spread in spreads:
+        for _ in range(60):
+            counts = [*spread, *[0] * (8 - len(spread))]
+            pick.shuffle(counts)
+            change = sum(1 << (16 * b + bit) for b, n in enumerate(counts) for bit in pick.sample(range(16), n))
+            base = pick.getrandbits(128)
+            pairs.append((f"{base:032x}", f"{base ^ change:032x}"))
+    side = [spark.createDataFrame([(x,) for x in one], "fingerprint string") for one in zip(*pairs)]
+    found = {(r["query"], r["found"]): r["distance"] for r in simhash.within(side[1], side[0]).collect()}
+    assert found == {(a, b): (bits(a) ^ bits(b)).bit_count() for a in side_values(pairs, 0) for b in side_values(pairs, 1) if (bits(a) ^ bits(b)).bit_count() <= 12}
+    assert len(found) == len(pairs)
+    with pytest.raises(ValueError):
+        simhash.within(side[1], side[0], 13)
+
+
+def side_values(pairs, at):
+    return {p[at] for p in pairs}
+
+
+def test_votes_against_a_plain_version():
+    import math
+
+    import numpy as np
+
+    hashed = [3, 3, 3, 2**63 + 5, 77, 77, 12345678901234567890, 1]
+    words = np.array(hashed, np.uint64)
+    with np.errstate(over="ignore"):
+        second = dict(zip(hashed, (int(x) for x in simhash.mix(words ^ simhash.SALT))))
+    total = [0.0] * 128
+    for word in set(hashed):
+        weight = 1 + math.log(hashed.count(word))
+        for half, number in enumerate((word, second[word])):
+            for at, byte in enumerate(number.to_bytes(8, "little")):
+                for bit in range(8):
+                    total[64 * half + 8 * at + bit] += weight if byte >> (7 - bit) & 1 else -weight
+    assert simhash.votes(words).tolist() == [t > 0 for t in total]
+
+
 def test_long_text_in_pieces_has_the_same_words():
     from siftwell.llm.common import WordHasher
 
@@ -56,8 +102,8 @@ def test_query_on_repeated_ids(spark, tmp_path):
     prints = [(r["doc_id"], r["fingerprint"]) for r in made]
     assert len(made) == len(texts)
     for r in made:
-        near = [(d, f) for d, f in prints if (bits(f) ^ bits(r["fingerprint"])).bit_count() <= 6]
+        near = [(d, f) for d, f in prints if (bits(f) ^ bits(r["fingerprint"])).bit_count() <= 12]
         asked = r["doc_id"] is not None and r["doc_id"] % 100 == 0
         classes = sorted(min(d for d, g in prints if g == f and d is not None) for f in {f for _, f in near})
-        assert r["n_near"] == (len(near) - 1 if asked else None) and r["near_classes"] == (classes if asked else None)
-    assert sorted(len(r["near_classes"]) for r in made if r["near_classes"]) == [1, 1, 2, 2]
+        assert r["n_near"] == (len(near) - 1 if asked else None) and r["near_class"] == (classes[0] if asked else None)
+    assert sorted(r["n_near"] for r in made if r["n_near"] is not None) == [0, 0, 4, 4]
