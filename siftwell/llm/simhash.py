@@ -221,7 +221,8 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = FARTHEST, column
     looked = asked.selectExpr("number", f"array({keys('q_high', 'q_low')}) AS own").selectExpr(
         "number", f"explode(transform(array({changed}), p -> get(own, cast(shiftright(p, {2 * WIDTH}) AS int)) ^ (p & {whole}))) AS key")
     tables = sides[0].selectExpr("high", "low", f"explode(array({keys('high', 'low')})) AS key")
-    met = looked.join(tables, "key").select("number", "high", "low").join(asked, "number")
+    # both sides grow with the documents; Spark would judge the looked-up keys by the few rows they are made from
+    met = tables.join(looked.hint("merge"), "key").select("number", "high", "low").join(asked, "number")
     apart = distance((F.col("high"), F.col("low")), (F.col("q_high"), F.col("q_low")))
     return met.withColumn("distance", apart).where(F.col("distance") <= radius).select("q_high", "q_low", "high", "low", "distance").distinct().select(
         written(F.col("q_high"), F.col("q_low")).alias("query"), written(F.col("high"), F.col("low")).alias("found"), "distance")
