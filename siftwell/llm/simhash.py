@@ -184,6 +184,11 @@ def keys(high: str, low: str) -> str:
     return ", ".join(f"({t << 2 * WIDTH}L | shiftleft({block(i, high, low)}, {WIDTH}) | {block(j, high, low)})" for t, (i, j) in enumerate(TABLES))
 
 
+def changes(i: int, j: int) -> tuple[bool, bool]:
+    """Whether the table of blocks i and j is probed with a bit changed in one of them, and with one in each."""
+    return j != i + 4, i // 3 == j // 3
+
+
 def probes() -> list[int]:
     """What to change in an asked fingerprint's keys to meet all within 12 bits: table number and changed bits.
 
@@ -194,35 +199,46 @@ def probes() -> list[int]:
     """
     found = []
     for t, (i, j) in enumerate(TABLES):
-        single = [1 << (WIDTH + bit) for bit in range(WIDTH)], [1 << bit for bit in range(WIDTH)]
-        masks = [0]
-        if j != i + 4:
-            masks += [*single[0], *single[1]]
-        if i // 3 == j // 3:
-            masks += [a | b for a in single[0] for b in single[1]]
+        first, second = [1 << (WIDTH + bit) for bit in range(WIDTH)], [1 << bit for bit in range(WIDTH)]
+        one, both = changes(i, j)
+        masks = [0, *(first + second if one else []), *([a | b for a in first for b in second] if both else [])]
         found += [t << 2 * WIDTH | mask for mask in masks]
     return found
 
 
+def first_table(high: str, low: str) -> str:
+    """SQL of the first table in which two fingerprints meet that differ in these bits."""
+    off = [f"bit_count({block(i, high, low)})" for i in range(BLOCKS)]
+    cases = []
+    for t, (i, j) in enumerate(TABLES):
+        one, both = changes(i, j)
+        meets = f"{off[i]} <= 1 AND {off[j]} <= 1" if one and both else f"{off[i]} + {off[j]} <= 1" if one else f"{off[i]} + {off[j]} = 0"
+        if both and not one:
+            meets += f" OR {off[i]} = 1 AND {off[j]} = 1"
+        cases.append(f"WHEN {meets} THEN {t}L")
+    return f"CASE {' '.join(cases)} END"
+
+
 def within(prints: DataFrame, queries: DataFrame, radius: int = FARTHEST, column: str = "fingerprint") -> DataFrame:
     """(query, found, distance): for each distinct query fingerprint all distinct fingerprints within the radius, itself too.
 
     Both sides are made distinct first, so copies cost one row. Every fingerprint stands in 28 tables under two of its
     eight blocks, and only the asked ones are looked up under changed keys, too (see `probes`); the search is exact up to
-    12 bits. Keys, fingerprints and the asked ones' numbers travel as integers. Null fingerprints are found by none.
+    12 bits. A pair comes out of the first table in which it meets and of no other, which the join itself sees to.
+    Keys and fingerprints travel as integers. Null fingerprints are found by none.
     """
     if not 0 <= radius <= FARTHEST:
         raise ValueError(f"the tables find all within {FARTHEST} bits, not within {radius}")
     work = Work(prints.sparkSession, "within")
     high, low = halves(F.col(column))
     sides = [side.where(F.col(column).isNotNull()).select(high.alias("high"), low.alias("low")).distinct() for side in (prints, queries)]
-    asked = work.stage(sides[1].select(F.monotonically_increasing_id().alias("number"), F.col("high").alias("q_high"), F.col("low").alias("q_low")), "asked")
+    asked = work.stage(sides[1].select(F.col("high").alias("q_high"), F.col("low").alias("q_low")), "asked")
     whole, changed = f"{(1 << 2 * WIDTH) - 1}L", ", ".join(f"{p}L" for p in probes())
-    looked = asked.selectExpr("number", f"array({keys('q_high', 'q_low')}) AS own").selectExpr(
-        "number", f"explode(transform(array({changed}), p -> get(own, cast(shiftright(p, {2 * WIDTH}) AS int)) ^ (p & {whole}))) AS key")
+    looked = asked.selectExpr("*", f"array({keys('q_high', 'q_low')}) AS own").selectExpr(
+        "q_high", "q_low", f"explode(transform(array({changed}), p -> get(own, cast(shiftright(p, {2 * WIDTH}) AS int)) ^ (p & {whole}))) AS looked")
     tables = sides[0].selectExpr("high", "low", f"explode(array({keys('high', 'low')})) AS key")
-    # both sides grow with the documents; Spark would judge the looked-up keys by the few rows they are made from
-    met = tables.join(looked.hint("merge"), "key").select("number", "high", "low").join(asked, "number")
     apart = distance((F.col("high"), F.col("low")), (F.col("q_high"), F.col("q_low")))
-    return met.withColumn("distance", apart).where(F.col("distance") <= radius).select("q_high", "q_low", "high", "low", "distance").distinct().select(
-        written(F.col("q_high"), F.col("q_low")).alias("query"), written(F.col("high"), F.col("low")).alias("found"), "distance")
+    first = F.expr(f"shiftright(key, {2 * WIDTH}) = {first_table('(high ^ q_high)', '(low ^ q_low)')}")
+    # both sides grow with the documents; Spark would judge the looked-up keys by the few rows they are made from
+    met = tables.join(looked.hint("merge"), (F.col("key") == F.col("looked")) & (apart <= radius) & first)
+    return met.select(written(F.col("q_high"), F.col("q_low")).alias("query"), written(F.col("high"), F.col("low")).alias("found"), apart.alias("distance"))
