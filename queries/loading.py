@@ -11,7 +11,7 @@ from siftwell.operators import date_evidence, lookup, mapping, replace, rules, v
 from siftwell.plans import load
 from siftwell.plans.store import Store
 from siftwell.session import new_folder, stage
-from siftwell.sinks import snapshot
+from siftwell.sinks import snapshot, store_copy
 from siftwell.sources.text_files import scan_csv
 from siftwell.streaming.folder import watch_folder
 
@@ -358,3 +358,40 @@ def snapshot_verify(t: Tables) -> DataFrame:
     folder = new_folder(t.spark, "snapshot")
     snapshot.take_snapshot({n: getattr(t, n) for n in SNAPSHOT_TABLES}, folder)
     return snapshot.restore_snapshot(t.spark, folder, new_folder(t.spark, "restored"))
+
+
+CENTS = "cast(round(o_totalprice * 100) as bigint)"
+
+
+@query(f"""
+SELECT 'pedido' AS "table", o_orderpriority AS part, count(*) AS rows, sum({CENTS}) AS cents, 'named' AS kept, 'ok' AS status
+FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY ALL
+UNION ALL SELECT 'pedido', o_orderpriority, count(*), sum(2 * {CENTS}), 'copied', 'ok'
+FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 GROUP BY ALL
+UNION ALL SELECT 'socio', NULL, count(*), sum(cast(round(c_acctbal * 100) as bigint)), 'named', 'ok' FROM customer""")
+def store_snapshot(t: Tables) -> DataFrame:
+    """A store as of one moment, on top of an earlier snapshot, restored as a store: one priority changed between the two.
+
+    What the store publishes after the moment is not in it. `kept` tells which folders the second snapshot copied itself.
+    """
+    store = Store(t.spark, new_folder(t.spark, "store"))
+    store.create("pedido", "o_orderkey bigint, o_orderpriority string, cents bigint", part_col="o_orderpriority")
+    store.create("socio", "c_custkey bigint, cents bigint")
+    orders = t.orders.selectExpr("o_orderkey", "o_orderpriority", f"{CENTS} as cents")
+    partners = t.customer.selectExpr("c_custkey", "cast(round(c_acctbal * 100) as bigint) as cents")
+    store.publish(store.append("pedido", orders) + store.append("socio", partners))
+    first, second, restored = (new_folder(t.spark, label) for label in ("first", "second", "restored"))
+    store_copy.take(store, first)
+    changed = stage(orders.where("o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0").withColumn("cents", F.col("cents") * 2), "changed")
+    store.publish(store.replace("pedido", changed, ["o_orderpriority"], changed.count())[0])
+    made = store_copy.take(store, second, base=first)
+    store.publish(store.overwrite("pedido", orders.limit(0)) + store.overwrite("socio", partners.limit(0)))
+    status = store_copy.restore(t.spark, second, restored).select("table", "status")
+    opened = Store(t.spark, restored)
+    rows = opened.read("pedido").select(F.lit("pedido").alias("table"), F.col("o_orderpriority").alias("part"), "cents").unionByName(
+        opened.read("socio").select(F.lit("socio").alias("table"), F.lit(None).cast("string").alias("part"), "cents"))
+    content = rows.groupBy("table", "part").agg(F.count("*").alias("rows"), F.sum("cents").alias("cents"))
+    folders = made.where("path IS NOT NULL").select(
+        F.col("table").alias("_t"), F.col("part").alias("_p"), F.when(F.startswith("path", F.lit(f"{second}/")), "copied").otherwise("named").alias("kept"))
+    shown = content.join(folders, (F.col("table") == F.col("_t")) & F.col("part").eqNullSafe(F.col("_p")), "left").drop("_t", "_p")
+    return shown.join(status, "table")

@@ -91,23 +91,28 @@ class Store:
     def _next(self) -> int:
         return max((e["seq"] for e in self._log()), default=0) + 1
 
-    def _declared(self, table: str) -> dict:
+    def moment(self) -> int:
+        """Number of the last entry of the log as last read; 0 without any."""
+        return self._next() - 1
+
+    def declared(self, table: str) -> dict:
+        """The log's entry that declares a table."""
         for entry in self._log():
             if entry["table"] == table and entry["schema"]:
                 return entry
         raise ValueError(f"no table {table} (tables: {', '.join(self.tables())})")
 
     def schema(self, table: str) -> T.StructType:
-        return T.StructType.fromJson(json.loads(self._declared(table)["schema"]))
+        return T.StructType.fromJson(json.loads(self.declared(table)["schema"]))
 
     def part_col(self, table: str) -> str | None:
         """The column a table is kept apart by, if it is one."""
-        kept = self._declared(table)["part_col"]
+        kept = self.declared(table)["part_col"]
         return None if kept and kept.startswith("{") else kept
 
     def part(self, table: str) -> tuple[Column | None, list[str]]:
         """The part of a row as text, and the columns that tell it; NULL without parts."""
-        kept = self._declared(table)["part_col"]
+        kept = self.declared(table)["part_col"]
         if kept is None:
             return None, []
         if not kept.startswith("{"):
@@ -118,6 +123,7 @@ class Store:
         return F.pmod(F.xxhash64(*keys), F.lit(declared["buckets"])).cast("string"), declared["keys"]
 
     def _live(self, table: str, pending: list[Entry] | None = None) -> list[Entry]:
+        """The folders that are the content of a table, as of the log as last read."""
         entries = [Entry(e["table"], e["part"], e["full"], e["path"]) for e in self._log() if e["table"] == table and (e["path"] or e["full"])]
         live: dict[str | None, list[Entry]] = {}
         for e in entries + [p for p in pending or [] if p.table == table]:
