@@ -7,10 +7,12 @@ the log, for all its tables at once, so a run that dies before that leaves the t
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +57,12 @@ class Store:
         return self._entries
 
     def _append_log(self, rows: list[tuple]) -> None:
+        """One file named by the first number in it. Of two writers that know the same log, both want the same name, and one gets it."""
         known = self._log()
-        self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self.log_path)
+        draft = f"{self.root}/_drafts/{uuid.uuid4().hex}"
+        self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.parquet(draft)
+        if not _claim(self.spark, draft, f"{self.log_path}/{rows[0][0]:020d}.parquet"):
+            raise StoreMoved(f"{self.root} has changed since it was read: refresh and write again")
         names = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
         self._entries = known + [dict(zip(names, row)) for row in rows]
 
@@ -239,11 +245,62 @@ class Store:
                 raise StoreMoved(f"{self.root} has changed since it was read: refresh and write again")
             self._append_log([(seq + i, e.table, e.part, e.full, e.path, None, None, origin) for i, e in enumerate(entries)])
 
+    def sweep(self, older_than: float) -> list[str]:
+        """Delete the folders of the tables that are no longer content and have not changed for `older_than` seconds; their paths.
+
+        The age must exceed the longest write or read that may be under way: a folder being written is not named yet,
+        and one replaced a moment ago may still be read. The log is read anew and keeps its entries.
+        """
+        self.refresh()
+        before = (time.time() - older_than) * 1000
+        gone = []
+        for table in self.tables():
+            live = {e.path for e in self._live(table)}
+            for name, changed in _listed(self.spark, f"{self.root}/{table}"):
+                path = f"{self.root}/{table}/{name}"
+                parts = [(f"{path}/{part}", at) for part, at in _listed(self.spark, path) if part.startswith("_part=")]
+                if path not in live and changed < before:
+                    if not any(p in live or at >= before for p, at in parts):
+                        gone.append(path)
+                    else:
+                        gone += [p for p, at in parts if p not in live and at < before]
+        for path in gone:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return gone
+
     def register_views(self, pending: list[Entry] | None = None) -> None:
         for table in self.tables():
             self.read(table, pending=pending).createOrReplaceTempView(table)
 
 
+def _claim(spark: SparkSession, draft: str, name: str) -> bool:
+    """The one file of a draft moved to a name that nobody has yet; False if somebody has. The draft goes either way."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    folder, target = hadoop.Path(draft), hadoop.Path(name)
+    files = folder.getFileSystem(conf)
+    files.mkdirs(target.getParent())
+    written = next(f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    keep = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    keep[0] = hadoop.Options.Rename.NONE
+    try:
+        hadoop.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(written), files.makeQualified(target), keep)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in str(error.java_exception):
+            raise
+        return False
+    finally:
+        files.delete(folder, True)
+    return True
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, last change in ms) of the folders directly below a path, none if it is absent."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [(f.getPath().getName(), f.getModificationTime()) for f in files.listStatus(folder) if f.isDirectory()] if files.exists(folder) else []
+
+
 def _subfolders(spark: SparkSession, path: str) -> list[str]:
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
