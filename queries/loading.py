@@ -395,3 +395,23 @@ def store_snapshot(t: Tables) -> DataFrame:
         F.col("table").alias("_t"), F.col("part").alias("_p"), F.when(F.startswith("path", F.lit(f"{second}/")), "copied").otherwise("named").alias("kept"))
     shown = content.join(folders, (F.col("table") == F.col("_t")) & F.col("part").eqNullSafe(F.col("_p")), "left").drop("_t", "_p")
     return shown.join(status, "table")
+
+
+@query(f"""
+SELECT o_orderstatus AS status, o_orderstatus <> 'P' AS stays, count(*) AS rows,
+       sum(CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END * {CENTS}) AS cents
+FROM orders GROUP BY ALL""")
+def replace_folders(t: Tables) -> DataFrame:
+    """Three deliveries in a table that nothing keeps apart, then a replacement whose keys one of them holds: the others' folders stay."""
+    store = Store(t.spark, new_folder(t.spark, "store"))
+    store.create("pedido", "o_orderkey bigint, o_orderstatus string, o_orderpriority string, cents bigint")
+    orders = t.orders.selectExpr("o_orderkey", "o_orderstatus", "o_orderpriority", f"{CENTS} as cents")
+    for status in "FOP":
+        store.publish(store.append("pedido", orders.where(F.col("o_orderstatus") == status)))
+    before = {e.path for e in store._live("pedido")}
+    changed = stage(orders.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").withColumn("cents", F.col("cents") * 2), "changed")
+    store.publish(store.replace("pedido", changed, ["o_orderstatus", "o_orderpriority"], changed.count())[0])
+    kept = [e for e in store._live("pedido") if e.path in before]
+    new = [e for e in store._live("pedido") if e.path not in before]
+    rows = store._rows("pedido", kept).withColumn("stays", F.lit(True)).unionByName(store._rows("pedido", new).withColumn("stays", F.lit(False)))
+    return rows.groupBy(F.col("o_orderstatus").alias("status"), "stays").agg(F.count("*").alias("rows"), F.sum("cents").alias("cents"))

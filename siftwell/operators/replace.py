@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.operators.mapping import common_columns
 from siftwell.session import key_join
@@ -18,6 +19,24 @@ def _matches(target: DataFrame, incoming: DataFrame, keys: list[str], how: str)
     return key_join(target, _keys_of(incoming, keys), pairs, how, null_safe=True)
 
 
+def within_range(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Target rows between the smallest and the largest incoming value of every key, a filter that reaches the footers of files.
+
+    One row with the bounds comes back. Keys of types without bounds in footers, or whose text is not their value, are not looked at.
+    """
+    ranged = [k for k in keys if isinstance(target.schema[k].dataType, (T.IntegralType, T.StringType, T.DateType, T.DecimalType))]
+    if not ranged:
+        return target
+    kinds = {k: target.schema[k].dataType for k in ranged}
+    found = incoming.select(*[F.col(k).cast(kinds[k]).alias(k) for k in ranged]).agg(*[
+        c for i, k in enumerate(ranged) for c in (
+            F.min(k).cast("string").alias(f"low{i}"), F.max(k).cast("string").alias(f"high{i}"), F.bool_or(F.col(k).isNull()).alias(f"null{i}"))]).first()
+    for i, k in enumerate(ranged):
+        within = F.col(k).between(F.lit(found[f"low{i}"]).cast(kinds[k]), F.lit(found[f"high{i}"]).cast(kinds[k]))
+        target = target.filter(within | F.col(k).isNull() if found[f"null{i}"] else within)
+    return target
+
+
 def replaced_rows(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Target rows whose key occurs among the incoming rows; NULL keys equal each other."""
     return _matches(target, incoming, keys, "left_semi") if keys else target.limit(0)

@@ -132,10 +132,9 @@ def edit(
     touched = key_join(rows, done, [(F.col(id_col), F.col("_asked"))], "left_semi")
 
     part_meta = entity["campos"].get(store.part_col(table))
-    if part_meta is not None and not is_system(store.part_col(table), part_meta):
-        write = lambda: store.overwrite(table, edited)  # an edit may move rows between parts
-    else:
-        write = lambda: store.rewrite(table, touched, lambda part: changes.edit_rows(part, asked, entity, now, id_col, catalogue, tables)[0])
+    moves = part_meta is not None and not is_system(store.part_col(table), part_meta)
+    write = lambda: store.rewrite(
+        table, touched, lambda part: changes.edit_rows(part, asked, entity, now, id_col, catalogue, tables)[0], keys=[id_col], moves=moves)
     changed = key_join(edited, done, [(F.col(id_col), F.col("_asked"))], "left_semi")
     _recorded(store, entity, "editar", _open_runs(store, _principals(touched)), edited, write, invariants, changed, contract, fired)
     return refused
@@ -150,7 +149,7 @@ def delete(spark: SparkSession, store: Store, entity: dict, ids: DataFrame, id_c
     gone = key_join(rows, asked, [(F.col(id_col), F.col("_asked"))], "left_semi")
     opened = _open_runs(store, _principals(gone))
     missing = stage(asked.join(rows.select(id_col), F.col("_asked") == F.col(id_col), "left_anti"), "missing")
-    write = lambda: store.rewrite(table, gone, lambda part: changes.delete_rows(part, ids, id_col))
+    write = lambda: store.rewrite(table, gone, lambda part: changes.delete_rows(part, ids, id_col), keys=[id_col])
     _recorded(store, entity, "borrar", opened, rows, write, None)
     return missing.withColumnRenamed("_asked", id_col)
 

@@ -29,12 +29,13 @@ class StoreMoved(RuntimeError):
 
 @dataclass(frozen=True)
 class Entry:
-    """One folder of a table. A full entry replaces the earlier ones of its part."""
+    """One folder of a table. A full entry replaces the earlier ones of its part; one that is neither full nor not (None) takes
+    the folder away."""
 
     table: str
     part: str | None
-    full: bool
-    path: str
+    full: bool | None
+    path: str | None
 
 
 class Store:
@@ -131,18 +132,44 @@ class Store:
     def _live(self, table: str, pending: list[Entry] | None = None) -> list[Entry]:
         """The folders that are the content of a table, as of the log as last read."""
         entries = [Entry(e["table"], e["part"], e["full"], e["path"]) for e in self._log() if e["table"] == table and (e["path"] or e["full"])]
-        live: dict[str | None, list[Entry]] = {}
+        live: dict[str | None, dict[str | None, Entry]] = {}
         for e in entries + [p for p in pending or [] if p.table == table]:
-            live[e.part] = [e] if e.full else live.get(e.part, []) + [e]
-        return [e for part in live.values() for e in part if e.path]
+            if e.full is None:
+                live.get(e.part, {}).pop(e.path, None)
+            elif e.full:
+                live[e.part] = {e.path: e}
+            else:
+                live.setdefault(e.part, {})[e.path] = e
+        return [e for part in live.values() for e in part.values() if e.path]
 
     def read(self, table: str, parts: list[str] | None = None, pending: list[Entry] | None = None) -> DataFrame:
         """Current content, or that of some parts only; `pending` entries count as published."""
+        return self._rows(table, [e for e in self._live(table, pending) if parts is None or e.part in parts])
+
+    def _rows(self, table: str, folders: list[Entry]) -> DataFrame:
         schema = self.schema(table)
-        paths = [e.path for e in self._live(table, pending) if parts is None or e.part in parts]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+        return self.spark.read.schema(schema).parquet(*[e.path for e in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def _holding(self, table: str, incoming: DataFrame, keys: list[str], pending: list[Entry] | None = None) -> list[Entry]:
+        """The folders that hold a row with a key of `incoming`; NULL keys equal each other.
+
+        Only the key columns are read, and of these what the footers do not rule out by the range of the incoming keys.
+        The names of the folders come back, like a listing.
+        """
+        live = self._live(table, pending)
+        if not live:
+            return []
+        file = F.parse_url(F.col("_metadata.file_path"), F.lit("PATH"))
+        folder = F.regexp_extract(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), "(?s)^(.*)/[^/]*$", 1)
+        held = self._rows(table, live).select(*keys, folder.alias("_folder"))
+        found = replace.replaced_rows(replace.within_range(held, incoming, keys), incoming, keys).select("_folder").distinct().collect()
+        names = {r[0] for r in found}
+        return [e for e in live if _plain(self.spark, e.path) in names]
+
+    def _change(self, table: str, folders: list[Entry], rows: DataFrame) -> tuple[list[Entry], int]:
+        """`rows` in new folders in the place of some folders; all others stay as they are."""
+        written, now = self._write(table, rows, full=False)
+        return [Entry(table, e.part, None, e.path) for e in folders] + written, now
 
     def conform(self, table: str, df: DataFrame, *also: str) -> DataFrame:
         """The table's columns in its types; columns it lacks are dropped but for `also`, missing ones are NULL."""
@@ -177,41 +204,50 @@ class Store:
 
     def rewrite(
         self, table: str, touched: DataFrame, change: Callable[[DataFrame], DataFrame], pending: list[Entry] | None = None,
+        keys: list[str] | None = None, moves: bool = False,
     ) -> list[Entry]:
         """Rows changed in place. Only the parts that hold a touched row are read and written.
 
-        The change must not move rows to another part.
+        Where the touched rows do not tell the parts, or a change may move rows to another one (`moves`), the folders that
+        hold a touched row's `keys` are; without keys the whole table is.
         """
         part, told_by = self.part(table)
-        if part is None or not set(told_by) <= set(touched.columns):
-            return self._write(
-                table, self.conform(table, change(self.read(table, pending=pending))), full=True, touched=self._parts(table, pending))[0]
-        found = touched.select(part).distinct().collect()  # part names, like a listing
-        parts = [NO_PART if r[0] is None else r[0] for r in found]
-        if not parts:
-            return []
-        rows = self.conform(table, change(self.read(table, parts=parts, pending=pending)))
-        return self._write(table, rows, full=True, touched=parts)[0]
+        if part is not None and set(told_by) <= set(touched.columns) and not moves:
+            found = touched.select(part).distinct().collect()  # part names, like a listing
+            parts = [NO_PART if r[0] is None else r[0] for r in found]
+            if not parts:
+                return []
+            rows = self.conform(table, change(self.read(table, parts=parts, pending=pending)))
+            return self._write(table, rows, full=True, touched=parts)[0]
+        if keys:
+            held = self._holding(table, touched, keys, pending)
+            return self._change(table, held, self.conform(table, change(self._rows(table, held))))[0] if held else []
+        return self._write(table, self.conform(table, change(self.read(table, pending=pending))), full=True, touched=self._parts(table, pending))[0]
 
     def merge(self, table: str, source: DataFrame, keys: list[str], mode: str, pending: list[Entry] | None = None) -> list[Entry]:
         """Rows updated, inserted or deleted by key (see operators.merge). `source` should be staged.
 
-        A table kept apart by its keys is read and written in the parts that a source key falls in. Where an update
-        sets the column that tells the part without it being a key, rows may move, and the whole table is written.
+        A table kept apart by its keys is read and written in the parts that a source key falls in, any other in the
+        folders that hold one; there rows may move to another part.
         """
         merge.check_sources(self.read(table, pending=pending), source, keys)
         told_by = self.part(table)[1]
         typed = self.conform(table, source).select(*[c for c in source.columns if c in self.schema(table).names])
-        touched = typed.select(*told_by) if told_by and set(told_by) <= set(keys) else typed.limit(0).select(F.lit(None).alias("_any"))
-        return self.rewrite(table, touched, lambda rows: merge.merge_rows(rows, typed, keys, mode), pending)
+        if told_by and set(told_by) <= set(keys):
+            return self.rewrite(table, typed.select(*told_by), lambda rows: merge.merge_rows(rows, typed, keys, mode), pending)
+        held = self._holding(table, typed, keys, pending)
+        if not held and mode != merge.MERGE:
+            return []
+        return self._change(table, held, self.conform(table, merge.merge_rows(self._rows(table, held), typed, keys, mode)))[0]
 
     def replace(
         self, table: str, incoming: DataFrame, keys: list[str], promoted: int, pending: list[Entry] | None = None,
     ) -> tuple[list[Entry], int]:
         """Block replacement: (written folders, replaced rows).
 
-        A partitioned table reads and rewrites the touched parts only. `incoming` should be staged:
-        it is read for its parts, for its keys and for its rows. `promoted` is its row count.
+        A table kept apart by its keys reads and rewrites the touched parts only, any other the folders that hold
+        an incoming key. `incoming` should be staged: it is read for its parts, for its keys and for its rows.
+        `promoted` is its row count.
         """
         if not keys:
             return self.append(table, incoming), 0
@@ -221,10 +257,11 @@ class Store:
             found = rows.select(part).distinct().collect()  # part names, like a listing
             touched = [NO_PART if r[0] is None else r[0] for r in found]
             target = self.read(table, parts=touched, pending=pending)
+            entries, now = self._write(table, replace.replace_block(target, rows, keys), full=True, touched=touched)
         else:
-            touched = self._parts(table, pending)
-            target = self.read(table, pending=pending)
-        entries, now = self._write(table, replace.replace_block(target, rows, keys), full=True, touched=touched)
+            held = self._holding(table, rows, keys, pending)
+            target = self._rows(table, held)
+            entries, now = self._change(table, held, replace.replace_block(target, rows, keys))
         return entries, target.count() + promoted - now
 
     def _parts(self, table: str, pending: list[Entry] | None = None) -> list[str]:
@@ -301,6 +338,12 @@ def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return [(f.getPath().getName(), f.getModificationTime()) for f in files.listStatus(folder) if f.isDirectory()] if files.exists(folder) else []
 
 
+def _plain(spark: SparkSession, path: str) -> str:
+    """A path without scheme and host."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath()
+
+
 def _subfolders(spark: SparkSession, path: str) -> list[str]:
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)

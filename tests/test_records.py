@@ -150,3 +150,28 @@ def test_a_killed_writer_leaves_its_run_open(spark, shelf, monkeypatch):
     assert records.open_runs(seen).count() == 0
     shelf.refresh()
     assert history(shelf) == [("loan.crear", "OK", 1), ("loan.editar", "ERROR", 1)]
+
+
+def test_edits_of_tables_without_parts_write_the_folders_of_their_rows(spark, tmp_path):
+    """The id tells the folders; an edit that moves a row to another part leaves the folders of the others, too."""
+    entity = {"entidad": "tag", "tabla": "tag", "campos": {"id": {"tipo": "uuid", "sistema": True}, "word": {"tipo": "varchar"}, "shelf": {"tipo": "varchar"}}}
+    schema = "id string, word string, shelf string, ejecucion_id bigint"
+    store = load.prepare(Store(spark, str(tmp_path / "s")))
+    store.create("tag", schema)
+    for row in (("1", "old", "A", None), ("2", "old", "B", None), ("3", "old", "C", 8)):
+        store.publish(store.append("tag", spark.createDataFrame([row], schema)))
+    first, second, third = [e.path for e in store._live("tag")]
+    records.edit(spark, store, entity, spark.createDataFrame([("1", 1, {"word": "new"})], CHANGE), at("2025-01-01"))
+    records.delete(spark, store, entity, spark.createDataFrame([("3",), ("none",)], "id string"))
+    live = {e.path for e in store._live("tag")}
+    assert second in live and not live & {first, third}
+    assert {(r["id"], r["word"]) for r in store.read("tag").collect()} == {("1", "new"), ("2", "old")}
+
+    parted = load.prepare(Store(spark, str(tmp_path / "parted")))
+    parted.create("tag", schema, part_col="shelf")
+    parted.publish(parted.append("tag", spark.createDataFrame([("1", "w", "A", None), ("2", "w", "B", None), ("3", "w", "C", None)], schema)))
+    before = {e.part: e.path for e in parted._live("tag")}
+    records.edit(spark, parted, entity, spark.createDataFrame([("1", 1, {"shelf": "B"})], CHANGE), at("2025-01-01"))
+    after = [e.path for e in parted._live("tag")]
+    assert before["B"] in after and before["C"] in after and before["A"] not in after and len(after) == 3
+    assert {(r["id"], r["shelf"]) for r in parted.read("tag").collect()} == {("1", "B"), ("2", "B"), ("3", "C")}
