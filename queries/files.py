@@ -63,6 +63,25 @@ def csv_quoted(t: Tables) -> DataFrame:
     return scan_csv(t.spark, folder, ";", pattern="part-*").rows.select("doc_id", "body", "lang")
 
 
+@query("""
+SELECT CASE WHEN o_orderkey % 100 = 0 THEN 'unclosed' WHEN o_orderkey % 100 = 50 THEN 'two lines' ELSE 'plain' END AS kind,
+       count(*) AS rows, sum(o_orderkey) AS keys, sum(length(o_orderstatus || o_orderpriority)) AS chars
+FROM orders GROUP BY 1""")
+def csv_stray_quotes(t: Tables) -> DataFrame:
+    """All orders as text, of each hundred one with a quote that nothing closes and one with a line break in a cell: no quote takes
+    the lines after it."""
+    path, key = new_folder(t.spark, "stray"), F.col("o_orderkey")
+    quote = F.when(key % 100 == 0, F.lit('"')).when(key % 100 == 50, F.lit('"')).otherwise("")
+    cell = F.concat("o_orderstatus", F.when(key % 100 == 50, F.lit("\n")).otherwise(""), "o_orderpriority", F.when(key % 100 == 50, F.lit('"')).otherwise(""))
+    body = t.orders.select(F.floor(key / KEYS_A_FILE).alias("part"), key.alias("at"), F.concat(key.cast("string"), F.lit(";"), quote, cell).alias("line"))
+    top = body.select("part").distinct().select("part", F.lit(-1).cast("bigint").alias("at"), F.lit("key;cell").alias("line"))
+    write_parts(top.unionByName(body), path)
+    rows = scan_csv(t.spark, path, ";", pattern="part-*", record_lines=3).rows
+    kind = F.when(F.col("_unclosed"), "unclosed").when(F.contains("cell", F.lit("\n")), "two lines").otherwise("plain")
+    return rows.groupBy(kind.alias("kind")).agg(
+        F.count("*").alias("rows"), F.sum(F.col("key").cast("bigint")).alias("keys"), F.sum(F.char_length(F.replace("cell", F.lit("\n"), F.lit("")))).alias("chars"))
+
+
 def columns_as_csv(rows: DataFrame, path: str) -> None:
     rows.write.options(header=True, sep=";", **PLAIN).csv(path)
 

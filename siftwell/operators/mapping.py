@@ -174,10 +174,11 @@ def map_rows(
     Columns that start with an underscore are row metadata and travel along untouched.
     `_split` names the input partition. Being non-deterministic to the optimizer, it keeps a filter
     on `_reject` above the projections; pushed below them it would repeat every conversion.
+    A row that the scan marked `_unclosed` is rejected as a whole, without a field.
     """
     check_mapping(mapping)
     sources = [c for c in rows.columns if not c.startswith("_")]
-    meta = [c for c in rows.columns if c.startswith("_") and c not in ("_dates", "_cells", "_split")]
+    meta = [c for c in rows.columns if c.startswith("_") and c not in ("_dates", "_cells", "_split", "_unclosed")]
     declared = {f["origen"] for f in mapping if "origen" in f}
     undeclared = sorted(c for c in sources if c not in declared)
 
@@ -186,6 +187,8 @@ def map_rows(
     rejects = [
         F.when(F.col(f"_e{i}").isNotNull(), F.struct(F.lit(f["destino"]).alias("field"), F.col(f"_e{i}").alias("reason")))
         for i, f in enumerate(mapping)]
+    if "_unclosed" in rows.columns:
+        rejects.insert(0, F.when(F.col("_unclosed"), F.struct(F.lit(None).cast("string").alias("field"), F.lit("quote not closed").alias("reason"))))
     if undeclared and "extra_fields" not in {f["destino"] for f in mapping}:
         fields.append(as_json(undeclared).alias("extra_fields"))
     if run_id is not None:

@@ -137,9 +137,30 @@ def parse_cells(value: Column, delimiter: str) -> Column:
         .when(F.contains(value, F.lit('"')), F.transform(found, unquoted)).otherwise(plain))
 
 
-def join_records(lines: DataFrame, delimiter: str) -> DataFrame:
+def _closed_within(marks: DataFrame, bound: int) -> DataFrame:
+    """Marks in which a line opens a record only if that is closed within `bound` lines.
+
+    From inside a cell, the next line that does not stay inside closes it, whoever opened it. So the length of what a line
+    would open follows from the first closing line after it, in its split or, by one row per split, in a later one.
+    """
+    closing = F.when(F.col("_in") == 0, F.col("_line"))
+    behind = Window.partitionBy("_file", "_block").orderBy(F.desc("_line")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("_file").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    splits = marks.groupBy("_file", "_block").agg(F.min(closing).alias("_first")).select(
+        F.col("_file").alias("_f"), F.col("_block").alias("_b"), F.last("_first", True).over(later).alias("_next"))
+    ahead = marks.withColumn("_close", F.last(closing, True).over(behind))
+    placed = key_join(ahead, splits, [(F.col("_file"), F.col("_f")), (F.col("_block"), F.col("_b"))], "inner")
+    short = F.coalesce(F.coalesce("_close", "_next") - F.col("_line") < bound, F.lit(False))
+    out = F.when(short, F.col("_out")).otherwise(0)
+    return placed.select("_file", "_block", "_line", out.alias("_out"), "_in").filter("NOT (_out = 0 AND _in = 1)")
+
+
+def join_records(lines: DataFrame, delimiter: str, bound: int | None = None) -> DataFrame:
     """Lines (_file, _block, _line, value) put together to records, each under the number of its first line.
 
+    With a `bound`, a quote that is not closed within so many lines opens nothing: its line is a record of its own that
+    `_unclosed` tells apart, and the next line begins a new one. Without it, one stray quote takes the rest of a file.
+
     A line break inside a quoted cell does not end a record. What a line does to the state of being inside
     a cell is one of four things: it keeps it, turns it, or sets it to either. So the state before every
     quoted line follows from the last line that sets it and the turns since, within its split, and from one
@@ -149,8 +170,12 @@ def join_records(lines: DataFrame, delimiter: str) -> DataFrame:
     quoted = lines.filter(F.contains("value", F.lit('"'))).select(
         "_file", "_block", "_line", F.col("value").rlike(quoting.opens).cast("int").alias("_out"), F.col("value").rlike(quoting.stays).cast("int").alias("_in"))
     marks = stage(quoted.filter("NOT (_out = 0 AND _in = 1)"), "quotes")
+    unclosed = [] if bound is None else [(F.contains("value", F.lit('"')) & F.col("value").rlike(quoting.opens)).alias("_unclosed")]
+    whole = [F.lit(False).alias("_unclosed") for _ in unclosed]
     if marks.filter("_out = 1").limit(1).count() == 0:
-        return lines
+        return lines.select("*", *whole)
+    if bound is not None:
+        marks = stage(_closed_within(marks, bound), "closed")
     in_split = Window.partitionBy("_file", "_block").orderBy("_line")
     before = in_split.rowsBetween(Window.unboundedPreceding, -1)
     marks = marks.withColumn("_turn", F.when(F.col("_out") > F.col("_in"), 1).otherwise(0)).withColumn("_turns", F.sum("_turn").over(in_split))
@@ -180,10 +205,10 @@ def join_records(lines: DataFrame, delimiter: str) -> DataFrame:
     opener = F.coalesce(F.last(F.when(F.col("_opened") == 1, F.col("_line")), True).over(in_split), F.col("_from"))
     owned = told.select("_file", "_block", "_line", "value", F.when((now == 1) | (F.col("_opened") == 0), opener).alias("_record"))
     owned = stage(owned, "owned")
-    single = owned.filter("_record IS NULL").select("_file", "_block", "_line", "value")
+    single = owned.filter("_record IS NULL").select("_file", "_block", "_line", "value", *unclosed)
     parts = F.sort_array(F.collect_list(F.struct("_line", "value")))
     several = owned.filter("_record IS NOT NULL").groupBy("_file", "_record").agg(F.min("_block").alias("_block"), parts.alias("_parts")).select(
-        "_file", "_block", F.col("_record").alias("_line"), F.array_join(F.col("_parts.value"), "\n").alias("value"))
+        "_file", "_block", F.col("_record").alias("_line"), F.array_join(F.col("_parts.value"), "\n").alias("value"), *whole)
     return single.unionByName(several)
 
 
@@ -195,7 +220,7 @@ def _names(header: str, delimiter: str) -> list[str]:
 
 def scan_csv(
     spark: SparkSession, paths: str | list[str], delimiter: str, header_line: int = 1,
-    encoding: str = "utf-8-sig", pattern: str | None = None, only: DataFrame | None = None,
+    encoding: str = "utf-8-sig", pattern: str | None = None, only: DataFrame | None = None, record_lines: int | None = None,
 ) -> Scan:
     """Files of a folder in one scan; line `header_line` of each file names its columns.
 
@@ -203,6 +228,8 @@ def scan_csv(
     when a file repeats a name. Lines above the header are not rows. A blank line is a row of NULLs.
     A quoted cell may hold line breaks, which are read as line feeds. A file without the header line is an error;
     one without a byte is not listed by Spark's readers and so not seen. `only` (uri) leaves the other files unread.
+    With `record_lines`, rows have `_unclosed`: a quote that is not closed within so many lines, which the mapping rejects;
+    the row has the cells of that line, and the next line begins a new row.
     """
     lines = number_lines(read_lines(spark, paths, pattern, encoding, only))
     headers = stage(lines.filter((F.col("_block") == 0) & (F.col("_line") == header_line)).select("_file", F.col("value").alias("_header")), "headers")
@@ -217,12 +244,13 @@ def scan_csv(
     named = {layout: _names(layout, delimiter) for layout in layouts}
     columns = [c for c in dict.fromkeys(n for names in named.values() for n in names) if c]
 
-    body = join_records(lines.filter(F.col("_line") > header_line), delimiter)
+    body = join_records(lines.filter(F.col("_line") > header_line), delimiter, record_lines)
+    flags = [] if record_lines is None else ["_unclosed"]
     cells = parse_cells(F.col("value"), delimiter)
     if len(layouts) == 1:
         place = {name: i for i, name in enumerate(named[layouts[0]])}
-        parsed = body.select("_file", F.col("_line").alias("_row_num"), cells.alias("_cell"))
-        rows = parsed.select("_file", "_row_num", *[F.get("_cell", F.lit(place[c])).alias(c) for c in columns])
+        parsed = body.select("_file", F.col("_line").alias("_row_num"), *flags, cells.alias("_cell"))
+        rows = parsed.select("_file", "_row_num", *flags, *[F.get("_cell", F.lit(place[c])).alias(c) for c in columns])
         return Scan(rows, lines, columns)
 
     known = spark.createDataFrame(
@@ -230,8 +258,8 @@ def scan_csv(
         "_layout string, _place map<string,int>")
     places = headers.join(known, F.col("_header") == F.col("_layout")).select(F.col("_file").alias("_f"), "_place")
     placed = key_join(body, places, [(F.col("_file"), F.col("_f"))], "inner")
-    parsed = placed.select("_file", F.col("_line").alias("_row_num"), "_place", cells.alias("_cell"))
-    rows = parsed.select("_file", "_row_num", *[F.get("_cell", F.try_element_at("_place", F.lit(c))).alias(c) for c in columns])
+    parsed = placed.select("_file", F.col("_line").alias("_row_num"), *flags, "_place", cells.alias("_cell"))
+    rows = parsed.select("_file", "_row_num", *flags, *[F.get("_cell", F.try_element_at("_place", F.lit(c))).alias(c) for c in columns])
     return Scan(rows, lines, columns)
 
 

@@ -68,6 +68,15 @@ def test_rejected_line_is_kept_with_its_reason(gauges):
     assert {n: r["campo_implicado"] for n, r in kept.items()} == {2: "day", 4: "mm"} and '"rain":"much"' in kept[4]["contenido_raw"]
 
 
+def test_a_quote_that_is_not_closed_is_one_reject(gauges):
+    """The lines after it are rows again, and a date on its own line is no evidence."""
+    gauges.put("a.txt", 'N1|2024.02.28|1|', '"N2|not a date|1|', "N3|2024.02.28|3|", *[f"N4|2024.02.{i}|4|" for i in range(10, 15)])
+    done, = gauges.run(changes={"lineas_registro": 3})
+    assert [(f["rows_read"], f["rows_ok"], f["rows_rejected"]) for f in done.files] == [(8, 7, 1)]
+    kept, = gauges.store.read(load.REJECTS).collect()
+    assert (kept["num_fila"], kept["motivo"], kept["campo_implicado"]) == (3, "quote not closed", None)
+
+
 def test_content_loaded_once_whatever_its_name(gauges):
     gauges.put("a.txt", "N1|2024.01.01|1|")
     gauges.put("b.txt", "N1|2024.01.01|1|")

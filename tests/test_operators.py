@@ -333,6 +333,73 @@ def test_quotes_of_any_number(spark, tmp_path):
     assert rows[0]["t"] == "x" and rows[1]["t"] == cell.replace('""', '"') + "\n"
 
 
+def bounded_records(body: list[str], bound: int) -> list[tuple[int, str, bool]]:
+    """(first line, record, unclosed) read one line after the other, cell by cell."""
+
+    def inside_after(line: str, inside: bool) -> bool:
+        begins, at = not inside, 0
+        while at < len(line):
+            if inside and line[at] == '"':
+                if line[at + 1:at + 2] == '"':
+                    at += 1
+                else:
+                    inside = False
+            elif not inside:
+                inside = begins and line[at] == '"'
+                begins = line[at] == ";"
+            at += 1
+        return inside
+
+    out, at = [], 0
+    while at < len(body):
+        inside, end = False, at
+        for end in range(at, min(at + bound, len(body))):
+            inside = inside_after(body[end], inside)
+            if not inside:
+                break
+        end = at if inside else end
+        out.append((at + 2, "\n".join(body[at:end + 1]), inside))
+        at = end + 1
+    return out
+
+
+@pytest.mark.parametrize("bound, split", [(1, 60), (3, 45), (4, 10_000)])
+def test_records_of_bounded_length(spark, tmp_path, split, bound):
+    """A quote not closed within the bound is a row of its own, and the next line begins a new one, as often as it happens."""
+    import random
+
+    draw, expected = random.Random(7), {}
+    for i in range(4):
+        body = ["".join(draw.choice('"";ab') for _ in range(draw.randrange(1, 6))) for _ in range(25)]
+        (tmp_path / f"{i}.csv").write_text("k;t\n" + "\n".join(body) + "\n")
+        expected[f"{i}.csv"] = [(line, unclosed) for line, _, unclosed in bounded_records(body, bound)]
+    assert sum(u for rows in expected.values() for _, u in rows) >= 3
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = text_files.scan_csv(spark, str(tmp_path), ";", pattern="*.csv", record_lines=bound).rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {}
+    for r in sorted(rows, key=lambda r: r["_row_num"]):
+        got.setdefault(r["_file"].rsplit("/", 1)[-1], []).append((r["_row_num"], r["_unclosed"]))
+    assert got == expected
+
+
+def test_one_stray_quote_is_one_reject(spark, tmp_path):
+    from siftwell.operators import mapping
+
+    lines = [f'{i};"open' if i == 500 else f'{i};"two\nlines"' if i % 100 == 7 else f"{i};x" for i in range(3000)]
+    (tmp_path / "a.csv").write_text("k;t\n" + "\n".join(lines) + "\n")
+    rows = text_files.scan_csv(spark, str(tmp_path / "a.csv"), ";", record_lines=5).rows
+    mapped = mapping.map_rows(rows, [{"origen": "k", "destino": "k", "operaciones": [{"tipo": "cast", "tipo_destino": "integer"}]}, {"origen": "t", "destino": "t", "operaciones": []}])
+    bad = mapping.rejected_rows(mapped).collect()
+    assert [(r["field"], r["reason"], r["raw"]) for r in bad] == [(None, "quote not closed", '{"k":"500","t":"open"}')]
+    good = mapping.valid_rows(mapped).collect()
+    assert len(good) == 2999 and "_unclosed" not in mapped.columns
+    assert {r["k"] for r in good} == set(range(3000)) - {500} and sum(r["t"] == "two\nlines" for r in good) == 30
+
+
 def test_a_short_file_is_an_error(spark, tmp_path):
     (tmp_path / "a.csv").write_text("note\nk;t\n1;2\n")
     (tmp_path / "b.csv").write_text("only\n")
