@@ -161,10 +161,12 @@ class Store:
             return []
         file = F.parse_url(F.col("_metadata.file_path"), F.lit("PATH"))
         folder = F.regexp_extract(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), "(?s)^(.*)/[^/]*$", 1)
-        held = self._rows(table, live).select(*keys, folder.alias("_folder"))
-        found = replace.replaced_rows(replace.within_range(held, incoming, keys), incoming, keys).select("_folder").distinct().collect()
-        names = {r[0] for r in found}
-        return [e for e in live if _plain(self.spark, e.path) in names]
+        rows = self._rows(table, live).select(*keys, folder.alias("_folder"))
+        found = replace.replaced_rows(replace.within_range(rows, incoming, keys), incoming, keys).select("_folder").distinct().collect()
+        names, held = {r[0] for r in found}, {_plain(self.spark, e.path): e for e in live}
+        if names - held.keys():
+            raise ValueError(f"files outside the folders of {table}: {', '.join(sorted(names - held.keys()))}")
+        return [e for path, e in held.items() if path in names]
 
     def _change(self, table: str, folders: list[Entry], rows: DataFrame) -> tuple[list[Entry], int]:
         """`rows` in new folders in the place of some folders; all others stay as they are."""
