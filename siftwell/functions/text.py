@@ -61,13 +61,27 @@ def _fold_tables() -> tuple[str, str, str, dict[str, str]]:
     return "".join(source), "".join(target), "".join(removed), expansions
 
 
+SLOTS = 0xF0000  # private characters that number the expanded ones
+
+
 def fold_accents(c: Column) -> Column:
-    """Compatibility decomposition without the combining marks, for text outside ASCII only."""
+    """Compatibility decomposition without the combining marks, for text outside ASCII only.
+
+    Both tables are looked up by hash: an expanded character is translated to a private one, whose code is the place of
+    its expansion. Runs of ASCII are one element of the looked-up array.
+    """
     source, target, removed, expansions = _fold_tables()
-    table = F.create_map(*[F.lit(x) for pair in expansions.items() for x in pair])
-    wide = F.concat_ws("", F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)))
-    rare = "[" + "".join(expansions) + "]"
-    expanded = F.when(c.rlike(rare), wide).otherwise(c)
+    rare = "".join(expansions)
+    slots = "".join(chr(SLOTS + i) for i in range(len(expansions)))
+    folds = F.split(F.lit("\n".join(expansions.values())), "\n")
+
+    def expand(x: Column) -> Column:
+        slot = F.translate(x, rare, slots)
+        return F.when(slot == x, x).otherwise(F.get(folds, F.ascii(slot) - SLOTS))
+
+    pieces = F.regexp_extract_all(c, F.lit(r"[\x00-\x7f]+|[^\x00-\x7f]"), F.lit(0))
+    wide = F.concat_ws("", F.transform(pieces, lambda x: F.when(x <= "\x7f", x).otherwise(expand(x))))
+    expanded = F.when(F.translate(c, rare, "") != c, wide).otherwise(c)
     folded = F.translate(expanded, source + removed, target)
     return F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(c)
 
