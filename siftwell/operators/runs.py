@@ -39,9 +39,14 @@ def with_principal(runs: DataFrame) -> DataFrame:
 
 
 def principal_of_rows(rows: DataFrame, runs: DataFrame, run_col: str = "ejecucion_id") -> DataFrame:
-    """Adds the principal of the run that created each row; NULL for rows older than the log."""
+    """Adds the principal of the run that created each row; NULL for rows older than the log.
+
+    Those without a run are not joined: a shuffle would send all of them to one task.
+    """
     side = with_principal(runs).select(F.col("run_id").alias("_run"), F.col("principal"))
-    return key_join(rows, side, [(F.col(run_col), F.col("_run"))]).drop("_run")
+    written = key_join(rows.filter(F.col(run_col).isNotNull()), side, [(F.col(run_col), F.col("_run"))]).drop("_run")
+    older = rows.filter(F.col(run_col).isNull()).select("*", F.lit(None).cast(side.schema["principal"].dataType).alias("principal"))
+    return written.union(older)
 
 
 def history(runs: DataFrame, principal: int) -> DataFrame:

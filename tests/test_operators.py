@@ -1,6 +1,7 @@
 """Operators on small frames, and the properties that matter at scale."""
 
 import datetime as dt
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,19 @@ from siftwell.session import key_join, shared_folder, stage, staging
 from siftwell.sinks import outputs, snapshot
 from siftwell.sources import files, text_files
 
+
+@contextmanager
+def settings_of(spark, wanted):
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 DAY_MONTH = [{"target": "d", "source": "d", "formats": ["%d/%m/%Y", "%m/%d/%Y"], "epoch": "1900"}]
 
 
@@ -446,3 +460,17 @@ def test_sampled_rows(spark):
     first, more = profile.sample_rows(rows, 4, F.col("n"))
     assert more and [r["n"] for r in first.collect()] == [0, 1, 2, 3]
     assert profile.sample_rows(rows, 10, F.col("n"))[1] is False
+
+
+def test_rows_older_than_the_log_stay_apart(spark):
+    """Rows without a run are not all sent to one task, and keep a NULL principal beside a run without a number."""
+    rows = spark.range(0, 900, 1, 9).select("id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("ejecucion_id"))
+    log = spark.createDataFrame([(0, None), (3, 0), (3, 0), (None, 7)], "run_id bigint, principal bigint")
+    with settings_of(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        found = runs.principal_of_rows(rows, log)
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+    assert found.columns == ["id", "ejecucion_id", "principal"]
+    assert sorted((r["id"], r["principal"]) for r in got if r["principal"] is not None) == [(0, 0), (3, 0), (3, 0)]
+    assert sorted(r["id"] for r in got) == sorted([*range(900), 3])
+    tasks = [r["task"] for r in got if r["ejecucion_id"] is None]
+    assert max(map(tasks.count, set(tasks))) < 200
