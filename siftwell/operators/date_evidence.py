@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.dates import FIRST_ABOVE_12_RE, SECOND_ABOVE_12_RE, ambiguous_pair, parse_with, serial_number
 from siftwell.functions.text import blank_to_null
-from siftwell.session import key_join
+from siftwell.session import key_join, stage
 
 CONTRADICTORY = "contradictory evidence: some values can only be day/month and others only month/day"
 NO_EVIDENCE = "no evidence in the column to tell day/month from month/day"
@@ -57,13 +57,14 @@ def settle_dates(rows: DataFrame, fields: list[dict], file_col: str = "_file") -
     """One row per file with `_dates`, a struct of (mode, format, error) per date field.
 
     Counts and booleans only, so each input task sends one small row per file whatever the sizes.
-    The texts are stripped in a projection below the aggregation, once for all tests on them.
+    The texts are stripped in a projection below the aggregation, once for all tests on them. The result is written:
+    Spark then knows how small it is and sends it to the rows, which a shuffle by their few files would gather in as few tasks.
     """
     texts = rows.select(
         file_col, *[blank_to_null(F.col(f"`{f['source']}`").cast("string")).alias(f"_t{i}") for i, f in enumerate(fields)])
     settled = [_settle(F.col(f"_t{i}"), f["formats"], f["epoch"]).alias(f["target"]) for i, f in enumerate(fields)]
-    return texts.groupBy(file_col).agg(*settled).select(
-        F.col(file_col), F.struct(*[f["target"] for f in fields]).alias("_dates"))
+    return stage(texts.groupBy(file_col).agg(*settled).select(
+        F.col(file_col), F.struct(*[f["target"] for f in fields]).alias("_dates")), "dates")
 
 
 def attach_dates(rows: DataFrame, settled: DataFrame, file_col: str = "_file") -> DataFrame:

@@ -474,3 +474,29 @@ def test_rows_older_than_the_log_stay_apart(spark):
     assert sorted(r["id"] for r in got) == sorted([*range(900), 3])
     tasks = [r["task"] for r in got if r["ejecucion_id"] is None]
     assert max(map(tasks.count, set(tasks))) < 200
+
+
+def test_settled_dates_move_no_rows(spark):
+    """Rows of two files stay where they are when the dates of their files are attached."""
+    rows = spark.range(0, 400, 1, 4).select(
+        F.concat(F.lit("f"), F.col("id") % 2).alias("_file"), F.col("id").alias("_row_num"), F.lit("25/01/2020").alias("d"))
+    fields = [{"target": "d", "source": "d", "formats": ["%d/%m/%Y", "%m/%d/%Y"], "epoch": "1900"}]
+    with settings_of(spark, {"spark.sql.adaptive.enabled": "false"}):
+        attached = date_evidence.attach_dates(rows, date_evidence.settle_dates(rows, fields))
+        per_task = attached.groupBy(F.spark_partition_id().alias("t")).agg(F.countDistinct("_file").alias("files"), F.count("*").alias("n")).collect()
+        formats = {r[0] for r in attached.select("_dates.d.format").collect()}
+    assert formats == {"%d/%m/%Y"}
+    assert sorted((r["files"], r["n"]) for r in per_task) == [(2, 100)] * 4
+
+
+def test_settled_dates_move_no_rows(spark):
+    """Rows of two files stay where they are when the dates of their files are attached."""
+    rows = spark.range(0, 400, 1, 4).select(
+        F.concat(F.lit("f"), F.col("id") % 2).alias("_file"), F.col("id").alias("_row_num"), F.lit("25/01/2020").alias("d"))
+    fields = [{"target": "d", "source": "d", "formats": ["%d/%m/%Y", "%m/%d/%Y"], "epoch": "1900"}]
+    with settings_of(spark, {"spark.sql.adaptive.enabled": "false"}):
+        attached = date_evidence.attach_dates(rows, date_evidence.settle_dates(rows, fields))
+        per_task = attached.groupBy(F.spark_partition_id().alias("t")).agg(F.countDistinct("_file").alias("files"), F.count("*").alias("n")).collect()
+        formats = {r[0] for r in attached.select("_dates.d.format").collect()}
+    assert formats == {"%d/%m/%Y"}
+    assert sorted((r["files"], r["n"]) for r in per_task) == [(2, 100)] * 4
