@@ -127,19 +127,27 @@ class Pieces:
 
 
 class Known(dict):
-    """Words encoded before, up to a bound."""
+    """Words encoded before, up to a bound: when half of it is full, those not used since the last time give way."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        ids = self.pieces.word(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.pieces.word(word)
+        if len(self) >= KEPT_WORDS // 2:
+            self.older = dict(self)
+            super().clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
 
 _loaded: dict[str, Pieces] = {}
 

@@ -48,3 +48,17 @@ def test_bounded_memory_gives_the_same(monkeypatch, library):
     for text in TRICKY:
         assert own.encode(text) == library.encode(text)
     assert len(own.known) <= 3
+
+
+def test_frequent_words_are_kept(monkeypatch):
+    """A word that returns among many others is encoded once; before, a full memory was emptied with it."""
+    monkeypatch.setattr(pieces, "KEPT_WORDS", 40)
+    own = pieces.Pieces(MODEL)
+    encoded, word = [], own.word
+    monkeypatch.setattr(own, "word", lambda text: encoded.append(text) or word(text))
+    for i in range(300):
+        assert own.encode(f"often rare{'x' * i}") == own.library.encode(f"often rare{'x' * i}")
+        assert len(own.known) + len(own.known.older) <= 40
+    assert sum("often" in text for text in encoded) == 1
+    own.known.clear()
+    assert not own.known and not own.known.older
