@@ -101,8 +101,8 @@ def parse_with(text: Column, fmt: str) -> Column:
 
 
 def serial_number(text: Column) -> Column:
-    """Spreadsheet day number, NULL unless it is a number in the plausible range."""
-    number = F.when(~text.rlike(PARTS_RE), parse_float(text))
+    """Spreadsheet day number, NULL unless it is a number in the plausible range. No number has a slash, which is found without a pattern."""
+    number = F.when(~F.contains(text, F.lit("/")) & ~text.rlike(PARTS_RE), parse_float(text))
     return F.when(number.between(SERIAL_MIN, SERIAL_MAX), number)
 
 
@@ -110,6 +110,20 @@ def serial_date(text: Column, epoch: str = "1900") -> Column:
     return F.date_add(F.lit(EPOCHS[epoch]).cast("date"), F.floor(serial_number(text)).cast("int"))
 
 
+def parts_above_12(text: Column) -> tuple[Column, Column]:
+    """Whether the first and the second part of a stripped day/month text are above 12.
+
+    Where marks stand behind two and five characters, a part that is at most 12 is told by its two characters, without the pattern.
+    """
+
+    def mark(at: int) -> Column:
+        return F.substring(text, at, 1).isin("/", "-", ".")
+
+    first = F.when(mark(3) & (text < "13"), F.lit(False)).otherwise(text.rlike(FIRST_ABOVE_12_RE))
+    second = F.when(mark(3) & mark(6) & (F.substring(text, 4, 2) < "13"), F.lit(False)).otherwise(text.rlike(SECOND_ABOVE_12_RE))
+    return first, second
+
+
 def ambiguous_pair(formats: list[str]) -> tuple[str, str] | None:
     """(day first, month first) when the two candidates differ in nothing else."""
     for pair in AMBIGUOUS_PAIRS:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.dates import FIRST_ABOVE_12_RE, SECOND_ABOVE_12_RE, ambiguous_pair, parse_with, serial_number
+from siftwell.functions.dates import ambiguous_pair, parse_with, parts_above_12, serial_number
 from siftwell.functions.text import blank_to_null
 from siftwell.session import key_join, stage
 
@@ -40,8 +40,7 @@ def _settle(text: Column, formats: list[str], epoch: str) -> Column:
     if len(formats) == 1:
         rest = _resolution("format", formats[0])
     elif pair:
-        day_first = _any(text.rlike(FIRST_ABOVE_12_RE))
-        month_first = _any(text.rlike(SECOND_ABOVE_12_RE))
+        day_first, month_first = (_any(above) for above in parts_above_12(text))
         rest = (
             F.when(day_first & month_first, _resolution(None, None, CONTRADICTORY))
             .when(day_first, _resolution("format", pair[0]))
@@ -67,7 +66,13 @@ def settle_dates(rows: DataFrame, fields: list[dict], file_col: str = "_file") -
         F.col(file_col), F.struct(*[f["target"] for f in fields]).alias("_dates")), "dates")
 
 
-def attach_dates(rows: DataFrame, settled: DataFrame, file_col: str = "_file") -> DataFrame:
+def attach_dates(rows: DataFrame, settled: DataFrame, file_col: str = "_file", every_file: bool = False) -> DataFrame:
+    """Rows with the `_dates` of their file. With `every_file`, all rows that count belong to a settled file: where the files agree,
+    their one resolution is a constant, no row is looked up and the formats that did not hold are not planned."""
+    if every_file:
+        agreed = settled.select("_dates").distinct().limit(2).collect()
+        if len(agreed) == 1:
+            return rows.withColumn("_dates", F.struct(*[_resolution(r["mode"], r["format"], r["error"]).alias(f) for f, r in agreed[0][0].asDict().items()]))
     side = settled.withColumnRenamed(file_col, "_dates_file")
     return key_join(rows, side, [(F.col(file_col), F.col("_dates_file"))]).drop("_dates_file")
 

@@ -51,7 +51,8 @@ def read_lines(
     lines = reader.text(paths).select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"), _decoded(F.col("value"), encoding).alias("value"))
-    return stage(lines if only is None else of_files(lines, only), "lines")
+    lines = lines if only is None else of_files(lines, only)
+    return stage(lines.withColumn("_split", F.xxhash64("_file", "_block")), "lines")
 
 
 ENTRIES = 1 << 23  # files whose hashes are sent to every task: 64 MB of them
@@ -65,19 +66,40 @@ def of_files(rows: DataFrame, only: DataFrame, file: str = "_file") -> DataFrame
     return rows.join(marks, F.xxhash64(file) == F.col("_mark"), "left_semi")
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Adds `_line`, the line number within the file, whenever the written lines are read.
+def split_places(lines: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """One written row per file split: its first position, its lines, the lines in the splits before it, and what is `told` of its file.
 
-    One row per file split is enough: its first position and the lines in the splits before it. These rows are
-    written, the numbered lines are not.
+    `told` (uri, columns) also says which files count: splits of others are left out.
     """
-    splits = lines.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    splits = lines.groupBy("_split", "_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stage(splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "splits").select(
-        F.col("_file").alias("_f"), F.col("_block").alias("_b"), "_first", "_before")
-    joined = key_join(lines, offsets, [(F.col("_file"), F.col("_f")), (F.col("_block"), F.col("_b"))], "inner")
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if told is not None:
+        splits = key_join(splits, told, [(F.col("_file"), F.col("uri"))], "inner").drop("uri")
+    return stage(splits, "splits")
+
+
+def number_lines(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """Adds `_line`, the line number within the file, and what is told of the file, whenever the written lines are read.
+
+    The rows of `places` are written, the numbered lines are not. A line finds its split by eight bytes, not by the name of its file,
+    which is compared only if two splits share their hash.
+    """
+    hashes = places.groupBy("_split").count()
+    place = places.drop("_n").withColumnsRenamed({"_split": "_s", "_file": "_f", "_block": "_b"})
+    on = [(F.col("_split"), F.col("_s"))]
+    if not hashes.filter("count > 1").isEmpty():
+        on += [(F.col("_file"), F.col("_f")), (F.col("_block"), F.col("_b"))]
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
-    return joined.select("_file", "_block", number.alias("_line"), "value")
+    told = [c for c in place.columns if c not in ("_s", "_f", "_b", "_first", "_before")]
+    return key_join(lines, place, on, "inner").select(F.col("_f").alias("_file"), F.col("_b").alias("_block"), number.alias("_line"), "value", *told)
+
+
+def line_of_files(lines: DataFrame, places: DataFrame, number: int) -> DataFrame:
+    """(_file, value): one line of every file that has it in its first split, found by its position."""
+    wanted = places.filter((F.col("_block") == 0) & (F.col("_n") >= number)).select(
+        F.col("_file").alias("_f"), (F.col("_first") + number - 1).alias("_place"))
+    return key_join(lines, wanted, [(F.col("_at"), F.col("_place"))], "inner").select(F.col("_f").alias("_file"), "value")
 
 
 @dataclass(frozen=True)
@@ -117,11 +139,16 @@ class _Quoting:
         return f'{re.escape(self.delimiter)}("{self.body}"{self._other}|"{self.body}\\z|{self._other})'
 
 
-def parse_cells(value: Column, delimiter: str) -> Column:
+def parse_cells(value: Column, delimiter: str, quotes: bool = True) -> Column:
     """Cells of a record as an array, as short as the record; an empty cell is ''. An empty record has none.
 
-    A record without quotes is simply split. In a quoted cell, text after the closing quote is kept.
+    A record without quotes is simply split; without `quotes` all are, and nothing keeps the plan from being compiled as a whole.
+    In a quoted cell, text after the closing quote is kept.
     """
+    plain = F.split(value, re.escape(delimiter), -1)
+    none = F.array().cast("array<string>")
+    if not quotes:
+        return F.when(value == "", none).otherwise(plain)
     quoting = _Quoting(delimiter)
     found = F.regexp_extract_all(F.concat(F.lit(delimiter), value), F.lit(quoting.cell), F.lit(1))
     inner = f'^"({quoting.body})"?'
@@ -131,9 +158,8 @@ def parse_cells(value: Column, delimiter: str) -> Column:
         tail = F.regexp_replace(cell, inner, "")
         return F.when(F.startswith(cell, F.lit('"')), F.concat(F.replace(body, F.lit('""'), F.lit('"')), tail)).otherwise(cell)
 
-    plain = F.split(value, re.escape(delimiter), -1)
     return (
-        F.when(value == "", F.array().cast("array<string>"))
+        F.when(value == "", none)
         .when(F.contains(value, F.lit('"')), F.transform(found, unquoted)).otherwise(plain))
 
 
@@ -221,6 +247,7 @@ def _names(header: str, delimiter: str) -> list[str]:
 def scan_csv(
     spark: SparkSession, paths: str | list[str], delimiter: str, header_line: int = 1,
     encoding: str = "utf-8-sig", pattern: str | None = None, only: DataFrame | None = None, record_lines: int | None = None,
+    told: DataFrame | None = None,
 ) -> Scan:
     """Files of a folder in one scan; line `header_line` of each file names its columns.
 
@@ -230,9 +257,12 @@ def scan_csv(
     one without a byte is not listed by Spark's readers and so not seen. `only` (uri) leaves the other files unread.
     With `record_lines`, rows have `_unclosed`: a quote that is not closed within so many lines, which the mapping rejects;
     the row has the cells of that line, and the next line begins a new row.
+    Rows carry the columns of `told` (uri, columns that begin with an underscore), and files that are not in it have none.
     """
-    lines = number_lines(read_lines(spark, paths, pattern, encoding, only))
-    headers = stage(lines.filter((F.col("_block") == 0) & (F.col("_line") == header_line)).select("_file", F.col("value").alias("_header")), "headers")
+    written = read_lines(spark, paths, pattern, encoding, only)
+    places = split_places(written, told)
+    lines = number_lines(written, places)
+    headers = stage(line_of_files(written, places, header_line).select("_file", F.col("value").alias("_header")), "headers")
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern or "*").load(paths).select(F.col("_metadata.file_path").alias("_found"))
     found = found if only is None else found.join(only, F.col("_found") == F.col("uri"), "left_semi")
     short = found.join(headers, F.col("_found") == F.col("_file"), "left_anti").orderBy("_found").take(1)
@@ -244,9 +274,15 @@ def scan_csv(
     named = {layout: _names(layout, delimiter) for layout in layouts}
     columns = [c for c in dict.fromkeys(n for names in named.values() for n in names) if c]
 
-    body = join_records(lines.filter(F.col("_line") > header_line), delimiter, record_lines)
+    below = lines.filter(F.col("_line") > header_line)
     flags = [] if record_lines is None else ["_unclosed"]
-    cells = parse_cells(F.col("value"), delimiter)
+    also = [] if told is None else [c for c in told.columns if c != "uri"]
+    quotes = not written.filter(F.contains("value", F.lit('"'))).isEmpty()
+    body = join_records(below, delimiter, record_lines) if quotes else below.select("*", *[F.lit(False).alias(c) for c in flags])
+    if not set(also) <= set(body.columns):  # records of several lines were put together by the names of their files
+        body = key_join(body, told, [(F.col("_file"), F.col("uri"))], "inner").drop("uri")
+    flags += also
+    cells = parse_cells(F.col("value"), delimiter, quotes)
     if len(layouts) == 1:
         place = {name: i for i, name in enumerate(named[layouts[0]])}
         parsed = body.select("_file", F.col("_line").alias("_row_num"), *flags, cells.alias("_cell"))

@@ -5,6 +5,7 @@ import pytest
 from siftwell.operators.contracts import Contract
 from siftwell.plans import load
 from siftwell.plans.store import Store
+from siftwell.session import staging
 from siftwell.streaming.folder import watch_folder
 
 READING = "station string, day date, mm double, wet boolean, note string, extra_fields string, ejecucion_id bigint"
@@ -121,6 +122,41 @@ def test_dry_run_leaves_no_trace(gauges):
     assert gauges.rows() == [] and gauges.runs() == []
 
 
+def test_dry_run_names_every_file_and_shows_its_first_rows(gauges):
+    gauges.put("a.txt", *[f"A{i}|2024.01.0{i}|1|" for i in range(1, 8)], "A9|soon|1|")
+    gauges.put("b.txt", "B1|2024.01.01|x|")
+    shown = load.dry_run(gauges.spark, gauges.definition)
+    name = lambda row: row["_file"].rsplit("/", 1)[-1]
+    assert shown["counts"].columns == ["_file", "rows_read", "rows_ok", "rows_rejected"]
+    assert [(name(r), *r[1:]) for r in shown["counts"].collect()] == [("a.txt", 8, 7, 1), ("b.txt", 1, 0, 1)]
+    assert sorted((name(r), r["_row_num"], r["station"]) for r in shown["valid"].collect()) == [("a.txt", i + 1, f"A{i}") for i in range(1, 6)]
+    assert sorted((name(r), r["_row_num"], r["field"]) for r in shown["rejected"].collect()) == [("a.txt", 9, "day"), ("b.txt", 2, "mm")]
+    assert "_run" not in shown["valid"].columns and "ejecucion_id" not in shown["valid"].columns
+
+
+def test_mapped_rows_know_their_file_by_number_only(gauges):
+    """No path is written, hashed or compared row by row, and files that agree on their dates need no lookup."""
+    gauges.put("a.txt", "N1|2024.01.01|1|")
+    gauges.put("b.txt", "N2|2024.01.02|2|", "N3|2024.01.03|3|")
+    with staging(gauges.spark):
+        files, scan, mapped = load._begin(gauges.spark, gauges.store, gauges.definition, {}, load.new_files(gauges.spark, gauges.store, gauges.definition))
+        assert "_file" not in mapped.columns
+        assert sorted((r["_run"], r["ejecucion_id"], r["station"]) for r in mapped.collect()) == [(1, 1, "N1"), (2, 2, "N2"), (2, 2, "N3")]
+        plan = scan.rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and "_split" in plan and "lambda" not in plan
+
+
+def test_an_undecided_date_names_its_file(gauges):
+    pair = [field("station", "gauge"), field("day", "read on", {"tipo": "date_format", "formatos": ["%d/%m/%Y", "%m/%d/%Y"]})]
+    gauges.put("a.txt", "N1|13/01/2024|1|")
+    gauges.put("b.txt", "N2|01/02/2024|1|")
+    with pytest.raises(load.UnresolvedDates, match="b.txt, day: no evidence"):
+        load.dry_run(gauges.spark, {**gauges.definition, "mapping": pair})
+    gauges.put("b.txt", "N2|01/13/2024|1|")
+    days = load.dry_run(gauges.spark, {**gauges.definition, "mapping": pair})["valid"].collect()
+    assert [str(r["day"]) for r in days] == ["2024-01-13", "2024-01-13"]
+
+
 def test_replacement_by_key(gauges):
     keys = {"campos_singularidad": ["station", "day"]}
     gauges.put("a.txt", "N1|2024.01.01|1|", "N1|2024.01.02|2|", "N4||5|")

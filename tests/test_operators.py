@@ -6,6 +6,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.functions import dates
 from siftwell.operators import changes, date_evidence, documents, draft, listing, lookup, mapping, overlap, profile, replace, retention, rules, runs, usage, variables
 from siftwell.session import key_join, shared_folder, stage, staging
 from siftwell.sinks import outputs, snapshot
@@ -500,3 +501,59 @@ def test_settled_dates_move_no_rows(spark):
         formats = {r[0] for r in attached.select("_dates.d.format").collect()}
     assert formats == {"%d/%m/%Y"}
     assert sorted((r["files"], r["n"]) for r in per_task) == [(2, 100)] * 4
+
+
+def test_lines_of_splits_that_share_a_hash_keep_their_numbers(spark):
+    lines = spark.createDataFrame(
+        [(f, b, (i << 33) + n, 7, f"{f}{b}{n}") for i, (f, b) in enumerate([("x", 0), ("x", 90), ("y", 0)]) for n in range(3)],
+        "_file string, _block bigint, _at bigint, _split bigint, value string")
+    places = text_files.split_places(lines)
+    got = {r["value"]: (r["_file"], r["_line"]) for r in text_files.number_lines(lines, places).collect()}
+    assert got == {f"{f}{b}{n}": (f, n + 1 + (3 if b else 0)) for f, b in [("x", 0), ("x", 90), ("y", 0)] for n in range(3)}
+    assert sorted(tuple(r) for r in text_files.line_of_files(lines, places, 2).collect()) == [("x", "x01"), ("y", "y01")]
+    assert text_files.line_of_files(lines, places, 4).count() == 0
+
+
+@pytest.mark.parametrize("cell", ["plain", '"two\nlines"', '"a;b"'])
+def test_rows_carry_what_is_told_of_their_file(spark, tmp_path, cell):
+    for name in "abc":
+        (tmp_path / f"{name}.csv").write_text(f"k;t\n{name}1;{cell}\n\n{name}2;x\n")
+    listed = files.list_files(spark, str(tmp_path), "*.csv")
+    told = listed.select("uri", F.ascii(F.substring("uri", -5, 1)).alias("_run")).filter(F.col("_run") < ord("c"))
+    with settings_of(spark, {"spark.sql.files.maxPartitionBytes": "1000000"}):
+        rows = text_files.scan_csv(spark, str(tmp_path), ";", pattern="*.csv", only=told.select("uri"), told=told).rows.collect()
+    text, last = cell.strip('"'), 4 + cell.count("\n")
+    assert sorted((r["_run"], r["_row_num"], r["k"], r["t"]) for r in rows) == sorted(
+        row for run, name in ((97, "a"), (98, "b")) for row in [(run, 2, f"{name}1", text), (run, last - 1, None, None), (run, last, f"{name}2", "x")])
+
+
+def test_parts_above_12_are_those_of_the_patterns(spark):
+    parts = ["1", "01", "9", "12", "13", "013", "0013", "31", "99", "100", "0100", "1300", "1 ", "+1", "1T", "", "é1"]
+    texts = [f"{a}{x}{b}{y}{c}" for a in parts for b in parts for x, y in ["//", "-.", "/ "] for c in ["2020", "20", "5", "x"]]
+    frame = spark.createDataFrame([(t,) for t in texts], "s string")
+    first, second = dates.parts_above_12(F.col("s"))
+    odd = frame.filter((first != F.col("s").rlike(dates.FIRST_ABOVE_12_RE)) | (second != F.col("s").rlike(dates.SECOND_ABOVE_12_RE)))
+    assert odd.collect() == [] and frame.filter(first & second).count() > 100
+
+
+def test_files_that_agree_need_no_lookup_of_dates(spark):
+    rows = spark.createDataFrame([(1, "25/01/2020"), (2, "26/01/2020"), (2, "01/02/2020")], "_run bigint, d string")
+    fields = [{"target": "d", "source": "d", "formats": ["%d/%m/%Y", "%m/%d/%Y"], "epoch": "1900"}]
+
+    def attached(rows):
+        found = date_evidence.attach_dates(rows, date_evidence.settle_dates(rows, fields, "_run"), "_run", every_file=True)
+        return "Join" in found._jdf.queryExecution().optimizedPlan().toString(), sorted((r["_run"], r["d"], r["_dates"]["d"]["format"]) for r in found.collect())
+
+    joined, got = attached(rows)
+    assert not joined and [f for _, _, f in got] == ["%d/%m/%Y"] * 3
+    joined, got = attached(rows.filter("_run = 1").union(spark.createDataFrame([(2, "01/26/2020")], rows.schema)))
+    assert joined and got == [(1, "25/01/2020", "%d/%m/%Y"), (2, "01/26/2020", "%m/%d/%Y")]
+
+
+def test_raw_text_of_rejects(spark):
+    import json
+
+    values = ['a"b', "back\\slash", "tab\t\n", "é", None, ""]
+    frame = spark.createDataFrame([tuple(values)], ", ".join(f"`c {i}` string" for i in range(len(values))))
+    text = frame.select(mapping.as_json(frame.columns)).first()[0]
+    assert text == json.dumps(dict(zip(frame.columns, values)), ensure_ascii=False, separators=(",", ":"))
