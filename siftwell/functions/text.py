@@ -15,13 +15,16 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-ASCII_WHITESPACE = "".join(x for x in WHITESPACE if x.isascii())
 
 
 def strip(c: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind; an empty text stays empty."""
-    plain = F.octet_length(c) == F.char_length(c)
-    return F.when(plain, F.btrim(c, F.lit(ASCII_WHITESPACE))).otherwise(F.btrim(c, F.lit(WHITESPACE)))
+    """Remove leading and trailing whitespace of any kind; an empty text stays empty.
+
+    An ASCII text that begins and ends with a printed character once its blanks are gone needs no search in a list of characters.
+    """
+    bare = F.trim(c)
+    done = (bare > " ") & (F.substring(bare, -1, 1) > " ") & (F.octet_length(bare) == F.char_length(bare))
+    return F.when(done, bare).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def is_blank(c: Column) -> Column:

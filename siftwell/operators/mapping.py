@@ -201,9 +201,7 @@ def map_rows(
 
 def as_json(columns: list[str]) -> Column:
     """JSON object text of the named columns; NULL members are kept."""
-    names = F.array(*[F.lit(c) for c in columns])
-    values = F.array(*[F.col(f"`{c}`").cast("string") for c in columns])
-    return F.to_json(F.map_from_arrays(names, values), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"})
 
 
 def valid_rows(mapped: DataFrame) -> DataFrame:

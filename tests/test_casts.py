@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwell.functions.casts import cast_to, field_value
-from siftwell.functions.dates import parse_with, serial_date
+from siftwell.functions.dates import parse_with, serial_date, serial_number
 from siftwell.functions.text import blank_to_null, fold_accents, identifier, strip
 
 NUMBERS = ["12", " 12.9 ", "-12.9", "1e3", "1_000", "1__0", "_1", "1_", ".5", "5.", ".", "", "  ", None, "nan", "-NaN", "inf", "+Infinity", "-inf",
@@ -158,3 +158,16 @@ def test_field_values(spark):
 @given(st.lists(st.text(alphabet="0123456789.eE+-_ndfiax, \t\xa0", max_size=8), min_size=20, max_size=60))
 def test_number_spellings(spark, values):
     check(spark, values, cast_to(F.col("s"), "double"), float)
+
+
+def test_strip_of_texts_that_are_nearly_plain(spark):
+    ends = ["", " ", "  ", "\t", "\x00", "\x1f", "\x7f", "\xa0", "　", "é", "!", "~", " \t ", " \xa0"]
+    texts = [a + b + c for a in ends for b in ["", "x", "a b", "é"] for c in ends]
+    got = column(spark, texts, strip(F.col("s")), blank_to_null(F.col("s")))
+    assert got == [(t.strip(), t.strip() or None) for t in texts]
+
+
+def test_serial_numbers_have_no_slash(spark):
+    texts = ["46101", "46101.5", "1/2", "13/01/2020", "4610/1", "/", "+5", "1e3", "nan", "inf", "-1", "60001", "4.1.2020", "1-2-3", "i", "Next"]
+    got = {t: number for t, (number,) in zip(texts, column(spark, texts, serial_number(F.col("s"))))}
+    assert {t: n for t, n in got.items() if n is not None} == {"46101": 46101.0, "46101.5": 46101.5, "+5": 5.0, "1e3": 1000.0}
